@@ -89,10 +89,10 @@ def ballots() -> dict[str, Column]:
     c = F.col
     some = c("n_words") > 0
     return {
-        "length": vote(c("n_words") < 2 * MIN_WORDS, c("n_words") >= 50),
+        "length": vote(c("n_words") < MIN_WORDS, c("n_words") >= 50),
         "word_length": vote((c("word_chars") < 3 * c("n_words")) | (c("word_chars") > 12 * c("n_words")), c("word_chars").between(4 * c("n_words"), 9 * c("n_words")), some),
         "symbols": vote(10 * c("n_symbols") > c("n_words"), 100 * c("n_symbols") <= c("n_words"), some),
-        "letters": vote(10 * c("n_letters") < 7 * c("word_chars"), 100 * c("n_letters") >= 85 * c("word_chars"), some),
+        "letters": vote(100 * c("n_letters") < 88 * c("word_chars"), 100 * c("n_letters") >= 93 * c("word_chars"), some),
         "lines": vote(10 * c("n_dup_lines") > 3 * c("n_lines"), c("n_dup_lines") == 0, c("n_lines") > 1),
         "repeats": vote(10 * c("n_repeat_words") > c("n_words"), 100 * c("n_repeat_words") <= c("n_words"), c("n_words") > WINDOW),
     }
