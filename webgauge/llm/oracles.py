@@ -22,6 +22,16 @@ z AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY score, doc
 f AS (SELECT *, sure + CASE WHEN reached + size / 2.0 <= target - sure * source_size THEN 1 ELSE 0 END AS copies FROM z
       UNION ALL SELECT *, 0 AS reached, sure AS copies FROM q WHERE score IS NULL)
 SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken FROM f""",
+    "op4_block_anchors": r"""
+WITH d AS (SELECT row_number() OVER () AS row_no, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
+w AS (SELECT row_no, doc_id, i, sha256(array_to_string(ws[i : i + 49], ' ')) AS k
+      FROM (SELECT row_no, doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM d)),
+f AS (SELECT k, min(doc_id) AS least FROM w GROUP BY k),
+r AS (SELECT DISTINCT row_no, j FROM (SELECT row_no, unnest(range(i, i + 50)) AS j FROM w JOIN f USING (k) WHERE doc_id > least)),
+g AS (SELECT row_no, count(*) AS n, list(j) AS js FROM r GROUP BY row_no)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed,
+       sha256(coalesce(array_to_string(CASE WHEN js IS NULL THEN ws ELSE [x[1] FOR x IN list_zip(ws, range(1, len(ws) + 1)) IF NOT list_contains(js, x[2])] END, ' '), '')) AS kept_sha256
+FROM d LEFT JOIN g USING (row_no)""",
     "op8_decontaminate": r"""
 WITH w AS (
   SELECT row_number() OVER () AS row_no, doc_id,

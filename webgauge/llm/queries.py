@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from webgauge.llm import decontam, mixing, quality, tokens, toxicity
+from webgauge.llm import decontam, mixing, quality, substring_dedup, tokens, toxicity
 from webgauge.llm.oracles import ORACLES
 
 
@@ -23,6 +23,10 @@ def op3_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.sample(table(spark, sf_dir, "documents"))
 
 
+def op4_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(table(spark, sf_dir, "documents")).drop("tag", "kept")
+
+
 def op6_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"))
 
