@@ -32,6 +32,18 @@ g AS (SELECT row_no, count(*) AS n, list(j) AS js FROM r GROUP BY row_no)
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed,
        sha256(coalesce(array_to_string(CASE WHEN js IS NULL THEN ws ELSE [x[1] FOR x IN list_zip(ws, range(1, len(ws) + 1)) IF NOT list_contains(js, x[2])] END, ' '), '')) AS kept_sha256
 FROM d LEFT JOIN g USING (row_no)""",
+    "op5_bbit_minhash": r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS ws
+  FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i : i + 3], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(2, len(ws) - 2))) AS i FROM d WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+i AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM i JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * common >= 80 * (p.n + q.n - common)),
+r AS (SELECT doc_id AS x, doc_id AS y FROM n UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x),
+c AS (SELECT x, min(y) AS c FROM r GROUP BY x)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(c.c, d.doc_id) AS component_id, coalesce(c.c, d.doc_id) = d.doc_id AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.x = d.doc_id""",
     "op8_decontaminate": r"""
 WITH w AS (
   SELECT row_number() OVER () AS row_no, doc_id,
@@ -51,4 +63,13 @@ m AS (SELECT row_no, count(DISTINCT item) AS n_items, string_agg(DISTINCT item,
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM w LEFT JOIN c USING (row_no) LEFT JOIN m USING (row_no)""",
+    "op9_warc_chain": r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+b AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
+             list_aggregate([('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[((('0x' || substr(hex, 5 * (i // 4) + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31) + 1]) FOR i IN range(32)], 'string_agg', '') AS payload_digest
+      FROM p),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS most FROM b)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id < most THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id < most THEN most END AS refers_to, true AS valid
+FROM m""",
 }
