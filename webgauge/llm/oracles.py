@@ -1,6 +1,21 @@
 """The operators' results in DuckDB SQL, where SQL can express them."""
 
 ORACLES = {
+    "op1_suffix_array": r"""
+WITH d AS (SELECT row_number() OVER () AS row_no, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT row_no, doc_id, i, substr(h, 2 * i + 1, 100) AS k FROM (SELECT row_no, doc_id, h, unnest(range(0, len(h) // 2 - 49)) AS i FROM d)),
+f AS (SELECT k, min(doc_id) AS least FROM w GROUP BY k),
+r AS (SELECT row_no, i FROM w JOIN f USING (k) WHERE doc_id > least),
+s AS (SELECT row_no, i, sum(new) OVER (PARTITION BY row_no ORDER BY i) AS span
+      FROM (SELECT row_no, i, CASE WHEN i <= lag(i) OVER (PARTITION BY row_no ORDER BY i) + 50 THEN 0 ELSE 1 END AS new FROM r)),
+g AS (SELECT row_no, span, min(i) AS a, max(i) + 50 AS b FROM s GROUP BY row_no, span),
+e AS (SELECT row_no, a, b, coalesce(lag(b) OVER (PARTITION BY row_no ORDER BY a), 0) AS p FROM g),
+k AS (SELECT row_no, count(*) AS n_spans, sum(b - a) AS n_removed,
+             string_agg(substr(h, (2 * p + 1)::BIGINT, (2 * (a - p))::BIGINT), '' ORDER BY a) || substr(any_value(h), (2 * max(b) + 1)::BIGINT) AS kept
+      FROM e JOIN d USING (row_no) GROUP BY row_no)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN k USING (row_no)""",
     "op3_pareto_mix": r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from webgauge.llm import decontam, minhash, mixing, quality, substring_dedup, tokens, toxicity, warc
+from webgauge.llm import decontam, minhash, mixing, quality, substring_dedup, suffix_dedup, tokens, toxicity, warc
 from webgauge.llm.oracles import ORACLES
 
 
@@ -14,6 +14,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
 def op2_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return toxicity.score(docs, toxicity.fit(docs, toxicity.severity(labels)))
