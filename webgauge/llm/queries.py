@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from webgauge.llm import decontam, minhash, mixing, quality, substring_dedup, suffix_dedup, tokens, toxicity, warc
+from webgauge.llm import decontam, language_model, minhash, mixing, quality, substring_dedup, suffix_dedup, tokens, toxicity, warc
 from webgauge.llm.oracles import ORACLES
 
 
@@ -39,6 +40,10 @@ def op6_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"))
 
 
+def op7_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 7 == 2)
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
