@@ -23,7 +23,9 @@ from webgauge.llm.textarrays import Words, flat, slices
 
 #: Labelled rows at most that the fit takes, and hashed features.
 SAMPLE, BITS = 12_000, 18
-ROUNDS, RATE, DECAY, LEAST_DOCS = 150, 0.15, 2e-4, 3
+ROUNDS, RATE, DECAY, LEAST_DOCS, LEAST_Z = 300, 0.15, 1e-4, 4, 5.0
+#: Probability of any toxicity from which on a document is called toxic.
+CUT = 0.4
 INSIDE = np.zeros(256, bool)
 INSIDE[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 
@@ -57,8 +59,12 @@ class Ordinal:
             return self
         counts = np.array([len(r) for r in rows])
         of, flat_features = np.repeat(np.arange(len(rows)), counts), np.concatenate(rows)
-        common = np.bincount(flat_features, minlength=2**BITS) >= LEAST_DOCS
-        of, flat_features = of[common[flat_features]], flat_features[common[flat_features]]
+        # only words whose documents' mean grade is far from the overall one: the rest would learn the sample by heart
+        docs = np.bincount(flat_features, minlength=2**BITS)
+        mean = np.bincount(flat_features, grades[of], 2**BITS) / np.maximum(docs, 1)
+        apart = np.abs(mean - grades.mean()) * np.sqrt(docs) / grades.std()
+        telling = (docs >= LEAST_DOCS) & (apart >= LEAST_Z)
+        of, flat_features = of[telling[flat_features]], flat_features[telling[flat_features]]
         used, column = np.unique(flat_features, return_inverse=True)
         above = (grades[:, None] > np.arange(levels)).astype(float)
         share = np.clip(above.mean(0), 1e-4, 1 - 1e-4)
@@ -110,7 +116,7 @@ def score_batches(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.Recor
                     pa.array(above.sum(1)),
                     pa.array((above >= 0.5).sum(1), pa.int32()),
                     pa.array(first),
-                    pa.array(first >= 0.5),
+                    pa.array(first >= CUT),
                 ],
                 names=["doc_id", "n_words", "expected_severity", "severity", "p_toxic", "toxic"],
             )
@@ -128,9 +134,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ordinal:
         .limit(2 * sample)  # ids may repeat
         .collect()
     )
-    rows.sort(key=lambda r: (r["grade"], bytes(r["features"])))
-    grades = np.array([r["grade"] for r in rows], np.int64)
-    return Ordinal(int(grades.max(initial=0)) + 1).fit([np.frombuffer(r["features"], np.int32) for r in rows], grades)
+    once: dict[bytes, int] = {}  # copies would make the words of one text look telling
+    for r in rows:
+        once[bytes(r["features"])] = max(r["grade"], once.get(bytes(r["features"]), 0))
+    texts = sorted(once)
+    grades = np.array([once[t] for t in texts], np.int64)
+    return Ordinal(int(grades.max(initial=0)) + 1).fit([np.frombuffer(t, np.int32) for t in texts], grades)
 
 
 def score(docs: DataFrame, model: Ordinal) -> DataFrame:
