@@ -49,6 +49,11 @@ def window_hashes(words: Column, n: int) -> Column:
     return let(F.transform(words, lambda w: F.xxhash64(w)), of)
 
 
+def placed(hashes: Column, n: int) -> Column:
+    """Window hashes with their length and place."""
+    return F.transform(hashes, lambda h, i: F.struct(F.lit(n).alias("len"), i.alias("pos"), h.alias("h")))
+
+
 def benchmark_windows(benchmark: DataFrame, n: int, item_id: str = "item_id", text: str = "text") -> DataFrame:
     """One row per distinct window: len, gram (its words), hash, items (ids as strings)."""
     b = benchmark.select(F.col(item_id).cast("string").alias("_item"), words_of(F.col(text)).alias("_w"))
@@ -79,12 +84,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, doc_id: str = "doc_
             at = base.select("doc_id", "_text_hash", "_w", F.posexplode_outer(window_hashes(F.col("_w"), k)).alias("_k", "_h"))
             at = at.withColumns({"_len": F.lit(k), "_pos": F.col("_k")})
         else:
-            every = F.concat(
-                *(
-                    F.transform(window_hashes(F.col("_w"), k), lambda h, i, k=k: F.struct(F.lit(k).alias("len"), i.alias("pos"), h.alias("h")))
-                    for k in lengths
-                )
-            )
+            every = F.concat(*(placed(window_hashes(F.col("_w"), k), k) for k in lengths))
             at = base.select("doc_id", "_text_hash", "_w", F.posexplode_outer(every).alias("_k", "_s")).select(
                 "doc_id", "_text_hash", "_w", "_k", F.col("_s.h").alias("_h"), F.col("_s.len").alias("_len"), F.col("_s.pos").alias("_pos")
             )
