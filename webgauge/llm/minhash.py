@@ -7,9 +7,9 @@ the threshold go on; those are confirmed on the full shingle sets.
 
 Documents with equal sets are one class from the start and are represented by their smallest id. Within a bucket no
 list of all pairs is made. First every member is tried against the bucket's first. Links found so join members into
-components. Buckets that then still hold several components are compared in tiles of bounded size, on packed
-signatures, and only pairs across components whose estimate passes are emitted and confirmed; so no link between
-components is lost to the shortcut. A pair at the threshold shares no band with probability 5e-8.
+components. Buckets that then still hold several components are compared in tiles of bounded size: pairs across
+components whose estimate passes are confirmed within the tile, and only links that join something are emitted; so no
+link between components is lost to the shortcut. A pair at the threshold shares no band with probability 5e-8.
 
 Defined results: a document with fewer words than a shingle has one, its whole text; null and empty texts have
 none, link with nothing and stay. A null id links with nothing and stays. Rows that share an id are one node. Other
@@ -32,7 +32,7 @@ from webgauge.llm.textarrays import Words, flat, mix, slices
 
 SHINGLE, PERCENT = 5, 80
 BANDS, ROWS, BITS = 32, 4, 4
-TILE = 512
+TILE = 256
 _rng = np.random.Generator(np.random.PCG64(77))
 _ADD = _rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
 _TIMES = _rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -134,41 +134,53 @@ def confirm_batches(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator
         yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
 
-def tile_batches(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """Rows (tile, side, node, component, first, bits) in order of tile to pairs across components that pass."""
+def tile_batches(batches: Iterator[pa.RecordBatch], least: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows (tile, side, node, component, bits, shingles) in order of tile to links between components.
 
-    def pairs(rows: dict[str, list]) -> pa.RecordBatch:
-        side, node, part, first = (np.array(rows[c]) for c in ("side", "node", "component", "first"))
+    A pair's estimate decides whether its full sets are compared; of links that join what the tile's links have
+    joined already, none is emitted.
+    """
+
+    def links(rows: dict[str, list]) -> pa.RecordBatch:
+        side, node, part = (np.array(rows[c]) for c in ("side", "node", "component"))
         bits = np.frombuffer(b"".join(rows["bits"]), np.uint8).reshape(len(node), -1)
+        sets = [np.frombuffer(x, np.uint64) for x in rows["shingles"]]
+        sizes = np.array([len(x) for x in sets])
         left, right = np.flatnonzero(side <= 1), np.flatnonzero(side >= 1)  # side 1: the tile of a block with itself
         a, b = [], []
         for i in left:
-            near = right[(part[right] != part[i]) & (node[right] != first[i]) & (node[i] != first[i])]
+            near = right[part[right] != part[i]]
             if side[i] == 1:
                 near = near[node[near] > node[i]]
-            near = near[equal_minima(bits[near], bits[i]) >= least]
-            a.append(np.minimum(node[i], node[near]))
-            b.append(np.maximum(node[i], node[near]))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) if x else pa.array([], pa.int64()) for x in (a, b)], names=["a", "b"])
+            small, large = np.minimum(sizes[near], sizes[i]), np.maximum(sizes[near], sizes[i])
+            near = near[(100 * small >= percent * large)]
+            for j in near[equal_minima(bits[near], bits[i]) >= least]:
+                if part[j] != part[i]:
+                    both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                    if 100 * both >= percent * (sizes[i] + sizes[j] - both):
+                        a.append(min(node[i], node[j]))
+                        b.append(max(node[i], node[j]))
+                        part[part == part[j]] = part[i]
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     now, rows = None, None
     for batch in batches:
-        tiles = batch.column(0).to_pylist()
-        columns = {c: batch.column(i).to_pylist() for i, c in enumerate(("tile", "side", "node", "component", "first", "bits"))}
+        names = batch.column(0).to_pylist()
+        columns = {c: batch.column(i).to_pylist() for i, c in enumerate(("tile", "side", "node", "component", "bits", "shingles"))}
         at = 0
-        while at < len(tiles):
+        while at < len(names):
             to = at
-            while to < len(tiles) and tiles[to] == tiles[at]:
+            while to < len(names) and names[to] == names[at]:
                 to += 1
-            if tiles[at] != now:
+            if names[at] != now:
                 if rows:
-                    yield pairs(rows)
-                now, rows = tiles[at], {c: [] for c in columns}
+                    yield links(rows)
+                now, rows = names[at], {c: [] for c in columns}
             for c, values in columns.items():
                 rows[c].extend(values[at:to])
             at = to
     if rows:
-        yield pairs(rows)
+        yield links(rows)
 
 
 def estimated(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
@@ -179,30 +191,45 @@ def estimated(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(partial(estimate_batches, least=least_equal(percent)), "a long, b long")
 
 
+def shingle_sets(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
+    """node, shingles (written) of the given nodes (written)."""
+    texts = docs.join(maybe_broadcast(nodes, nodes.count()), F.col("doc_id") == F.col("node")).select("node", "text")
+    return written(texts.mapInArrow(partial(set_batches, n=n), "node long, shingles binary"), "sets")
+
+
 def confirmed(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
     """Pairs (a, b), written, whose full shingle sets are similar enough."""
     pairs = written(pairs, "candidates")
-    nodes = written(pairs.select("a").union(pairs.select("b")).distinct().toDF("node"), "nodes")
-    texts = docs.join(maybe_broadcast(nodes, nodes.count()), F.col("doc_id") == F.col("node")).select("node", "text")
-    sets = written(texts.mapInArrow(partial(set_batches, n=n), "node long, shingles binary"), "sets")
+    sets = shingle_sets(docs, written(pairs.select("a").union(pairs.select("b")).distinct().toDF("node"), "nodes"), n)
     x = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     y = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     both = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
     return written(both.mapInArrow(partial(confirm_batches, percent=percent), "a long, b long"), "links")
 
 
-def tiles(members: DataFrame, parts: DataFrame, bits: DataFrame) -> DataFrame:
-    """Members of buckets that hold several components, in tiles of two blocks of about TILE members each."""
+def across(docs: DataFrame, members: DataFrame, parts: DataFrame, bits: DataFrame, n: int, percent: int) -> DataFrame | None:
+    """Links (a, b), written, between components that meet in a bucket; None if no bucket is left open.
+
+    Buckets with members in common form groups, so each member's set is sent to its group once, not to each bucket.
+    A group is compared in tiles of two blocks of about TILE members.
+    """
     m = members.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     open_keys = m.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"))
     # of a bucket of two, the only pair has been tried
-    open_keys = open_keys.where("n > 2 and lo <> hi").select("key", F.ceil(F.col("n") / TILE).cast("int").alias("blocks"))
-    m = m.join(open_keys, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).join(bits, "node")
+    m = written(m.join(open_keys.where("n > 2 and lo <> hi").select("key"), "key").select("first", "node", "component"), "open")
+    if m.isEmpty():
+        return None
+    group = components(m.where("first <> node").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct())
+    nodes = written(m.select("node", "component").distinct().join(group.withColumnRenamed("component", "group"), "node"), "groups")
+    sets = shingle_sets(docs, nodes.select("node"), n)
+    blocks = nodes.groupBy("group").agg(F.ceil(F.count("*") / TILE).cast("int").alias("blocks"))
+    g = nodes.join(blocks, "group").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).join(bits, "node").join(sets, "node")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    m = m.select("key", "node", "component", "first", "bits", "block", other.alias("other"))
-    tile = F.concat_ws("/", "key", F.least("block", "other"), F.greatest("block", "other"))
+    g = g.select("group", "node", "component", "bits", "shingles", "block", other.alias("other"))
+    tile = F.concat_ws("/", "group", F.least("block", "other"), F.greatest("block", "other"))
     side = F.when(F.col("block") == F.col("other"), 1).when(F.col("block") < F.col("other"), 0).otherwise(2)
-    return m.select(tile.alias("tile"), side.alias("side"), "node", "component", "first", "bits")
+    tiles = g.select(tile.alias("tile"), side.alias("side"), "node", "component", "bits", "shingles").repartition("tile").sortWithinPartitions("tile")
+    return written(tiles.mapInArrow(partial(tile_batches, least=least_equal(percent), percent=percent), "a long, b long"), "across")
 
 
 def near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -226,11 +253,9 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -
     star = members.where("first <> node").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
     links = confirmed(d, estimated(star, bits, percent), n, percent)
     parts = components(links)
-    across = tiles(members, parts, bits).repartition("tile").sortWithinPartitions("tile")
-    more = across.mapInArrow(partial(tile_batches, least=least_equal(percent)), "a long, b long").distinct()
-    more = written(more, "across")
-    if not more.isEmpty():
-        links = links.unionByName(confirmed(d, more, n, percent))
+    more = across(d, members, parts, bits, n, percent)
+    if more is not None and not more.isEmpty():
+        links = links.unionByName(more)
         parts = components(links)
     release(spark)
     of = signed.select("doc_id", "n_shingles", "d1", "d2").alias("s").join(
