@@ -47,6 +47,9 @@ class _Reader(HTMLParser):
         self.in_body = False
 
     def handle_starttag(self, tag, attrs):
+        if self.title_open:  # what looks like markup within a title is its text
+            self.titles.append(self.get_starttag_text() or "")
+            return
         have = dict(reversed(attrs))
         if tag == "body" or tag not in HEAD_TAGS:
             self.in_body = True
@@ -78,8 +81,14 @@ class _Reader(HTMLParser):
         if tag == "svg":  # the only hidden element that can close itself
             self.hidden -= 1
 
+    def handle_comment(self, data):
+        if self.title_open:
+            self.titles.append(f"<!--{data}-->")
+
     def handle_endtag(self, tag):
-        if tag in HIDDEN:
+        if self.title_open and tag != "title":
+            self.titles.append(f"</{tag}>")
+        elif tag in HIDDEN:
             self.hidden = max(0, self.hidden - 1)
         elif tag == "title":
             self.title_open = False

@@ -69,7 +69,7 @@ def allowed(urls: DataFrame, robots: DataFrame, agent: str) -> DataFrame:
     """urls (url, host) with ``allowed``: the longest matching rule decides, allow wins a tie, no rule allows."""
     p = policies(robots, agent)
     u = urls.join(p, "host", "left").withColumn("_path", path_to_match(F.col("url")))
-    hits = F.filter(F.coalesce("rules", F.array().cast("array<struct<allow:boolean,pattern:string,length:int>>")), lambda r: F.col("_path").rlike(r["pattern"]))
+    hits = F.filter(F.coalesce("rules", F.array().cast("array<struct<allow:boolean,pattern:string,length:int>>")), lambda r: F.regexp_like(F.col("_path"), r["pattern"]))
     best = F.array_max(F.transform(hits, lambda r: F.struct(r["length"].alias("length"), r["allow"].alias("allow"))))
     verdict = F.when(F.col("state") == "none", False).when(F.coalesce("state", F.lit("all")) == "all", True).otherwise(F.coalesce(best["allow"], F.lit(True)))
     return u.select(*urls.columns, verdict.alias("allowed"))
