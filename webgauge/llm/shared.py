@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,9 +33,14 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of frames that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark's cleaner drop the shuffle files of frames that nothing refers to any more.
+
+    The JVM learns a moment later which frames Python has let go, so it is asked twice.
+    """
+    for _ in range(2):
+        gc.collect()
+        time.sleep(0.4)
+        spark.sparkContext._jvm.System.gc()
 
 
 def partitions(spark: SparkSession) -> int:
