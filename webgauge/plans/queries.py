@@ -16,6 +16,7 @@ from webgauge.operators import summary as S
 from webgauge.operators import validate as V
 from webgauge.operators import views as W
 from webgauge.operators.rules import RULES
+from webgauge.plans.more import MORE, MORE_SQL
 from webgauge.plans.oracles import ORACLES
 from webgauge.plans.snapshot import Snapshot
 from webgauge.sources.tables import stored
@@ -131,9 +132,12 @@ query("c01_breadth_first")(
 )
 
 
+QUERIES.update(MORE)
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for k, v in ORACLES.items() if k in QUERIES}
+    return {k: v for k, v in (ORACLES | MORE_SQL).items() if k in QUERIES}
