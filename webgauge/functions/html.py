@@ -8,12 +8,12 @@ from html.parser import HTMLParser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webgauge.functions.urls import host_of, domain_of, link_pair, suffix_rules
+from webgauge.functions.urls import domain_of, host_of, link_pair, normalize, registrable_domain, suffix_rules
 
 FACTS = (
     "struct<title:string,title_key:string,meta_description:string,meta_key:string,canonical:string,canonical_key:string,robots_meta:string,"
     "og_title:string,og_description:string,lang:string,h1s:array<string>,text:string,word_count:int,images_total:int,images_missing_alt:int,"
-    "links:array<struct<key:string,url:string,site:string>>>"
+    "links:array<struct<key:string,url:string,site:string>>,page_site:string,final_key:string,canonical_site:string>"
 )
 HEAD_TAGS = {"title", "meta", "link", "style", "script", "base", "head", "html"}
 HIDDEN = {"script", "style", "noscript", "template", "svg"}
@@ -107,8 +107,11 @@ class _Reader(HTMLParser):
             self.words.append(data)
 
 
-def facts(html: str | None, base: str | None, rules: frozenset[str]) -> dict | None:
-    """The facts of a document, whatever its markup; of what the parser can't take, those up to there."""
+def facts(html: str | None, base: str | None, rules: frozenset[str], url: str | None = None) -> dict | None:
+    """The facts of a document, whatever its markup; of what the parser can't take, those up to there.
+
+    ``base``: the spelling it was read from, ``url``: the page's identity.
+    """
     if html is None:
         return None
     reader = _Reader()
@@ -146,14 +149,17 @@ def facts(html: str | None, base: str | None, rules: frozenset[str]) -> dict | N
         "images_total": reader.images,
         "images_missing_alt": reader.bare_images,
         "links": list(links.values()),
+        "page_site": registrable_domain(url or base, rules),
+        "final_key": normalize(base),
+        "canonical_site": registrable_domain(canonical, rules),
     }
 
 
-def facts_column(html: Column, base: Column) -> Column:
+def facts_column(html: Column, base: Column, url: Column) -> Column:
     rules = suffix_rules()
-    return F.udf(lambda h, b: facts(h, b, rules), FACTS, useArrow=True)(html, base)
+    return F.udf(lambda h, b, u: facts(h, b, rules, u), FACTS, useArrow=True)(html, base, url)
 
 
 def parse_pages(pages: DataFrame) -> DataFrame:
     """Auditable pages (those with html, even an empty one) with their facts in place of the html."""
-    return pages.where(F.col("html").isNotNull()).withColumn("facts", facts_column(F.col("html"), F.col("final_url"))).drop("html")
+    return pages.where(F.col("html").isNotNull()).withColumn("facts", facts_column(F.col("html"), F.col("final_url"), F.col("url"))).drop("html")

@@ -6,24 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webgauge.functions.html import parse_pages
-from webgauge.functions.urls import link_struct, same, site
+from webgauge.functions.urls import same
 from webgauge.operators.rules import issue_array, weight
 
-FACTS = "title title_key meta_description meta_key canonical canonical_key robots_meta og_title og_description lang h1s text word_count images_total images_missing_alt links".split()
+FACTS = "title title_key meta_description meta_key canonical canonical_key robots_meta og_title og_description lang h1s text word_count images_total images_missing_alt links page_site final_key canonical_site".split()
 
 
 def facts(pages: DataFrame) -> DataFrame:
     """Auditable pages with the facts as columns, the sites of page and canonical, and header names in lower case."""
     p = parse_pages(pages)
     p = p.select("*", *[F.col(f"facts.{k}").alias(k) for k in FACTS]).drop("facts")
-    return p.withColumns(
-        {
-            "headers": F.transform_keys(F.coalesce("headers", F.create_map().cast("map<string,string>")), lambda k, _: F.lower(k)),
-            "page_site": site(F.col("url")),
-            "final_key": link_struct(F.col("final_url"), F.lit(None).cast("string"))["key"],
-            "canonical_site": F.coalesce(site(F.col("canonical")), F.lit("")),
-        }
-    )
+    return p.withColumn("headers", F.transform_keys(F.coalesce("headers", F.create_map().cast("map<string,string>")), lambda k, _: F.lower(k)))
 
 
 def frequencies(parsed: DataFrame, key: str, name: str) -> DataFrame:
