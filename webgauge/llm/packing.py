@@ -21,7 +21,7 @@ def planes(x: np.ndarray) -> bytes:
     return x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
 
 
-def unplanes(data: bytes, kind) -> np.ndarray:
+def unplanes(data: bytes | pa.Buffer, kind) -> np.ndarray:
     size = np.dtype(kind).itemsize
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
 
