@@ -211,7 +211,7 @@ def across(docs: DataFrame, members: DataFrame, parts: DataFrame, bits: DataFram
     """Links (a, b), written, between components that meet in a bucket; None if no bucket is left open.
 
     Buckets with members in common form groups, so each member's set is sent to its group once, not to each bucket.
-    A group is compared in tiles of two blocks of about TILE members.
+    A group is compared in tiles of two blocks of about TILE members, but for its largest component with itself.
     """
     m = members.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     open_keys = m.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"))
@@ -222,10 +222,16 @@ def across(docs: DataFrame, members: DataFrame, parts: DataFrame, bits: DataFram
     group = components(m.where("first <> node").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct())
     nodes = written(m.select("node", "component").distinct().join(group.withColumnRenamed("component", "group"), "node"), "groups")
     sets = shingle_sets(docs, nodes.select("node"), n)
-    blocks = nodes.groupBy("group").agg(F.ceil(F.count("*") / TILE).cast("int").alias("blocks"))
-    g = nodes.join(blocks, "group").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).join(bits, "node").join(sets, "node")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    g = g.select("group", "node", "component", "bits", "shingles", "block", other.alias("other"))
+    # the largest component of a group isn't compared with itself: its blocks come last and meet only the others' blocks
+    sizes = nodes.groupBy("group", "component").agg(F.count("*").alias("n"))
+    top = sizes.groupBy("group").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n"))
+    top = top.select("group", F.col("top.component").alias("bulk"), F.ceil((F.col("n") - F.col("top.n")) / TILE).cast("int").alias("few"), F.ceil(F.col("top.n") / TILE).cast("int").alias("many"))
+    g = nodes.join(top.where("few > 0"), "group").join(bits, "node").join(sets, "node")
+    in_bulk = F.col("component") == F.col("bulk")
+    spread = F.xxhash64("node")
+    block = F.when(in_bulk, F.col("few") + F.pmod(spread, F.col("many"))).otherwise(F.pmod(spread, F.col("few"))).cast("int")
+    others = F.sequence(F.lit(0), F.when(in_bulk, F.col("few")).otherwise(F.col("few") + F.col("many")) - 1)
+    g = g.select("group", "node", "component", "bits", "shingles", block.alias("block"), F.explode(others).alias("other"))
     tile = F.concat_ws("/", "group", F.least("block", "other"), F.greatest("block", "other"))
     side = F.when(F.col("block") == F.col("other"), 1).when(F.col("block") < F.col("other"), 0).otherwise(2)
     tiles = g.select(tile.alias("tile"), side.alias("side"), "node", "component", "bits", "shingles").repartition("tile").sortWithinPartitions("tile")
