@@ -17,6 +17,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from webgauge.llm.shared import maybe_broadcast, written
+
 #: Fixed value: what separates words once A-Z are lower-case.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -72,7 +74,7 @@ def benchmark_windows(benchmark: DataFrame, n: int, item_id: str = "item_id", te
 
 def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, items (sorted array of strings), _text_hash."""
-    grams = benchmark_windows(benchmark, n).cache()
+    grams = written(benchmark_windows(benchmark, n), "grams")
     lengths = sorted(r["len"] for r in grams.select("len").distinct().collect())  # at most n numbers
     blocks = max(1, -(-grams.count() // BLOCK))
     base = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("_text_hash"), words_of(F.col(text)).alias("_w"))
@@ -129,8 +131,6 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, doc_id: str = "doc_
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents, all columns, without those in which a benchmark window occurs."""
-    from webgauge.llm.shared import maybe_broadcast, written
-
     bad = written(
         scan(docs, benchmark, n, doc_id, text).where("n_hit > 0").select(F.col("doc_id").alias("_bad_id"), F.col("_text_hash").alias("_bad_hash")).distinct(),
         "contaminated",
