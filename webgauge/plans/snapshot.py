@@ -89,6 +89,9 @@ class Snapshot:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         raw = spark.read.parquet(f"{sf_dir}/pages.parquet")
+        cores = spark.sparkContext.defaultParallelism
+        if raw.rdd.getNumPartitions() < cores:  # a small file is one partition; parsing is the work here
+            raw = raw.repartition(cores)
         self.sql = lambda query: spark.sql(f"WITH {DERIVED.replace('raw_pages', '{raw_pages}')} {query}", raw_pages=raw)
 
     def pages(self) -> DataFrame:
