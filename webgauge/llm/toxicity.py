@@ -1,6 +1,9 @@
-"""Toxicity by cumulative-link ordinal regression over sparse hashed words.
+"""Toxicity by cumulative-link ordinal regression over sparse hashed words and word beginnings.
 
-P(grade > k) = sigmoid(x . w - threshold_k): one weight per word, shared by all ordered thresholds; the output is
+Features are whole words and the beginnings of words (an inflected stem has few whole words in common between texts),
+each once as present and once for every share of the text's words that it reaches: clean texts hold such stems too, but rarely.
+
+P(grade > k) = sigmoid(x . w - threshold_k): one weight per feature, shared by all ordered thresholds; the output is
 the expected grade. The model is fitted on a bounded sample of labelled rows (``SAMPLE``, those with the smallest
 hashes of their id); every document is scored in one scan with broadcast weights of a fixed size.
 
@@ -19,10 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webgauge.llm.textarrays import Words, flat, slices
+from webgauge.llm.textarrays import BYTE_VALUES, U64, Words, flat, mix, prefix, slices, spans
 
 #: Labelled rows at most that the fit takes, and hashed features.
-SAMPLE, BITS = 12_000, 18
+SAMPLE, BITS = 12_000, 20
+#: Bytes of the word beginnings, and the shares (one in so many words) that are features of their own.
+BEGINNINGS, SHARES = (4, 6), (256, 128, 64, 32, 16)
 ROUNDS, RATE, DECAY, LEAST_DOCS, LEAST_Z = 300, 0.15, 1e-4, 4, 5.0
 #: Probability of any toxicity from which on a document is called toxic.
 CUT = 0.4
@@ -33,8 +38,19 @@ INSIDE[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 def features(part: pa.RecordBatch, column: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of a slice: text number and feature of each distinct (text, feature), and the words of each text."""
     w = Words(*flat(part.column(column)), lower=True, inside=INSIDE)
-    pairs = np.unique((w.texts().astype(np.uint64) << np.uint64(BITS)) | (w.hashes >> np.uint64(64 - BITS)))
-    return (pairs >> np.uint64(BITS)).astype(np.int64), (pairs & np.uint64(2**BITS - 1)).astype(np.int64), w.counts
+    sums, size, of = prefix(BYTE_VALUES[w.text]), w.end - w.begin, w.texts().astype(U64)
+    owners, hashes = [of], [w.hashes]
+    for n in BEGINNINGS:
+        at = np.flatnonzero(size >= n)
+        owners.append(of[at])
+        hashes.append(mix(mix(spans(sums, w.begin[at], w.begin[at] + n)) + U64(n)))
+    keys, uses = np.unique((np.concatenate(owners) << U64(BITS)) | (np.concatenate(hashes) >> U64(64 - BITS)), return_counts=True)
+    pairs, words = [keys], w.counts[(keys >> U64(BITS)).astype(np.int64)]
+    for share in SHARES:
+        often = keys[uses * share >= words]
+        pairs.append((often >> U64(BITS) << U64(BITS)) | (mix((often & U64(2**BITS - 1)) + U64(share << BITS)) >> U64(64 - BITS)))
+    pairs = np.unique(np.concatenate(pairs))
+    return (pairs >> U64(BITS)).astype(np.int64), (pairs & U64(2**BITS - 1)).astype(np.int64), w.counts
 
 
 def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -57,14 +73,16 @@ class Ordinal:
         levels = len(self.thresholds)
         if not levels or len(np.unique(grades)) < 2:
             return self
-        counts = np.array([len(r) for r in rows])
-        of, flat_features = np.repeat(np.arange(len(rows)), counts), np.concatenate(rows)
-        # only words whose documents' mean grade is far from the overall one: the rest would learn the sample by heart
-        docs = np.bincount(flat_features, minlength=2**BITS)
-        mean = np.bincount(flat_features, grades[of], 2**BITS) / np.maximum(docs, 1)
+        # only features whose documents' mean grade is far from the overall one: the rest would learn the sample by heart
+        docs, total = np.zeros(2**BITS, np.int64), np.zeros(2**BITS)
+        for r, g in zip(rows, grades):  # a row has a feature once
+            docs[r] += 1
+            total[r] += g
+        mean = total / np.maximum(docs, 1)
         apart = np.abs(mean - grades.mean()) * np.sqrt(docs) / grades.std()
         telling = (docs >= LEAST_DOCS) & (apart >= LEAST_Z)
-        of, flat_features = of[telling[flat_features]], flat_features[telling[flat_features]]
+        rows = [r[telling[r]] for r in rows]
+        of, flat_features = np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.concatenate(rows)
         used, column = np.unique(flat_features, return_inverse=True)
         above = (grades[:, None] > np.arange(levels)).astype(float)
         share = np.clip(above.mean(0), 1e-4, 1 - 1e-4)
