@@ -253,6 +253,48 @@ def test_tokens_refuses_other_vocabularies():
         tokens.Merges({"model": {"type": "WordPiece"}})
 
 
+def test_suffix_buckets_of_a_hot_passage(monkeypatch):
+    """Different text around a shared passage: its suffixes are spread over the buckets, and what is found stays the same."""
+    from collections import Counter
+
+    import numpy as np
+    import pyarrow as pa
+
+    from webgauge.llm.packing import unpack_ids
+
+    sd = suffix_dedup
+    r = random.Random(3)
+    noise = lambda n: "".join(r.choice("abcdefghij ") for _ in range(n))
+    passage = noise(120)
+    texts = [noise(60) + passage + noise(60) for _ in range(300)]
+
+    def in_order(batches, schema, *more):
+        rows = sorted([x for b in batches for x in b.to_pylist()] + list(more), key=lambda x: (x["bucket"], x["kind"]))
+        return pa.RecordBatch.from_pylist(rows, schema)
+
+    def run(hot):
+        monkeypatch.setattr(sd, "HOT_STRETCHES", hot, raising=False)
+        docs = [pa.RecordBatch.from_pydict({"doc_id": pa.array(range(k, k + 50), pa.int64()), "text": texts[k : k + 50]}) for k in range(0, 300, 50)]
+        met = in_order((x for d in docs for x in sd.meet_batches(iter([d]), 50, 16)), sd._MEET)
+        homes = sd.home(np.arange(300), 16).tolist()
+        rows = [{"bucket": h, "kind": 1, "doc_id": i, "text": t} for i, (h, t) in enumerate(zip(homes, texts))]
+        schema = pa.schema([*(sd._MEET.field(c) for c in ("bucket", "kind", "ids", "counts", "keys", "flags")), ("doc_id", pa.int64()), ("text", pa.string())])
+        step = [x for b in sd.send_batches(iter([in_order(sd.reply_batches(iter([met]), 16), schema, *rows)]), 50, 16) for x in b.to_pylist()]
+        sent = in_order([], sd._STEP, *(x for x in step if x["kind"] == sd.STRETCH))
+        load = Counter()
+        for x in sent.to_pylist():
+            load[x["bucket"]] += int((np.frombuffer(x["lengths"], np.int64) - 49).sum())
+        gone = {(x["doc_id"], int(w)) for x in step if x["kind"] == sd.OPEN for a, b in np.frombuffer(x["repeats"], np.int64).reshape(-1, 2) for w in range(a, b + 1)}
+        for x in (x for b in sd.sort_batches(iter([sent]), 50, 16) for x in b.to_pylist()):
+            gone |= set(zip(unpack_ids(x["ids"], x["counts"]).tolist(), np.frombuffer(x["starts"], np.int64).tolist()))
+        return load, gone
+
+    load, gone = run(64)
+    assert gone == {(d, w) for d in range(1, 300) for w in range(60, 131)} | {x for x in gone if x[1] in (*range(50, 60), *range(131, 141))}
+    assert max(load.values()) < 3 * sum(load.values()) / 16
+    assert gone == run(10**9)[1]
+
+
 def test_toxicity_on_held_out_rows(spark, docs, empty):
     every = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = toxicity.severity(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"))

@@ -6,7 +6,8 @@ together as a stretch of text.
 
   1. stretches meet as hashes, by minimizer: one that an earlier document has too is a repeat as a whole. What is left
      are different stretches with one minimizer, which may share part of their strings;
-  2. of those, one copy each sends its bytes;
+  2. of those, one copy each sends its bytes; where a minimizer has more than HOT_STRETCHES of them (the text around a
+     passage that many documents share), each string goes to a bucket by its own hash instead, once for each slice of texts;
   3. each bucket sorts the suffixes of its stretches by deep-shallow sorting: multikey quicksort, eight bytes a
      key, to SHALLOW bytes; each remaining group with a long common prefix is ordered by a blind trie. Strings of
      full length that end up equal are repeats, and those of later documents are reported.
@@ -31,11 +32,13 @@ from pyspark.sql import functions as F
 
 from webgauge.llm.packing import BUFFER, Found, batch_of, by_bucket, home, home_column, pack_ids, unpack_ids
 from webgauge.llm.shared import partitions, release, written
-from webgauge.llm.textarrays import BYTE_VALUES, U64, flat, ids, mix, prefix, slices, spans
+from webgauge.llm.textarrays import BYTE_VALUES, SLICE_BYTES, U64, flat, ids, mix, prefix, slices, spans
 
 LENGTH, GRAM, SHALLOW = 50, 20, 16
 #: Replies to a document about a stretch: all of it is in an earlier document; it is to send its bytes.
-REPEAT, SEND = 1, 2
+#: HOT goes with SEND where the minimizer has more than HOT_STRETCHES different stretches.
+REPEAT, SEND, HOT = 1, 2, 4
+HOT_STRETCHES = 4096
 _MEET = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), *((c, pa.binary()) for c in ("ids", "counts", "keys", "flags", "minimizers"))])
 _MEET_SQL = "bucket int, kind int, ids binary, counts binary, keys binary, flags binary, minimizers binary"
 _STEP = pa.schema(
@@ -148,9 +151,11 @@ def reply_batches(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[p
         flags = np.where(owners > owners[new][np.cumsum(new) - 1], REPEAT, 0).astype(np.uint8)
         at = np.flatnonzero(group)
         number = np.cumsum(group) - 1
-        several = np.add.reduceat(new.astype(np.int64), at) > 1
+        different = np.add.reduceat(new.astype(np.int64), at)
+        several = different > 1
         several &= np.minimum.reduceat(owners, at) < np.maximum.reduceat(np.where(new, owners, np.iinfo(np.int64).min), at)
         flags[new & several[number]] |= SEND
+        flags[new & (several & (different > HOT_STRETCHES))[number]] |= HOT
         use = flags > 0
         return batch_of(_MEET, list(replies(owners[use], keys[use], flags[use], buckets)))
 
@@ -197,6 +202,27 @@ def at_home(batches: Iterator[pa.RecordBatch], text_column: int, add) -> Iterato
                 yield from ((found, part) for part in slices(rows, text_column))
 
 
+def strings_alone(text: np.ndarray, owners: np.ndarray, begin: np.ndarray, end: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """Each string of some stretches of a slice: its stretch, start and hash, and whether a smaller owner here has the same one."""
+    n = end - begin + 1
+    of = np.repeat(np.arange(len(n)), n)
+    at = begin[of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+    hashes = mix(spans(prefix(BYTE_VALUES[text]), at, at + length))
+    order = np.lexsort((owners[of], hashes))
+    strings = np.lib.stride_tricks.sliding_window_view(text, length)
+    a, b = order[:-1], order[1:]
+    new = np.ones(len(of), bool)
+    new[1:] = hashes[a] != hashes[b]
+    for k in range(0, len(a), SLICE_BYTES // length):  # hashes may agree by chance
+        part = slice(k, k + SLICE_BYTES // length)
+        new[1:][part] |= (strings[at[a[part]]] != strings[at[b[part]]]).any(1)
+    again = np.zeros(len(of), bool)
+    if len(of):
+        sorted_owners = owners[of[order]]
+        again[order] = sorted_owners > sorted_owners[new][np.cumsum(new) - 1]
+    return of, at, hashes, again
+
+
 def send_batches(batches: Iterator[pa.RecordBatch], length: int, buckets: int) -> Iterator[pa.RecordBatch]:
     """(bucket, kind, ids, counts, keys, flags, doc_id, text) to finished and open documents and stretches' bytes."""
 
@@ -214,8 +240,12 @@ def send_batches(batches: Iterator[pa.RecordBatch], length: int, buckets: int) -
         repeat, send = flags & REPEAT > 0, (flags & SEND > 0) & (flags & REPEAT == 0)
         is_open = np.zeros(part.num_rows, bool)
         is_open[of[send]] = True
-        at = np.searchsorted(of[repeat], np.arange(part.num_rows + 1))
-        first, last = begin[repeat], end[repeat]
+        hot = np.flatnonzero(send & (flags & HOT > 0))
+        stretch, alone, hashes, again = strings_alone(text, number[of[hot]], begin[hot], end[hot], length)
+        doc_of = np.concatenate([of[repeat], of[hot][stretch[again]]])
+        order = np.argsort(doc_of, kind="stable")
+        at = np.searchsorted(doc_of[order], np.arange(part.num_rows + 1))
+        first, last = (np.concatenate([x[repeat], alone[again]])[order] for x in (begin, end))
         rows = []
         for r in range(part.num_rows):
             windows = [np.arange(x, y + 1) for x, y in zip(first[at[r] : at[r + 1]], last[at[r] : at[r + 1]])]
@@ -226,8 +256,10 @@ def send_batches(batches: Iterator[pa.RecordBatch], length: int, buckets: int) -
                 rows.append({"bucket": part.column(0)[r].as_py(), "kind": OPEN, "doc_id": doc, "text": value, "repeats": pairs.astype(np.int64).tobytes()})
             else:
                 rows.append({"kind": DONE, "doc_id": doc} | cut(value, windows, length))
-        o, b, e = of[send], begin[send], end[send]
-        for k, i, doc, x, y in by_bucket(bucket_of(minimizers[send], buckets), number[o], o, b, e):
+        send[hot] = False
+        o, b = (np.concatenate([x[send], y[~again]]) for x, y in ((of, of[hot][stretch]), (begin, alone)))
+        e, to = (np.concatenate([x[send], y[~again]]) for x, y in ((end, alone), (minimizers, hashes)))
+        for k, i, doc, x, y in by_bucket(bucket_of(to, buckets), number[o], o, b, e):
             ids_, counts = pack_ids(i)
             rows.append(
                 {
