@@ -235,6 +235,34 @@ def test_language_model_sums_to_one():
             assert abs(mass / (lm.STRENGTH + vector[c]) - 1) < 1e-9
 
 
+def test_language_model_streams_questions(monkeypatch):
+    """A bucket's questions are answered while they are read: never more than a buffer and a row of them is held."""
+    from types import SimpleNamespace
+
+    import numpy as np
+    import pyarrow as pa
+
+    lm = language_model
+    monkeypatch.setattr(lm, "BUFFER", 4000)
+    state = lm.State(1000, 10, np.zeros(lm.CONTEXTS))
+    state.sweeps.append({"tables": np.zeros(lm.CONTEXTS), "customers": 500.0, "root_tables": 20.0})
+    one = lambda k: pa.RecordBatch.from_pylist(
+        [{"bucket": 0, "kind": getattr(lm, "ASKED", 0), "ids": lm.planes(np.array([k], np.int64)), "counts": lm.planes(np.array([500], np.int32)), "keys": np.full(500, 7, np.uint64).tobytes()}], lm._ASK
+    )
+    read, most, answered = 0, 0, 0
+
+    def questions():
+        nonlocal read
+        for k in range(40):
+            read += 1
+            yield one(k)
+
+    for batch in lm.answer_batches(questions(), SimpleNamespace(value=state), 1):
+        most = max(most, read - answered)
+        answered += sum(len(lm.unplanes(r["ids"], np.int64)) for r in batch.to_pylist())
+    assert answered == 40 and most <= 4
+
+
 def test_tokens(spark, docs, rows):
     P = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer

@@ -8,8 +8,9 @@ their tables; its base is uniform over the vocabulary and one unseen word.
   2. Gibbs sweeps reseat all cells: a bucket seats the customers of its cells one after another (in growing steps
      once a cell is large), given the other restaurants' tables of the sweep before; the tables per context
      and the parent's totals are then summed over the buckets for the next sweep;
-  3. every document's tokens, training or not, are looked up in the buckets, which rebuild the same seatings
-     (draws are hashes of cell and sweep), average the predictive probability over the sweeps, and return sums.
+  3. the written cells go to the buckets once more, which rebuild the same seatings (draws are hashes of cell and
+     sweep) and average the predictive probability over the sweeps; every document's tokens, training or not, stream
+     past them and sums are returned.
 
 Only vectors of a fixed number of contexts, totals, and at most HOT words of each task reach the driver. Words
 that are too frequent for one bucket are dealt by cell in step 3, with their totals broadcast.
@@ -47,8 +48,8 @@ _SUMS = pa.schema([("kind", pa.int32()), ("block", pa.int32()), ("data", pa.bina
 _SUMS_SQL = "kind int, block int, data binary, more binary, totals array<double>"
 _ASK = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), *((c, pa.binary()) for c in ("ids", "counts", "keys", "docs", "known"))])
 _ASK_SQL = "bucket int, kind int, ids binary, counts binary, keys binary, docs binary, known binary"
-#: Kinds of packed questions; rows of documents themselves.
-TRAIN, HELD_OUT, HOT_TRAIN, HOT_HELD_OUT, DOCUMENTS, SUMS = range(6)
+#: Kinds of packed rows: cells of a bucket come before the questions; rows of documents themselves.
+CELLS, HOT_CELLS, ASKED, HOT_ASKED, DOCUMENTS, SUMS = range(6)
 
 
 def tokens(part: pa.RecordBatch, column: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -257,19 +258,79 @@ def gathered(cells: DataFrame, state, sweep: int) -> tuple[np.ndarray, np.ndarra
     return vector, np.array([t[0] or 0.0, t[1] or 0.0]), sums.where("kind = 2").collect()  # at most HOT words a task
 
 
+def ask_bucket(keys: np.ndarray, is_hot: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix(np.where(is_hot, keys, keys >> U64(CONTEXT_BITS))) % U64(2 * buckets)).astype(np.int64)
+
+
+def index_batches(batches: Iterator[pa.RecordBatch], state, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Written cells to the buckets of their questions."""
+    hot = np.array(sorted(state.value.hot), np.uint64)
+    for batch in batches:
+        for r in range(batch.num_rows):
+            keys, counts = unplanes(batch.column(1)[r].as_buffer(), np.uint64), unplanes(batch.column(2)[r].as_buffer(), np.int64)
+            is_hot = np.isin(keys >> U64(CONTEXT_BITS), hot)
+            bucket = ask_bucket(keys, is_hot, buckets)
+            rows = [
+                {"bucket": b, "kind": kind, "keys": planes(k), "counts": planes(n)}
+                for kind, use in ((CELLS, ~is_hot), (HOT_CELLS, is_hot))
+                for b, k, n in by_bucket(bucket[use], keys[use], counts[use])
+            ]
+            yield batch_of(_ASK, rows)
+
+
+class Index:
+    """The cells of a bucket, ready to be asked: log10 of each one's averaged probability, and what its word adds to unseen ones."""
+
+    def __init__(self, rows: list[tuple], model: State, hot: bool):
+        self.model, n = model, len(model.sweeps)
+        self.cells, counts = merged(*(np.concatenate(x) for x in zip((np.zeros(0, np.uint64), np.zeros(0, np.int64)), *rows)))
+        self.rooms = [model.room(s) for s in range(n)]
+        self.words, self.sums, parents = np.zeros(0, np.uint64), np.zeros(0), [np.zeros(0)] * n
+        if hot:  # of all frequent words, whether or not this bucket has a cell of them
+            self.words = np.array(sorted(model.hot), np.uint64)
+            known = [model.hot[int(w)] for w in self.words]
+            self.sums = np.array([h["count"] for h in known], np.float64)
+            parents = [model.parent(*(np.array([h["sweeps"][s][i] for h in known]) for i in (0, 1)), s) for s in range(n)]
+        total = np.zeros(len(self.cells))
+        context = (self.cells & U64(CONTEXTS - 1)).astype(np.int64)
+        for sweep, (tables, word, names, sums, customers, root) in enumerate(seatings(self.cells, counts, model, n - 1, hot) if len(counts) else ()):
+            p = model.parent(customers, root, sweep)
+            total += (counts - DISCOUNT * tables + model.room(sweep)[context] * p[word]) / (STRENGTH + model.contexts[context])
+            if not hot:
+                self.words, self.sums, parents[sweep] = names, sums, p
+        self.scores = np.log10(total / n)
+        # the last place is that of a word without training tokens
+        self.parents = [np.append(p, model.parent(np.zeros(1), np.zeros(1), s)) for s, p in enumerate(parents)]
+        self.sums = np.append(self.sums, 0.0)
+
+    def ask(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log10 of each question's averaged probability, and its word's count."""
+        name = keys >> U64(CONTEXT_BITS)
+        word = np.searchsorted(self.words, name)
+        word[np.append(self.words, U64(0))[word] != name] = len(self.words)
+        at = np.searchsorted(self.cells, keys)
+        new = np.flatnonzero(np.append(self.cells, ~U64(0))[at] != keys)
+        score = np.append(self.scores, 0.0)[at]
+        context = (keys[new] & U64(CONTEXTS - 1)).astype(np.int64)
+        n = len(self.parents)
+        total = sum(self.rooms[s][context] * p[word[new]] for s, p in enumerate(self.parents)) / (STRENGTH + self.model.contexts[context])
+        score[new] = np.log10(total / n)
+        return score, self.sums[word]
+
+
 def ask_batches(batches: Iterator[pa.RecordBatch], state, buckets: int) -> Iterator[pa.RecordBatch]:
     """row, doc_id, held_out, text to packed questions, and the rows themselves to their homes."""
     hot = np.array(sorted(state.value.hot), np.uint64)
     held, size = [], 0
 
     def flush() -> pa.RecordBatch:
-        owners, word, context, out = (np.concatenate(x) for x in zip(*held))
+        owners, word, context = (np.concatenate(x) for x in zip(*held))
         held.clear()
         keys = cell_keys(word, context)
         is_hot = np.isin(word & _WORD, hot)
-        bucket = np.where(is_hot, (mix(keys) % U64(2 * buckets)).astype(np.int64), word_bucket(word, 2 * buckets))
+        bucket = ask_bucket(keys, is_hot, buckets)
         rows = []
-        for kind, use in ((TRAIN, ~out & ~is_hot), (HELD_OUT, out & ~is_hot), (HOT_TRAIN, ~out & is_hot), (HOT_HELD_OUT, out & is_hot)):
+        for kind, use in ((ASKED, ~is_hot), (HOT_ASKED, is_hot)):
             for b, i, k in by_bucket(bucket[use], owners[use], keys[use]):
                 at = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]]))
                 rows.append(
@@ -288,7 +349,7 @@ def ask_batches(batches: Iterator[pa.RecordBatch], state, buckets: int) -> Itera
             of, word, context = tokens(part, 3)
             number = part.column(0).to_numpy(zero_copy_only=False)
             out = part.column(2).to_numpy(zero_copy_only=False)
-            held.append((number[of], word, context, out[of]))
+            held.append((number[of], word, context))
             size += len(word)
             docs, known = part.column(1).fill_null(0).to_numpy(zero_copy_only=False), part.column(1).is_valid().to_numpy(zero_copy_only=False)
             flags = known.astype(np.uint8) + 2 * out.astype(np.uint8)
@@ -309,36 +370,22 @@ def ask_batches(batches: Iterator[pa.RecordBatch], state, buckets: int) -> Itera
 def answer_batches(batches: Iterator[pa.RecordBatch], state, buckets: int) -> Iterator[pa.RecordBatch]:
     """Questions in order of bucket and kind to sums for the documents: log10 of model and of count + 1, known tokens."""
     model: State = state.value
-    now, held = None, []
+    now, kind, size, held, cells, index = None, None, 0, [], [], None
 
-    def scores(keys: np.ndarray, train: np.ndarray, hot: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Each question's cell; of each cell, log10 of the averaged probability, and its word's count."""
-        cells, of = np.unique(keys, return_inverse=True)
-        counts = np.bincount(of[train], minlength=len(cells))
-        context = (cells & U64(CONTEXTS - 1)).astype(np.int64)
-        total = np.zeros(len(cells))
-        n = len(model.sweeps)
-        for sweep, (tables, word, _, sums, customers, root) in enumerate(seatings(cells, counts, model, n - 1, hot)):
-            p = model.parent(customers, root, sweep)[word]
-            total += (counts - DISCOUNT * tables + model.room(sweep)[context] * p) / (STRENGTH + model.contexts[context])
-        return of, np.log10(total / n), sums[word]
-
-    def flush() -> Iterator[dict]:
-        for hot in (False, True):
-            rows = [r for r in held if (r["kind"] in (HOT_TRAIN, HOT_HELD_OUT)) == hot]
-            if not rows:
-                continue
-            keys = [np.frombuffer(r["keys"], np.uint64) for r in rows]
-            train = np.concatenate([np.full(len(k), r["kind"] in (TRAIN, HOT_TRAIN)) for k, r in zip(keys, rows)])
-            of, score, count = scores(np.concatenate(keys), train, hot)
-            del keys, train
-            sizes = np.concatenate([unplanes(r["counts"], np.int32) for r in rows])
-            owners = np.concatenate([np.cumsum(unplanes(r["ids"], np.int64)) for r in rows])
+    def flush() -> list[dict]:
+        columns = []
+        for r, keys in held:
+            score, count = index.ask(keys)
+            sizes = unplanes(r["counts"], np.int32)
             at = np.cumsum(sizes) - sizes
-            columns = [np.add.reduceat(x[of], at) for x in (score, np.log10(count + 1), (count > 0).astype(np.int32))]
-            for h, i, s, b, k, c in by_bucket(home(owners, buckets), owners, *columns, sizes):
-                order = np.argsort(i, kind="stable")
-                yield {
+            columns.append((np.cumsum(unplanes(r["ids"], np.int64)), *(np.add.reduceat(x, at) for x in (score, np.log10(count + 1), (count > 0).astype(np.int32))), sizes))
+        held.clear()
+        rows = []
+        owners, *columns = (np.concatenate(x) for x in zip(*columns))
+        for h, i, s, b, k, c in by_bucket(home(owners, buckets), owners, *columns):
+            order = np.argsort(i, kind="stable")
+            rows.append(
+                {
                     "bucket": h,
                     "kind": SUMS,
                     "ids": planes(np.diff(i[order], prepend=np.int64(0))),
@@ -347,19 +394,34 @@ def answer_batches(batches: Iterator[pa.RecordBatch], state, buckets: int) -> It
                     "known": planes(k[order].astype(np.int32)),
                     "counts": planes(c[order]),
                 }
-        held.clear()
+            )
+        return rows
 
     for batch in batches:
         through = []
-        for row in batch.to_pylist():
-            if row["bucket"] != now and held:
-                through.extend(flush())
+        for r in range(batch.num_rows):
+            row = batch.slice(r, 1).to_pylist()[0]
+            if held and (row["bucket"] != now or row["kind"] != kind or size >= BUFFER // 4):
+                yield batch_of(_ASK, flush())
+                size = 0
+            if row["bucket"] != now:
+                cells, index, kind = {CELLS: [], HOT_CELLS: []}, None, None
             now = row["bucket"]
-            (through if row["kind"] == DOCUMENTS else held).append(row)
+            if row["kind"] == DOCUMENTS:
+                through.append(row)
+            elif row["kind"] in (CELLS, HOT_CELLS):
+                cells[row["kind"]].append((unplanes(row["keys"], np.uint64), unplanes(row["counts"], np.int64)))
+            else:
+                if row["kind"] != kind:
+                    index = None
+                    index = Index(cells.pop(CELLS if row["kind"] == ASKED else HOT_CELLS), model, row["kind"] == HOT_ASKED)
+                kind = row["kind"]
+                held.append((row, np.frombuffer(row["keys"], np.uint64)))
+                size += len(held[-1][1])
         if through:
             yield batch_of(_ASK, through)
     if held:
-        yield batch_of(_ASK, list(flush()))
+        yield batch_of(_ASK, flush())
 
 
 _RESULT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_log", pa.float64()), ("score", pa.float64())])
@@ -429,7 +491,8 @@ def score(docs: DataFrame, held_out, sweeps: int = SWEEPS) -> DataFrame:
                 state.hot[int(word)]["sweeps"].append((c, r))
     shared = spark.sparkContext.broadcast(state)
     rows = d.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text")
-    asked = rows.mapInArrow(partial(ask_batches, state=shared, buckets=buckets), _ASK_SQL).repartition(2 * buckets, "bucket").sortWithinPartitions("bucket", "kind")
+    asked = rows.mapInArrow(partial(ask_batches, state=shared, buckets=buckets), _ASK_SQL)
+    asked = asked.unionByName(cells.mapInArrow(partial(index_batches, state=shared, buckets=buckets), _ASK_SQL)).repartition(2 * buckets, "bucket").sortWithinPartitions("bucket", "kind")
     answers = asked.mapInArrow(partial(answer_batches, state=shared, buckets=buckets), _ASK_SQL).repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind")
     sums = answers.mapInArrow(finish_batches, "doc_id long, held_out boolean, n_tokens long, n_known long, base_log double, score double")
     floor = float(np.log10(state.tokens + state.words + 1))
