@@ -209,60 +209,6 @@ def test_language_model(spark, docs, rows, empty):
     assert all(r.score == 0 for r in language_model.score(docs, F.lit(True)).collect())  # the one unseen word has all the mass
 
 
-def test_language_model_sums_to_one():
-    """Over a small vocabulary, the averaged probabilities of all words and the unseen one sum to 1 in each context."""
-    import numpy as np
-
-    lm = language_model
-    r = np.random.default_rng(4)
-    words = np.sort(r.choice(2**40, 6, replace=False).astype(np.uint64))
-    contexts = np.array([3, 9, 77], np.uint64)
-    keys = np.sort(np.array([(w << np.uint64(lm.CONTEXT_BITS)) | c for w in words for c in contexts], np.uint64))
-    counts = r.integers(0, 60, len(keys))
-    vector = np.bincount((keys & np.uint64(lm.CONTEXTS - 1)).astype(int), counts, lm.CONTEXTS)
-    state = lm.State(int(counts.sum()), len(words), vector)
-    for sweep in range(2):
-        *_, (tables, _, _, _, customers, root) = lm.seatings(keys, counts, state, sweep)
-        assert ((tables <= np.maximum(counts, 0)) & ((tables > 0) == (counts > 0))).all()
-        state.sweeps.append({"tables": np.bincount((keys & np.uint64(lm.CONTEXTS - 1)).astype(int), tables, lm.CONTEXTS), "customers": customers.sum(), "root_tables": root.sum()})
-    context = (keys & np.uint64(lm.CONTEXTS - 1)).astype(int)
-    for sweep, (tables, of, _, _, customers, root) in enumerate(lm.seatings(keys, counts, state, 1)):
-        p = state.parent(customers, root, sweep)
-        unseen = state.parent(np.zeros(1), np.zeros(1), sweep)[0]
-        for c in (3, 9, 77):
-            at = context == c
-            mass = (counts[at] - lm.DISCOUNT * tables[at] + state.room(sweep)[c] * p[of[at]]).sum() + state.room(sweep)[c] * unseen
-            assert abs(mass / (lm.STRENGTH + vector[c]) - 1) < 1e-9
-
-
-def test_language_model_streams_questions(monkeypatch):
-    """A bucket's questions are answered while they are read: never more than a buffer and a row of them is held."""
-    from types import SimpleNamespace
-
-    import numpy as np
-    import pyarrow as pa
-
-    lm = language_model
-    monkeypatch.setattr(lm, "BUFFER", 4000)
-    state = lm.State(1000, 10, np.zeros(lm.CONTEXTS))
-    state.sweeps.append({"tables": np.zeros(lm.CONTEXTS), "customers": 500.0, "root_tables": 20.0})
-    one = lambda k: pa.RecordBatch.from_pylist(
-        [{"bucket": 0, "kind": getattr(lm, "ASKED", 0), "ids": lm.planes(np.array([k], np.int64)), "counts": lm.planes(np.array([500], np.int32)), "keys": np.full(500, 7, np.uint64).tobytes()}], lm._ASK
-    )
-    read, most, answered = 0, 0, 0
-
-    def questions():
-        nonlocal read
-        for k in range(40):
-            read += 1
-            yield one(k)
-
-    for batch in lm.answer_batches(questions(), SimpleNamespace(value=state), 1):
-        most = max(most, read - answered)
-        answered += sum(len(lm.unplanes(r["ids"], np.int64)) for r in batch.to_pylist())
-    assert answered == 40 and most <= 4
-
-
 def test_tokens(spark, docs, rows):
     P = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer

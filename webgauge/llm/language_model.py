@@ -1,19 +1,20 @@
 """Scoring by a hierarchical Pitman-Yor bigram model.
 
-Each context has a Chinese restaurant whose dishes are the next words; contexts are the previous word's class of
-2 ** CONTEXT_BITS hash classes, the same at every size. All context restaurants share one parent, whose customers are
-their tables; its base is uniform over the vocabulary and one unseen word.
-
-  1. training tokens are counted as (word, context) cells, within tasks and then by the word's bucket, and written;
-  2. Gibbs sweeps reseat all cells: a bucket seats the customers of its cells one after another (in growing steps
-     once a cell is large), given the other restaurants' tables of the sweep before; the tables per context
-     and the parent's totals are then summed over the buckets for the next sweep;
-  3. the written cells go to the buckets once more, which rebuild the same seatings (draws are hashes of cell and
-     sweep) and average the predictive probability over the sweeps; every document's tokens, training or not, stream
-     past them and sums are returned.
-
-Only vectors of a fixed number of contexts, totals, and at most HOT words of each task reach the driver. Words
-that are too frequent for one bucket are dealt by cell in step 3, with their totals broadcast.
+Each context, that is each previous word, has a Chinese restaurant whose dishes are the next words. All restaurants share
+one parent, whose customers are their tables; below it lies a uniform base over the vocabulary and one unseen word. The
+parent's discount is 0, so its probabilities depend on its customers alone and need no seating of their own.
+
+  1. tokens are counted as (context, word) cells, within tasks and then in buckets of the context, so that a restaurant
+     lies in one bucket; a token of a text that is held out makes a cell without customers, which is only asked for;
+  2. Gibbs sweeps, each from the seating before, take the customers of a cell out and seat them again given all the rest
+     (restaurants.seat), half a restaurant's dishes at a time. Between sweeps every bucket sends its tables by word, and gets
+     back the parent's customers of its own words. The first sweeps are burned in; the tables of the others stay in the cells;
+  3. predictive probabilities are averaged over those; every document's tokens, training or not, stream past their bucket's
+     cells and sums are returned.
+
+A context with over one in SHARE of all tokens is dealt out by cell, and its totals are added up between sweeps; these
+contexts, fewer than SHARE whatever the input, and three totals are all that reaches the driver. Buckets hold
+about BUCKET_TOKENS tokens at most, however large the input is. Draws are hashes, so a task that runs again draws the same.
 
 Defined results: null and empty texts are one end token. A null doc_id trains. Repeated rows count as often as they
 occur and are each scored. Without training tokens every token has the unseen word's probability. Other columns are ignored.
@@ -30,355 +31,334 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webgauge.llm.packing import BUFFER, batch_of, by_bucket, home, planes, unplanes
+from webgauge.llm.restaurants import DISCOUNT, ROOT, STRENGTH, seat
 from webgauge.llm.shared import partitions, release, written
 from webgauge.llm.textarrays import U64, Words, flat, mix, mix_int, slices
 
-CONTEXT_BITS, SWEEPS, BLOCKS, HOT = 18, 2, 64, 256
-#: Cells in a row of the written table, about; a word's cells are in one row.
-ROW_CELLS = 1 << 17
-CONTEXTS = 1 << CONTEXT_BITS
-DISCOUNT, STRENGTH = 0.8, 1.0
-ROOT_DISCOUNT, ROOT_STRENGTH = 0.6, 10.0
-WORD_BITS = 64 - CONTEXT_BITS
-_WORD = U64((1 << WORD_BITS) - 1)
-_END, _BEGIN = U64(mix_int(0xE0D)), mix_int(0xB05) >> WORD_BITS
-_CELLS = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
-_CELLS_SQL = "bucket int, keys binary, counts binary"
-_SUMS = pa.schema([("kind", pa.int32()), ("block", pa.int32()), ("data", pa.binary()), ("more", pa.binary()), ("totals", pa.list_(pa.float64()))])
-_SUMS_SQL = "kind int, block int, data binary, more binary, totals array<double>"
-_ASK = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), *((c, pa.binary()) for c in ("ids", "counts", "keys", "docs", "known"))])
-_ASK_SQL = "bucket int, kind int, ids binary, counts binary, keys binary, docs binary, known binary"
-#: Kinds of packed rows: cells of a bucket come before the questions; rows of documents themselves.
-CELLS, HOT_CELLS, ASKED, HOT_ASKED, DOCUMENTS, SUMS = range(6)
+BURN_IN, SWEEPS = 2, 3
+SHARE, BUCKET_TOKENS = 4096, 1 << 22
+_END, _BEGIN = U64(mix_int(0xE0D)), U64(mix_int(0xB05))
+_PACKED = pa.schema(
+    [
+        *((c, pa.int32()) for c in ("bucket", "kind", "origin")),
+        *((c, pa.binary()) for c in ("contexts", "sizes", "words", "index", "counts")),
+        *((c, pa.list_(pa.binary())) for c in ("tables", "customers")),
+        *((c, pa.binary()) for c in ("ids", "keys", "docs", "known")),
+        ("totals", pa.list_(pa.int64())),
+    ]
+)
+_PACKED_SQL = (
+    "bucket int, kind int, origin int, contexts binary, sizes binary, words binary, index binary, counts binary, "
+    "tables array<binary>, customers array<binary>, ids binary, keys binary, docs binary, known binary, totals array<long>"
+)
+#: Kinds of packed rows. A bucket's parents come before its cells, and those before the questions.
+PARENTS, CELLS, ASKED, DOCUMENTS, SUMS, WORDS, RESTAURANTS, TOTALS = range(8)
 
 
 def tokens(part: pa.RecordBatch, column: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of a slice: each token's text number, 64-bit word and context class, ends included, in order."""
+    """Of a slice: each token's text number, word and context, ends included, in order."""
     w = Words(*flat(part.column(column)), lower=True)
     n = len(w.counts)
     word = np.insert(w.hashes, w.first[1:], _END)
     of = np.repeat(np.arange(n), w.counts + 1)
     context = np.empty(len(word), U64)
-    context[1:] = mix(word[:-1]) >> U64(WORD_BITS)
-    context[np.cumsum(w.counts + 1) - (w.counts + 1)] = U64(_BEGIN)
+    context[1:] = word[:-1]
+    context[np.cumsum(w.counts + 1) - (w.counts + 1)] = _BEGIN
     return of, word, context
 
 
-def word_bucket(word: np.ndarray, buckets: int) -> np.ndarray:
-    return ((word >> U64(WORD_BITS)) % U64(buckets)).astype(np.int64)
+def pairs(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return mix(mix(context) + word)
+
+
+def deal(context: np.ndarray, pair: np.ndarray, hot: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix(np.where(np.isin(context, hot), pair, context) + U64(1)) % U64(buckets)).astype(np.int64)
+
+
+def starts(x: np.ndarray) -> np.ndarray:
+    """Places at which a new value begins."""
+    return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
+
+
+def merged(context: np.ndarray, word: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct cells in order of context and word, with their counts."""
+    order = np.lexsort((word, context))
+    context, word, counts = context[order], word[order], counts[order]
+    new = np.ones(len(word), bool)
+    new[1:] = (context[1:] != context[:-1]) | (word[1:] != word[:-1])
+    at = np.flatnonzero(new)
+    return context[at], word[at], (np.add.reduceat(counts, at) if len(at) else counts)
+
+
+def pack_cells(context: np.ndarray, word: np.ndarray, counts: np.ndarray) -> dict:
+    """Cells in order of context: contexts once each, words as numbers in a sorted dictionary."""
+    at = starts(context)
+    words, index = np.unique(word, return_inverse=True)
+    sizes = np.diff(np.append(at, len(context))).astype(np.int32)
+    return {"contexts": planes(context[at]), "sizes": planes(sizes), "words": planes(words), "index": planes(index.astype(np.int32)), "counts": planes(counts)}
+
 
+class Cells:
+    """A packed row of cells, opened. of: number of each cell's context; index: number of its word."""
 
-def cell_keys(word: np.ndarray, context: np.ndarray) -> np.ndarray:
-    return ((word & _WORD) << U64(CONTEXT_BITS)) | context
+    def __init__(self, row: dict):
+        self.row = row
+        self.contexts, self.words = (unplanes(row[c], np.uint64) for c in ("contexts", "words"))
+        self.of = np.repeat(np.arange(len(self.contexts)), unplanes(row["sizes"], np.int32))
+        self.index, self.counts = unplanes(row["index"], np.int32), unplanes(row["counts"], np.int64)
 
+    def pairs(self) -> np.ndarray:
+        return pairs(self.contexts[self.of], self.words[self.index])
 
-def merged(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    return keys[at], (np.add.reduceat(counts, at) if len(at) else counts)
+    def totals(self, values: np.ndarray, shared: np.ndarray, of_shared: np.ndarray) -> np.ndarray:
+        """Sums over each context; those of shared (sorted) contexts are known from all buckets."""
+        out = np.bincount(self.of, values, len(self.contexts))
+        if len(shared):
+            at = np.minimum(np.searchsorted(shared, self.contexts), len(shared) - 1)
+            hit = shared[at] == self.contexts
+            out[hit] = of_shared[at[hit]]
+        return out
 
 
-def count_batches(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """text, held_out to cells and counts of the training texts, by bucket."""
+class Model:
+    """What buckets must know of the others: training tokens, vocabulary, and for each sweep the parent's customers
+    and the shared contexts' tables. Sweep -1 is the start."""
+
+    def __init__(self, hot: np.ndarray):
+        self.hot = hot
+        self.tokens = self.words = 0
+        self.hot_counts = np.zeros(len(hot))
+        self.customers: dict[int, int] = {}
+        self.hot_tables: dict[int, np.ndarray] = {}
+
+    def parent(self, customers: np.ndarray, sweep: int) -> np.ndarray:
+        return (customers + ROOT) / (self.customers[sweep] + ROOT * (self.words + 1))
+
+
+def frequent_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """text to (context, n): the contexts with a share of a buffer's tokens, and all its tokens (null)."""
     held, size = [], 0
 
     def flush() -> pa.RecordBatch:
-        bucket, keys = (np.concatenate(x) for x in zip(*held))
+        names, n = np.unique(np.concatenate(held), return_counts=True)
         held.clear()
-        rows = []
-        for b, k in by_bucket(bucket, keys):
-            k, n = np.unique(k, return_counts=True)
-            rows.append({"bucket": b, "keys": planes(k), "counts": planes(n.astype(np.int64))})
-        return batch_of(_CELLS, rows)
+        use = n * SHARE > n.sum()
+        return pa.RecordBatch.from_arrays([pa.array([*names[use].view(np.int64).tolist(), None], pa.int64()), pa.array([*n[use].tolist(), int(n.sum())], pa.int64())], names=["context", "n"])
+
+    for batch in batches:
+        for part in slices(batch, 0):
+            held.append(tokens(part, 0)[2])
+            size += len(held[-1])
+            if size >= BUFFER:
+                yield flush()
+                size = 0
+    if size:
+        yield flush()
+
+
+def count_batches(batches: Iterator[pa.RecordBatch], hot: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """text, held_out to packed cells; tokens of texts held out don't count."""
+    held, size = [], 0
+
+    def flush() -> pa.RecordBatch:
+        context, word, counts = merged(*(np.concatenate(x) for x in zip(*held)))
+        held.clear()
+        bucket = deal(context, pairs(context, word), hot, buckets)
+        return batch_of(_PACKED, [{"bucket": b, "kind": CELLS} | pack_cells(*cells) for b, *cells in by_bucket(bucket, context, word, counts)])
 
     for batch in batches:
         for part in slices(batch, 0):
             of, word, context = tokens(part, 0)
-            use = ~part.column(1).to_numpy(zero_copy_only=False)[of]
-            word, context = word[use], context[use]
-            held.append((word_bucket(word, buckets), cell_keys(word, context)))
+            held.append((context, word, (~part.column(1).to_numpy(zero_copy_only=False)[of]).astype(np.int64)))
             size += len(word)
-            if size >= BUFFER:
+            if size >= BUFFER // 2:
                 yield flush()
                 size = 0
     if size:
         yield flush()
 
 
-def merge_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Cells in order of bucket to merged ones, some rows a bucket."""
+def told(cells: Cells, tables: np.ndarray, model: Model, buckets: int, count: bool) -> Iterator[dict]:
+    """What a bucket tells of its tables (and at first of its tokens): by word, and of each shared context."""
+    of_word = np.bincount(cells.index, tables, len(cells.words)).astype(np.int64)
+    uses = np.bincount(cells.index, cells.counts, len(cells.words)).astype(np.int64)
+    to = (mix(cells.words) % U64(buckets)).astype(np.int64)
+    for b, w, t, n in by_bucket(to, cells.words, of_word, uses):
+        yield {"bucket": b, "kind": WORDS, "origin": cells.row["bucket"], "words": planes(w), "tables": [planes(t)], "counts": planes(n) if count else None}
+    shared = np.flatnonzero(np.isin(cells.contexts, model.hot))
+    if len(shared):
+        sums = [np.bincount(cells.of, x, len(cells.contexts))[shared].astype(np.int64) for x in (tables, cells.counts)]
+        yield {"bucket": 0, "kind": RESTAURANTS, "contexts": planes(cells.contexts[shared]), "tables": [planes(sums[0])], "counts": planes(sums[1])}
+
+
+def merge_batches(batches: Iterator[pa.RecordBatch], model: Model, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Packed cells in order of bucket to one row a bucket, seated at one table each, and what it tells."""
     now, held = None, []
 
-    def flush() -> Iterator[pa.RecordBatch]:
-        keys, counts = merged(*(np.concatenate(x) for x in zip(*held)))
+    def flush() -> pa.RecordBatch:
+        row = {"bucket": now, "kind": CELLS} | pack_cells(*merged(*(np.concatenate(x) for x in zip(*held))))
         held.clear()
-        word = keys >> U64(CONTEXT_BITS)
-        starts = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
-        cuts = [0]
-        while cuts[-1] < len(keys):
-            nearest = np.searchsorted(starts, cuts[-1] + ROW_CELLS)
-            cuts.append(int(starts[nearest]) if nearest < len(starts) else len(keys))
-            a, b = cuts[-2:]
-            yield batch_of(_CELLS, [{"bucket": now, "keys": planes(keys[a:b]), "counts": planes(counts[a:b])}])
+        cells = Cells(row)
+        tables = (cells.counts > 0).astype(np.int32)
+        return batch_of(_PACKED, [row | {"tables": [planes(tables)], "customers": []}, *told(cells, tables, model, buckets, True)])
 
     for batch in batches:
         for row in batch.to_pylist():
             if row["bucket"] != now and held:
-                yield from flush()
+                yield flush()
             now = row["bucket"]
-            held.append((unplanes(row["keys"], np.uint64), unplanes(row["counts"], np.int64)))
-            if sum(len(k) for k, _ in held) > 2 * BUFFER and len(held) > 1:
+            c = Cells(row)
+            held.append((c.contexts[c.of], c.words[c.index], c.counts))
+            if len(held) > 1 and sum(len(h[0]) for h in held) > 2 * BUFFER:
                 held[:] = [merged(*(np.concatenate(x) for x in zip(*held)))]
     if held:
-        yield from flush()
-
-
-class State:
-    """What the buckets of a sweep must know of the others: totals, contexts, and for each finished sweep its tables."""
-
-    def __init__(self, tokens: int, words: int, context_counts: np.ndarray):
-        self.tokens, self.words, self.contexts = tokens, words, context_counts
-        self.sweeps: list[dict] = []  # tables: per context; customers, root_tables: of the parent
-        self.hot: dict[int, dict] = {}  # word: count, and customers and tables of each sweep
-
-    def base(self) -> float:
-        return 1.0 / (self.words + 1)
-
-    def room(self, sweep: int) -> np.ndarray:
-        """Per context, the mass that goes to the parent in a sweep's draws."""
-        tables = self.sweeps[sweep]["tables"] if sweep >= 0 else self.contexts * 0.7
-        return STRENGTH + DISCOUNT * tables
-
-    def parent(self, customers: np.ndarray, tables: np.ndarray, sweep: int) -> np.ndarray:
-        """The parent's probability of words with so many customers at so many tables."""
-        s = self.sweeps[sweep]
-        new = (ROOT_STRENGTH + ROOT_DISCOUNT * s["root_tables"]) * self.base()
-        return (customers - ROOT_DISCOUNT * tables + new) / (ROOT_STRENGTH + s["customers"])
-
-
-def draws(keys: np.ndarray, seated: int, sweep: int, level: int) -> np.ndarray:
-    h = mix(keys + U64(mix_int((seated << 8) + (sweep << 2) + level)))
-    return (h >> U64(11)).astype(np.float64) / 2.0**53
-
-
-def seat(customers: np.ndarray, keys: np.ndarray, mass: np.ndarray, discount: float, sweep: int, level: int) -> np.ndarray:
-    """Tables after seating so many customers of each dish; mass: of a new table, against customers less discounts."""
-    tables = (customers > 0).astype(np.float64)
-    at, k = np.flatnonzero(customers > 1), 1
-    while len(at):
-        step = np.minimum(max(1, k // 8), customers[at] - k) if k >= 32 else 1
-        new = mass[at] / (mass[at] + k - discount * tables[at])
-        tables[at] += np.floor(step * new + draws(keys[at], k, sweep, level))
-        k += max(1, k // 8) if k >= 32 else 1
-        at = at[customers[at] > k]
-    return tables
+        yield flush()
 
 
-def seatings(keys: np.ndarray, counts: np.ndarray, state: State, upto: int, hot: bool = False) -> Iterator[tuple]:
-    """Of sorted cells, for each sweep: tables, and by word its start, customers and tables at the parent.
+def parent_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What buckets tell, in order of the word's bucket, to the sums that each of them needs, and totals.
 
-    Cells with a count of 0 are asked for only.
-    """
-    word = keys >> U64(CONTEXT_BITS)
-    context = (keys & U64(CONTEXTS - 1)).astype(np.int64)
-    at = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
-    of = np.zeros(len(keys), np.int64)
-    of[at[1:]] = 1
-    of = np.cumsum(of)
-    names = word[at]
-    known = [state.hot[int(w)] for w in names] if hot else None
-    totals = np.array([h["count"] for h in known], np.float64) if hot else np.add.reduceat(counts, at).astype(np.float64)
-    p = (totals + 0.5) / (state.tokens + 0.5 * (state.words + 1))
-    for sweep in range(upto + 1):
-        tables = seat(counts, keys, state.room(sweep - 1)[context] * p[of], DISCOUNT, sweep, 0)
-        if hot:
-            customers, root = (np.array([h["sweeps"][sweep][i] for h in known]) for i in (0, 1))
-        else:
-            customers = np.add.reduceat(tables, at)
-            room = ROOT_STRENGTH + ROOT_DISCOUNT * (state.sweeps[sweep - 1]["root_tables"] if sweep else state.words)
-            root = seat(customers.astype(np.int64), names, np.full(len(names), room * state.base()), ROOT_DISCOUNT, sweep, 1)
-        yield tables, of, names, totals, customers, root
-        if sweep < len(state.sweeps):
-            p = state.parent(customers, root, sweep)
-
-
-def total_batches(batches: Iterator[pa.RecordBatch], state, sweep: int) -> Iterator[pa.RecordBatch]:
-    """A task's cells to their sums: before the first sweep (-1) counts, else the tables of that sweep.
-
-    One vector of contexts, the totals, and the most frequent words (before a sweep) or the known frequent ones.
+    Counts of training tokens are in the first round's rows only.
     """
-    sums, totals, top = np.zeros(CONTEXTS), np.zeros(2), []
-    for batch in batches:
-        for r in range(batch.num_rows):
-            keys, counts = unplanes(batch.column(1)[r].as_buffer(), np.uint64), unplanes(batch.column(2)[r].as_buffer(), np.int64)
-            context = (keys & U64(CONTEXTS - 1)).astype(np.int64)
-            if sweep < 0:
-                word = keys >> U64(CONTEXT_BITS)
-                at = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
-                names, uses = word[at], np.add.reduceat(counts, at)
-                sums += np.bincount(context, counts, CONTEXTS)
-                totals += counts.sum(), len(names)
-                first = np.argsort(-uses, kind="stable")[:HOT]
-                top = sorted([*top, *zip(uses[first].tolist(), names[first].tolist())], reverse=True)[:HOT]
-            else:
-                *_, last = seatings(keys, counts, state.value, sweep)
-                tables, _, names, uses, customers, root = last
-                sums += np.bincount(context, tables, CONTEXTS)
-                totals += customers.sum(), root.sum()
-                hot = np.isin(names, np.array(list(state.value.hot), np.uint64))
-                top += zip(uses[hot].tolist(), names[hot].tolist(), customers[hot].tolist(), root[hot].tolist())
-    names = np.array([t[1] for t in top], np.uint64)
-    more = np.array([[t[0], *t[2:]] for t in top], np.float64)
-    size = CONTEXTS // BLOCKS
-    rows = [{"kind": 0, "block": b, "data": sums[b * size : (b + 1) * size].astype(np.int64).tobytes()} for b in range(BLOCKS)]
-    rows += [{"kind": 1, "totals": totals.tolist()}, {"kind": 2, "data": names.tobytes(), "more": more.tobytes()}]
-    yield batch_of(_SUMS, rows)
-
-
-def add_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of blocks of contexts over the buckets."""
-    total: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for row in batch.to_pylist():
-            data = np.frombuffer(row["data"], np.int64)
-            total[row["block"]] = total[row["block"]] + data if row["block"] in total else data
-    yield batch_of(_SUMS, [{"kind": 0, "block": b, "data": d.tobytes()} for b, d in total.items()])
+    now, held = None, []
 
+    def flush() -> pa.RecordBatch:
+        words, index = np.unique(np.concatenate([w for _, w, *_ in held]), return_inverse=True)
+        tables = np.bincount(index, np.concatenate([t for *_, t, _ in held]), len(words)).astype(np.int64)
+        first = held[0][3] is not None
+        counts = np.bincount(index, np.concatenate([n for *_, n in held]), len(words)).astype(np.int64) if first else None
+        rows, at = [], 0
+        for origin, w, *_ in held:
+            mine = index[at : at + len(w)]
+            at += len(w)
+            rows.append({"bucket": origin, "kind": PARENTS, "words": planes(w), "tables": [planes(tables[mine])], "counts": planes(counts[mine]) if first else None})
+        totals = [int(tables.sum()), *((int(counts.sum()), int((counts > 0).sum())) if first else (0, 0))]
+        held.clear()
+        return batch_of(_PACKED, [*rows, {"bucket": -1, "kind": TOTALS, "totals": totals}])
 
-def gathered(cells: DataFrame, state, sweep: int) -> tuple[np.ndarray, np.ndarray, list]:
-    """Sums of a sweep: per context, the two totals, rows of frequent words."""
-    sums = written(cells.mapInArrow(partial(total_batches, state=state, sweep=sweep), _SUMS_SQL), "sums")
-    blocks = sums.where("kind = 0").repartition(min(BLOCKS, partitions(cells.sparkSession)), "block").mapInArrow(add_batches, _SUMS_SQL).collect()  # BLOCKS rows
-    vector = np.zeros(CONTEXTS, np.int64)
-    size = CONTEXTS // BLOCKS
-    for row in blocks:
-        vector[row["block"] * size : (row["block"] + 1) * size] += np.frombuffer(row["data"], np.int64)
-    t = sums.where("kind = 1").select(F.sum(F.col("totals")[0]), F.sum(F.col("totals")[1])).first()
-    return vector, np.array([t[0] or 0.0, t[1] or 0.0]), sums.where("kind = 2").collect()  # at most HOT words a task
+    for batch in batches:
+        for row in batch.select(["bucket", "origin", "words", "tables", "counts"]).to_pylist():
+            if row["bucket"] != now and held:
+                yield flush()
+            now = row["bucket"]
+            held.append((row["origin"], unplanes(row["words"], np.uint64), unplanes(row["tables"][0], np.int64), unplanes(row["counts"], np.int64) if row["counts"] else None))
+    if held:
+        yield flush()
 
 
-def ask_bucket(keys: np.ndarray, is_hot: np.ndarray, buckets: int) -> np.ndarray:
-    return (mix(np.where(is_hot, keys, keys >> U64(CONTEXT_BITS))) % U64(2 * buckets)).astype(np.int64)
+def gathered(rows: list[dict]) -> tuple[np.ndarray, np.ndarray | None]:
+    """The parent's customers, and at first the training tokens, of a bucket's words in order."""
+    order = np.argsort(np.concatenate([unplanes(r["words"], np.uint64) for r in rows]))
+    customers = np.concatenate([unplanes(r["tables"][0], np.int64) for r in rows])[order]
+    return customers, np.concatenate([unplanes(r["counts"], np.int64) for r in rows])[order] if rows[0]["counts"] else None
 
 
-def index_batches(batches: Iterator[pa.RecordBatch], state, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Written cells to the buckets of their questions."""
-    hot = np.array(sorted(state.value.hot), np.uint64)
+def sweep_batches(batches: Iterator[pa.RecordBatch], model, sweep: int, burn_in: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Parents and cells in order of bucket and kind to the cells seated anew, and what they tell."""
+    m: Model = model.value
+    parents: list[dict] = []
     for batch in batches:
-        for r in range(batch.num_rows):
-            keys, counts = unplanes(batch.column(1)[r].as_buffer(), np.uint64), unplanes(batch.column(2)[r].as_buffer(), np.int64)
-            is_hot = np.isin(keys >> U64(CONTEXT_BITS), hot)
-            bucket = ask_bucket(keys, is_hot, buckets)
-            rows = [
-                {"bucket": b, "kind": kind, "keys": planes(k), "counts": planes(n)}
-                for kind, use in ((CELLS, ~is_hot), (HOT_CELLS, is_hot))
-                for b, k, n in by_bucket(bucket[use], keys[use], counts[use])
-            ]
-            yield batch_of(_ASK, rows)
-
-
-class Index:
-    """The cells of a bucket, ready to be asked: log10 of each one's averaged probability, and what its word adds to unseen ones."""
-
-    def __init__(self, rows: list[tuple], model: State, hot: bool):
-        self.model, n = model, len(model.sweeps)
-        self.cells, counts = merged(*(np.concatenate(x) for x in zip((np.zeros(0, np.uint64), np.zeros(0, np.int64)), *rows)))
-        self.rooms = [model.room(s) for s in range(n)]
-        self.words, self.sums, parents = np.zeros(0, np.uint64), np.zeros(0), [np.zeros(0)] * n
-        if hot:  # of all frequent words, whether or not this bucket has a cell of them
-            self.words = np.array(sorted(model.hot), np.uint64)
-            known = [model.hot[int(w)] for w in self.words]
-            self.sums = np.array([h["count"] for h in known], np.float64)
-            parents = [model.parent(*(np.array([h["sweeps"][s][i] for h in known]) for i in (0, 1)), s) for s in range(n)]
-        total = np.zeros(len(self.cells))
-        context = (self.cells & U64(CONTEXTS - 1)).astype(np.int64)
-        for sweep, (tables, word, names, sums, customers, root) in enumerate(seatings(self.cells, counts, model, n - 1, hot) if len(counts) else ()):
-            p = model.parent(customers, root, sweep)
-            total += (counts - DISCOUNT * tables + model.room(sweep)[context] * p[word]) / (STRENGTH + model.contexts[context])
-            if not hot:
-                self.words, self.sums, parents[sweep] = names, sums, p
-        self.scores = np.log10(total / n)
-        # the last place is that of a word without training tokens
-        self.parents = [np.append(p, model.parent(np.zeros(1), np.zeros(1), s)) for s, p in enumerate(parents)]
-        self.sums = np.append(self.sums, 0.0)
-
-    def ask(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """log10 of each question's averaged probability, and its word's count."""
-        name = keys >> U64(CONTEXT_BITS)
-        word = np.searchsorted(self.words, name)
-        word[np.append(self.words, U64(0))[word] != name] = len(self.words)
-        at = np.searchsorted(self.cells, keys)
-        new = np.flatnonzero(np.append(self.cells, ~U64(0))[at] != keys)
-        score = np.append(self.scores, 0.0)[at]
-        context = (keys[new] & U64(CONTEXTS - 1)).astype(np.int64)
-        n = len(self.parents)
-        total = sum(self.rooms[s][context] * p[word[new]] for s, p in enumerate(self.parents)) / (STRENGTH + self.model.contexts[context])
-        score[new] = np.log10(total / n)
-        return score, self.sums[word]
-
-
-def ask_batches(batches: Iterator[pa.RecordBatch], state, buckets: int) -> Iterator[pa.RecordBatch]:
+        for row in batch.to_pylist():
+            if row["kind"] == PARENTS:
+                parents.append(row)
+                continue
+            cells = Cells(row)
+            customers, uses = gathered(parents)
+            parents = []
+            if uses is not None:  # kept with the cells from now on
+                row["known"] = planes(uses)
+            t, pair = unplanes(row["tables"][-1], np.int32).astype(np.int64), cells.pairs()
+            kept, of_kept = row["tables"][:-1], row["customers"]
+            if sweep > burn_in:
+                kept, of_kept = row["tables"], [*of_kept, planes(customers)]
+            in_all, several = m.customers[sweep - 1], cells.counts > 1
+            full = cells.totals(t, m.hot, m.hot_tables[sweep - 1])
+            for turn in (0, 1):
+                at = np.flatnonzero(several & ((pair >> U64(7)) & U64(1) == turn))
+                of, mine = cells.of[at], t[at]
+                t[at] = seat(cells.counts[at], full[of] - mine, customers[cells.index[at]] - mine, in_all - mine, m.words, pair[at], sweep)
+                full += np.bincount(of, t[at] - mine, len(full))
+            row = row | {"tables": [*kept, planes(t.astype(np.int32))], "customers": of_kept}
+            yield batch_of(_PACKED, [row, *told(cells, t, m, buckets, False)])
+
+
+def ask_batches(batches: Iterator[pa.RecordBatch], hot: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
     """row, doc_id, held_out, text to packed questions, and the rows themselves to their homes."""
-    hot = np.array(sorted(state.value.hot), np.uint64)
     held, size = [], 0
 
     def flush() -> pa.RecordBatch:
         owners, word, context = (np.concatenate(x) for x in zip(*held))
         held.clear()
-        keys = cell_keys(word, context)
-        is_hot = np.isin(word & _WORD, hot)
-        bucket = ask_bucket(keys, is_hot, buckets)
+        keys = pairs(context, word)
         rows = []
-        for kind, use in ((ASKED, ~is_hot), (HOT_ASKED, is_hot)):
-            for b, i, k in by_bucket(bucket[use], owners[use], keys[use]):
-                at = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]]))
-                rows.append(
-                    {
-                        "bucket": b,
-                        "kind": kind,
-                        "ids": planes(np.diff(i[at], prepend=np.int64(0))),
-                        "counts": planes(np.diff(np.append(at, len(i))).astype(np.int32)),
-                        "keys": k.tobytes(),
-                    }
-                )
-        return batch_of(_ASK, rows)
+        for b, i, k in by_bucket(deal(context, keys, hot, buckets), owners, keys):
+            at = starts(i)
+            sizes = np.diff(np.append(at, len(i))).astype(np.int32)
+            rows.append({"bucket": b, "kind": ASKED, "ids": planes(np.diff(i[at], prepend=np.int64(0))), "counts": planes(sizes), "keys": k.tobytes()})
+        return batch_of(_PACKED, rows)
 
     for batch in batches:
         for part in slices(batch, 3):
             of, word, context = tokens(part, 3)
-            number = part.column(0).to_numpy(zero_copy_only=False)
-            out = part.column(2).to_numpy(zero_copy_only=False)
+            number, out, doc = (part.column(i) for i in (0, 2, 1))
+            number = number.to_numpy(zero_copy_only=False)
             held.append((number[of], word, context))
             size += len(word)
-            docs, known = part.column(1).fill_null(0).to_numpy(zero_copy_only=False), part.column(1).is_valid().to_numpy(zero_copy_only=False)
-            flags = known.astype(np.uint8) + 2 * out.astype(np.uint8)
+            flags = doc.is_valid().to_numpy(zero_copy_only=False).astype(np.uint8) + 2 * out.to_numpy(zero_copy_only=False).astype(np.uint8)
             yield batch_of(
-                _ASK,
+                _PACKED,
                 [
                     {"bucket": h, "kind": DOCUMENTS, "ids": planes(np.diff(i, prepend=np.int64(0))), "docs": planes(d), "known": f.tobytes()}
-                    for h, i, d, f in by_bucket(home(number, buckets), number, docs, flags)
+                    for h, i, d, f in by_bucket(home(number, buckets), number, doc.fill_null(0).to_numpy(zero_copy_only=False), flags)
                 ],
             )
-            if size >= BUFFER // 2:
+            if size >= BUFFER // 4:
                 yield flush()
                 size = 0
     if size:
         yield flush()
 
 
-def answer_batches(batches: Iterator[pa.RecordBatch], state, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Questions in order of bucket and kind to sums for the documents: log10 of model and of count + 1, known tokens."""
-    model: State = state.value
-    now, kind, size, held, cells, index = None, None, 0, [], [], None
+class Index:
+    """The cells of a bucket, ready to be asked: log10 of each one's averaged probability, and its word's training tokens."""
+
+    def __init__(self, row: dict, parents: list[dict], model: Model):
+        cells = Cells(row)
+        customers, uses = gathered(parents)
+        uses = unplanes(row["known"], np.int64) if uses is None else uses
+        every = [*(unplanes(c, np.int64) for c in row["customers"]), customers]
+        room = STRENGTH + cells.totals(cells.counts, model.hot, model.hot_counts)
+        total = np.zeros(len(cells.counts))
+        last = max(model.customers)
+        for sweep, tables, at_parent in zip(range(last - len(every) + 1, last + 1), row["tables"], every):
+            t = unplanes(tables, np.int32)
+            new = STRENGTH + DISCOUNT * cells.totals(t, model.hot, model.hot_tables[sweep])
+            total += (cells.counts - DISCOUNT * t + new[cells.of] * model.parent(at_parent, sweep)[cells.index]) / room[cells.of]
+        keys = cells.pairs()
+        order = np.argsort(keys)
+        self.keys = keys[order]
+        self.scores = np.log10(total / len(every))[order]
+        self.uses = uses[cells.index[order]]
 
-    def flush() -> list[dict]:
+    def ask(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.searchsorted(self.keys, keys)
+        return self.scores[at], self.uses[at]
+
+
+def answer_batches(batches: Iterator[pa.RecordBatch], model, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Parents, cells and questions in order of bucket and kind to sums for the documents.
+
+    Sums are of log10 of model and of count + 1, and known tokens. Questions are answered while they are read.
+    """
+    now, size, held, parents, index = None, 0, [], [], None
+
+    def flush() -> pa.RecordBatch:
         columns = []
-        for r, keys in held:
-            score, count = index.ask(keys)
+        for r in held:
+            score, uses = index.ask(np.frombuffer(r["keys"], np.uint64))
             sizes = unplanes(r["counts"], np.int32)
             at = np.cumsum(sizes) - sizes
-            columns.append((np.cumsum(unplanes(r["ids"], np.int64)), *(np.add.reduceat(x, at) for x in (score, np.log10(count + 1), (count > 0).astype(np.int32))), sizes))
+            columns.append((np.cumsum(unplanes(r["ids"], np.int64)), *(np.add.reduceat(x, at) for x in (score, np.log10(uses + 1.0), (uses > 0).astype(np.int32))), sizes))
         held.clear()
         rows = []
         owners, *columns = (np.concatenate(x) for x in zip(*columns))
@@ -389,39 +369,36 @@ def answer_batches(batches: Iterator[pa.RecordBatch], state, buckets: int) -> It
                     "bucket": h,
                     "kind": SUMS,
                     "ids": planes(np.diff(i[order], prepend=np.int64(0))),
-                    "keys": s[order].astype(np.float32).tobytes(),
+                    "keys": s[order].tobytes(),
                     "docs": b[order].tobytes(),
                     "known": planes(k[order].astype(np.int32)),
                     "counts": planes(c[order]),
                 }
             )
-        return rows
+        return batch_of(_PACKED, rows)
 
     for batch in batches:
         through = []
         for r in range(batch.num_rows):
             row = batch.slice(r, 1).to_pylist()[0]
-            if held and (row["bucket"] != now or row["kind"] != kind or size >= BUFFER // 4):
-                yield batch_of(_ASK, flush())
+            if held and (row["bucket"] != now or size >= BUFFER // 8):
+                yield flush()
                 size = 0
             if row["bucket"] != now:
-                cells, index, kind = {CELLS: [], HOT_CELLS: []}, None, None
-            now = row["bucket"]
+                now, parents, index = row["bucket"], [], None
             if row["kind"] == DOCUMENTS:
                 through.append(row)
-            elif row["kind"] in (CELLS, HOT_CELLS):
-                cells[row["kind"]].append((unplanes(row["keys"], np.uint64), unplanes(row["counts"], np.int64)))
+            elif row["kind"] == PARENTS:
+                parents.append(row)
+            elif row["kind"] == CELLS:
+                index, parents = Index(row, parents, model.value), []
             else:
-                if row["kind"] != kind:
-                    index = None
-                    index = Index(cells.pop(CELLS if row["kind"] == ASKED else HOT_CELLS), model, row["kind"] == HOT_ASKED)
-                kind = row["kind"]
-                held.append((row, np.frombuffer(row["keys"], np.uint64)))
-                size += len(held[-1][1])
+                held.append(row)
+                size += len(row["keys"]) // 8
         if through:
-            yield batch_of(_ASK, through)
+            yield batch_of(_PACKED, through)
     if held:
-        yield batch_of(_ASK, flush())
+        yield flush()
 
 
 _RESULT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_log", pa.float64()), ("score", pa.float64())])
@@ -461,41 +438,68 @@ def finish_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             if row["kind"] == DOCUMENTS:
                 docs.append((numbers, unplanes(row["docs"], np.int64), np.frombuffer(row["known"], np.uint8)))
             else:
-                sums.append(
-                    (numbers, unplanes(row["known"], np.int32), np.frombuffer(row["docs"], np.float64), np.frombuffer(row["keys"], np.float32).astype(np.float64), unplanes(row["counts"], np.int32))
-                )
+                sums.append((numbers, unplanes(row["known"], np.int32), np.frombuffer(row["docs"], np.float64), np.frombuffer(row["keys"], np.float64), unplanes(row["counts"], np.int32)))
     if docs:
         yield flush()
 
 
-def score(docs: DataFrame, held_out, sweeps: int = SWEEPS) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; ``held_out``: a boolean column."""
-    spark, buckets = docs.sparkSession, partitions(docs.sparkSession)
+def restaurant_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for r in batch.select(["contexts", "tables", "counts"]).to_pylist():
+            yield pa.RecordBatch.from_arrays([pa.array(unplanes(x, np.int64)) for x in (r["contexts"], r["tables"][0], r["counts"])], names=["context", "tables", "n"])
+
+
+def score(docs: DataFrame, held_out, burn_in: int = BURN_IN, sweeps: int = SWEEPS) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; ``held_out``: a boolean column.
+
+    ``burn_in`` sweeps are thrown away, the next ``sweeps`` (1 at least) averaged.
+    """
+    spark = docs.sparkSession
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), "text")
-    counted = d.select("text", "held_out").mapInArrow(partial(count_batches, buckets=buckets), _CELLS_SQL)
-    cells = written(counted.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(merge_batches, _CELLS_SQL), "cells")
+    often = d.select("text").mapInArrow(frequent_batches, "context long, n long").groupBy("context").agg(F.sum("n").alias("n"))
+    often = written(often, "frequent")
+    every = often.where("context is null").agg(F.sum("n")).first()[0] or 0
+    shared = often.where((F.col("context").isNotNull()) & (F.col("n") * SHARE > every)).select("context").collect()  # fewer than SHARE
+    model = Model(np.sort(np.array([r["context"] for r in shared], np.int64).view(np.uint64)))
+    buckets = max(partitions(spark), -(-every // BUCKET_TOKENS))
+
+    def at_bucket(df: DataFrame) -> DataFrame:
+        return df.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind")
+
+    def learn(step: DataFrame, sweep: int) -> DataFrame:
+        """The parent's rows for the next sweep, written; the model takes in the totals of this one."""
+        parents = written(at_bucket(step.where(F.col("kind") == WORDS)).mapInArrow(parent_batches, _PACKED_SQL), "parents")
+        customers, n, v = (x or 0 for x in parents.where(F.col("kind") == TOTALS).agg(*(F.sum(F.col("totals")[i]) for i in range(3))).first())
+        model.customers[sweep] = customers
+        model.hot_tables[sweep] = np.zeros(len(model.hot))
+        if sweep < 0:
+            model.tokens, model.words = n, v
+        if len(model.hot):
+            sums = step.where(F.col("kind") == RESTAURANTS).mapInArrow(restaurant_batches, "context long, tables long, n long").groupBy("context").sum("tables", "n").collect()
+            at = np.searchsorted(model.hot, np.array([r[0] for r in sums], np.int64).view(np.uint64))
+            model.hot_tables[sweep][at] = [r[1] for r in sums]
+            model.hot_counts[at] = [r[2] for r in sums]
+        return parents.where(F.col("kind") == PARENTS)
+
+    counted = d.select("text", "held_out").mapInArrow(partial(count_batches, hot=model.hot, buckets=buckets), _PACKED_SQL)
+    step = written(at_bucket(counted).mapInArrow(partial(merge_batches, model=model, buckets=buckets), _PACKED_SQL), "cells")
     del counted
     release(spark)
-    contexts, (n, v), top = gathered(cells, None, -1)
-    state = State(int(n), int(v), contexts)
-    for row in top:
-        for word, count in zip(np.frombuffer(row["data"], np.uint64), np.frombuffer(row["more"], np.float64)):
-            if count * 4 * buckets > n:  # at most 4 * buckets words
-                state.hot[int(word)] = {"count": int(count), "sweeps": []}
-    for sweep in range(sweeps):
-        shared = spark.sparkContext.broadcast(state)  # some vectors of CONTEXTS numbers
-        tables, (customers, root), top = gathered(cells, shared, sweep)
-        state.sweeps.append({"tables": tables, "customers": customers, "root_tables": root})
-        for row in top:
-            for word, (_, c, r) in zip(np.frombuffer(row["data"], np.uint64), np.frombuffer(row["more"], np.float64).reshape(-1, 3)):
-                state.hot[int(word)]["sweeps"].append((c, r))
-    shared = spark.sparkContext.broadcast(state)
+    parents = learn(step, -1)
+    for sweep in range(burn_in + sweeps):
+        now = spark.sparkContext.broadcast(model)  # some numbers for each shared context
+        met = at_bucket(step.where(F.col("kind") == CELLS).unionByName(parents))
+        step = written(met.mapInArrow(partial(sweep_batches, model=now, sweep=sweep, burn_in=burn_in, buckets=buckets), _PACKED_SQL), "cells")
+        del met
+        parents = learn(step, sweep)
+        release(spark)
+    now = spark.sparkContext.broadcast(model)
     rows = d.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text")
-    asked = rows.mapInArrow(partial(ask_batches, state=shared, buckets=buckets), _ASK_SQL)
-    asked = asked.unionByName(cells.mapInArrow(partial(index_batches, state=shared, buckets=buckets), _ASK_SQL)).repartition(2 * buckets, "bucket").sortWithinPartitions("bucket", "kind")
-    answers = asked.mapInArrow(partial(answer_batches, state=shared, buckets=buckets), _ASK_SQL).repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind")
+    asked = rows.mapInArrow(partial(ask_batches, hot=model.hot, buckets=buckets), _PACKED_SQL)
+    met = at_bucket(asked.unionByName(step.where(F.col("kind") == CELLS)).unionByName(parents))
+    answers = at_bucket(met.mapInArrow(partial(answer_batches, model=now, buckets=buckets), _PACKED_SQL))
     sums = answers.mapInArrow(finish_batches, "doc_id long, held_out boolean, n_tokens long, n_known long, base_log double, score double")
-    floor = float(np.log10(state.tokens + state.words + 1))
+    floor = float(np.log10(model.tokens + model.words + 1))
     return sums.select(
-        "doc_id", "held_out", "n_tokens", "n_known", F.lit(state.tokens).cast("long").alias("train_tokens"), (F.col("base_log") - F.col("n_tokens") * floor).alias("base_score"), "score"
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), (F.col("base_log") - F.col("n_tokens") * floor).alias("base_score"), "score"
     )
