@@ -155,7 +155,7 @@ def test_average_probabilities_are_those_of_a_plain_sampler():
     *_, (model, cells, parents) = swept(texts, 130, burn_in=20)
     got = {}
     for row in cells:
-        index = lm.Index(row, [p for p in parents if p["bucket"] == row["bucket"]], model)
+        index = lm.Index(row, [p for p in parents if p["bucket"] == row["bucket"]], model, 3)
         got |= dict(zip(index.keys.tolist(), (10**index.scores).tolist()))
     name = lambda w: {"<begin>": int(lm._BEGIN), "<end>": int(lm._END)}.get(w) or int(lm.Words(*lm.flat(pa.array([w]))).hashes[0])
     off = [got[int(lm.pairs(np.array([name(c)], np.uint64), np.array([name(w)], np.uint64))[0])] / p - 1 for (c, w), p in want.items()]
@@ -174,7 +174,7 @@ def test_probabilities_sum_to_one(shared):
     last = max(model.customers)
     for row in cells:
         c = lm.Cells(row)
-        at_parent, _ = lm.gathered([p for p in parents if p["bucket"] == row["bucket"]])
+        at_parent, _ = lm.gathered([p for p in parents if p["bucket"] == row["bucket"]], c.words, 3)
         customers |= dict(zip(c.words.tolist(), at_parent.tolist()))
         t = lm.unplanes(row["tables"][-1], np.int32)
         assert ((t >= 1) & (t <= c.counts)).all() or (c.counts == 0).any()

@@ -14,7 +14,8 @@ parent's discount is 0, so its probabilities depend on its customers alone and n
 
 A context with over one in SHARE of all tokens is dealt out by cell, and its totals are added up between sweeps; these
 contexts, fewer than SHARE whatever the input, and three totals are all that reaches the driver. Buckets hold
-about BUCKET_TOKENS tokens at most, however large the input is. Draws are hashes, so a task that runs again draws the same.
+about BUCKET_TOKENS tokens, however large the input is. Questions are asked in ROUNDS, so that only a part of them
+lies on disk at a time. Draws are hashes, so a task that runs again draws the same.
 
 Defined results: null and empty texts are one end token. A null doc_id trains. Repeated rows count as often as they
 occur and are each scored. Without training tokens every token has the unseen word's probability. Other columns are ignored.
@@ -23,7 +24,7 @@ occur and are each scored. Without training tokens every token has the unseen wo
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,11 +33,11 @@ from pyspark.sql import functions as F
 
 from webgauge.llm.packing import BUFFER, batch_of, by_bucket, home, planes, unplanes
 from webgauge.llm.restaurants import DISCOUNT, ROOT, STRENGTH, seat
-from webgauge.llm.shared import partitions, release, written
+from webgauge.llm.shared import emptied, partitions, release, scratch_dir, written
 from webgauge.llm.textarrays import U64, Words, flat, mix, mix_int, slices
 
 BURN_IN, SWEEPS = 2, 3
-SHARE, BUCKET_TOKENS = 4096, 1 << 22
+SHARE, BUCKET_TOKENS, ROUNDS = 4096, 1 << 20, 2
 _END, _BEGIN = U64(mix_int(0xE0D)), U64(mix_int(0xB05))
 _PACKED = pa.schema(
     [
@@ -75,6 +76,10 @@ def deal(context: np.ndarray, pair: np.ndarray, hot: np.ndarray, buckets: int) -
     return (mix(np.where(np.isin(context, hot), pair, context) + U64(1)) % U64(buckets)).astype(np.int64)
 
 
+def word_bucket(words: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix(words) % U64(buckets)).astype(np.int64)
+
+
 def starts(x: np.ndarray) -> np.ndarray:
     """Places at which a new value begins."""
     return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
@@ -182,8 +187,7 @@ def told(cells: Cells, tables: np.ndarray, model: Model, buckets: int, count: bo
     """What a bucket tells of its tables (and at first of its tokens): by word, and of each shared context."""
     of_word = np.bincount(cells.index, tables, len(cells.words)).astype(np.int64)
     uses = np.bincount(cells.index, cells.counts, len(cells.words)).astype(np.int64)
-    to = (mix(cells.words) % U64(buckets)).astype(np.int64)
-    for b, w, t, n in by_bucket(to, cells.words, of_word, uses):
+    for b, w, t, n in by_bucket(word_bucket(cells.words, buckets), cells.words, of_word, uses):
         yield {"bucket": b, "kind": WORDS, "origin": cells.row["bucket"], "words": planes(w), "tables": [planes(t)], "counts": planes(n) if count else None}
     shared = np.flatnonzero(np.isin(cells.contexts, model.hot))
     if len(shared):
@@ -195,24 +199,26 @@ def merge_batches(batches: Iterator[pa.RecordBatch], model: Model, buckets: int)
     """Packed cells in order of bucket to one row a bucket, seated at one table each, and what it tells."""
     now, held = None, []
 
-    def flush() -> pa.RecordBatch:
+    def flush() -> Iterator[pa.RecordBatch]:
         row = {"bucket": now, "kind": CELLS} | pack_cells(*merged(*(np.concatenate(x) for x in zip(*held))))
         held.clear()
         cells = Cells(row)
         tables = (cells.counts > 0).astype(np.int32)
-        return batch_of(_PACKED, [row | {"tables": [planes(tables)], "customers": []}, *told(cells, tables, model, buckets, True)])
+        yield batch_of(_PACKED, [row | {"tables": [planes(tables)], "customers": []}])
+        yield batch_of(_PACKED, list(told(cells, tables, model, buckets, True)))
 
     for batch in batches:
-        for row in batch.to_pylist():
+        for r in range(batch.num_rows):
+            row = batch.slice(r, 1).to_pylist()[0]
             if row["bucket"] != now and held:
-                yield flush()
+                yield from flush()
             now = row["bucket"]
             c = Cells(row)
             held.append((c.contexts[c.of], c.words[c.index], c.counts))
-            if len(held) > 1 and sum(len(h[0]) for h in held) > 2 * BUFFER:
+            if len(held) > 1 and sum(len(h[0]) for h in held) > BUFFER:
                 held[:] = [merged(*(np.concatenate(x) for x in zip(*held)))]
     if held:
-        yield flush()
+        yield from flush()
 
 
 def parent_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,7 +237,7 @@ def parent_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         for origin, w, *_ in held:
             mine = index[at : at + len(w)]
             at += len(w)
-            rows.append({"bucket": origin, "kind": PARENTS, "words": planes(w), "tables": [planes(tables[mine])], "counts": planes(counts[mine]) if first else None})
+            rows.append({"bucket": origin, "kind": PARENTS, "origin": now, "tables": [planes(tables[mine])], "counts": planes(counts[mine]) if first else None})
         totals = [int(tables.sum()), *((int(counts.sum()), int((counts > 0).sum())) if first else (0, 0))]
         held.clear()
         return batch_of(_PACKED, [*rows, {"bucket": -1, "kind": TOTALS, "totals": totals}])
@@ -246,11 +252,18 @@ def parent_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield flush()
 
 
-def gathered(rows: list[dict]) -> tuple[np.ndarray, np.ndarray | None]:
-    """The parent's customers, and at first the training tokens, of a bucket's words in order."""
-    order = np.argsort(np.concatenate([unplanes(r["words"], np.uint64) for r in rows]))
-    customers = np.concatenate([unplanes(r["tables"][0], np.int64) for r in rows])[order]
-    return customers, np.concatenate([unplanes(r["counts"], np.int64) for r in rows])[order] if rows[0]["counts"] else None
+def gathered(rows: list[dict], words: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray | None]:
+    """The parent's customers, and at first the training tokens, of a bucket's words, from one reply for each bucket of words."""
+    rows = sorted(rows, key=lambda r: r["origin"])
+    order = np.argsort(word_bucket(words, buckets), kind="stable")
+    out = []
+    for values in ([r["tables"][0] for r in rows], [r["counts"] for r in rows]):
+        if values and values[0] is not None:
+            out.append(np.empty(len(words), np.int64))
+            out[-1][order] = np.concatenate([unplanes(v, np.int64) for v in values])
+        else:
+            out.append(None)
+    return tuple(out)
 
 
 def sweep_batches(batches: Iterator[pa.RecordBatch], model, sweep: int, burn_in: int, buckets: int) -> Iterator[pa.RecordBatch]:
@@ -258,12 +271,13 @@ def sweep_batches(batches: Iterator[pa.RecordBatch], model, sweep: int, burn_in:
     m: Model = model.value
     parents: list[dict] = []
     for batch in batches:
-        for row in batch.to_pylist():
+        for r in range(batch.num_rows):
+            row = batch.slice(r, 1).to_pylist()[0]
             if row["kind"] == PARENTS:
                 parents.append(row)
                 continue
             cells = Cells(row)
-            customers, uses = gathered(parents)
+            customers, uses = gathered(parents, cells.words, buckets)
             parents = []
             if uses is not None:  # kept with the cells from now on
                 row["known"] = planes(uses)
@@ -279,7 +293,8 @@ def sweep_batches(batches: Iterator[pa.RecordBatch], model, sweep: int, burn_in:
                 t[at] = seat(cells.counts[at], full[of] - mine, customers[cells.index[at]] - mine, in_all - mine, m.words, pair[at], sweep)
                 full += np.bincount(of, t[at] - mine, len(full))
             row = row | {"tables": [*kept, planes(t.astype(np.int32))], "customers": of_kept}
-            yield batch_of(_PACKED, [row, *told(cells, t, m, buckets, False)])
+            yield batch_of(_PACKED, [row])
+            yield batch_of(_PACKED, list(told(cells, t, m, buckets, False)))
 
 
 def ask_batches(batches: Iterator[pa.RecordBatch], hot: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
@@ -322,9 +337,9 @@ def ask_batches(batches: Iterator[pa.RecordBatch], hot: np.ndarray, buckets: int
 class Index:
     """The cells of a bucket, ready to be asked: log10 of each one's averaged probability, and its word's training tokens."""
 
-    def __init__(self, row: dict, parents: list[dict], model: Model):
+    def __init__(self, row: dict, parents: list[dict], model: Model, buckets: int):
         cells = Cells(row)
-        customers, uses = gathered(parents)
+        customers, uses = gathered(parents, cells.words, buckets)
         uses = unplanes(row["known"], np.int64) if uses is None else uses
         every = [*(unplanes(c, np.int64) for c in row["customers"]), customers]
         room = STRENGTH + cells.totals(cells.counts, model.hot, model.hot_counts)
@@ -391,7 +406,7 @@ def answer_batches(batches: Iterator[pa.RecordBatch], model, buckets: int) -> It
             elif row["kind"] == PARENTS:
                 parents.append(row)
             elif row["kind"] == CELLS:
-                index, parents = Index(row, parents, model.value), []
+                index, parents = Index(row, parents, model.value, buckets), []
             else:
                 held.append(row)
                 size += len(row["keys"]) // 8
@@ -464,11 +479,14 @@ def score(docs: DataFrame, held_out, burn_in: int = BURN_IN, sweeps: int = SWEEP
     buckets = max(partitions(spark), -(-every // BUCKET_TOKENS))
 
     def at_bucket(df: DataFrame) -> DataFrame:
-        return df.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind")
+        return df.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket", "kind")
+
+    places = {name: [scratch_dir(spark, name) for _ in range(2)] for name in ("cells", "parents")}
 
     def learn(step: DataFrame, sweep: int) -> DataFrame:
         """The parent's rows for the next sweep, written; the model takes in the totals of this one."""
-        parents = written(at_bucket(step.where(F.col("kind") == WORDS)).mapInArrow(parent_batches, _PACKED_SQL), "parents")
+        told = at_bucket(step.where(F.col("kind") == WORDS).select("bucket", "kind", "origin", "words", "tables", "counts"))
+        parents = written(told.mapInArrow(parent_batches, _PACKED_SQL), "parents", places["parents"][sweep % 2])
         customers, n, v = (x or 0 for x in parents.where(F.col("kind") == TOTALS).agg(*(F.sum(F.col("totals")[i]) for i in range(3))).first())
         model.customers[sweep] = customers
         model.hot_tables[sweep] = np.zeros(len(model.hot))
@@ -482,24 +500,30 @@ def score(docs: DataFrame, held_out, burn_in: int = BURN_IN, sweeps: int = SWEEP
         return parents.where(F.col("kind") == PARENTS)
 
     counted = d.select("text", "held_out").mapInArrow(partial(count_batches, hot=model.hot, buckets=buckets), _PACKED_SQL)
-    step = written(at_bucket(counted).mapInArrow(partial(merge_batches, model=model, buckets=buckets), _PACKED_SQL), "cells")
+    step = written(at_bucket(counted).mapInArrow(partial(merge_batches, model=model, buckets=buckets), _PACKED_SQL), "cells", places["cells"][1])
     del counted
     release(spark)
     parents = learn(step, -1)
     for sweep in range(burn_in + sweeps):
         now = spark.sparkContext.broadcast(model)  # some numbers for each shared context
         met = at_bucket(step.where(F.col("kind") == CELLS).unionByName(parents))
-        step = written(met.mapInArrow(partial(sweep_batches, model=now, sweep=sweep, burn_in=burn_in, buckets=buckets), _PACKED_SQL), "cells")
+        step = written(met.mapInArrow(partial(sweep_batches, model=now, sweep=sweep, burn_in=burn_in, buckets=buckets), _PACKED_SQL), "cells", places["cells"][sweep % 2])
         del met
-        parents = learn(step, sweep)
         release(spark)
+        parents = learn(step, sweep)
     now = spark.sparkContext.broadcast(model)
-    rows = d.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text")
-    asked = rows.mapInArrow(partial(ask_batches, hot=model.hot, buckets=buckets), _PACKED_SQL)
-    met = at_bucket(asked.unionByName(step.where(F.col("kind") == CELLS)).unionByName(parents))
-    answers = at_bucket(met.mapInArrow(partial(answer_batches, model=now, buckets=buckets), _PACKED_SQL))
-    sums = answers.mapInArrow(finish_batches, "doc_id long, held_out boolean, n_tokens long, n_known long, base_log double, score double")
+    emptied(spark, *(p[(burn_in + sweeps) % 2] for p in places.values()))
+    out = []
+    for k in range(ROUNDS):
+        rows = d.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text").where(F.col("row") % ROUNDS == k)
+        asked = rows.mapInArrow(partial(ask_batches, hot=model.hot, buckets=buckets), _PACKED_SQL)
+        met = at_bucket(asked.unionByName(step.where(F.col("kind") == CELLS)).unionByName(parents))
+        answers = at_bucket(met.mapInArrow(partial(answer_batches, model=now, buckets=buckets), _PACKED_SQL))
+        out.append(written(answers.mapInArrow(finish_batches, "doc_id long, held_out boolean, n_tokens long, n_known long, base_log double, score double"), "scores"))
+        del asked, met, answers
+        release(spark)
+    emptied(spark, *(path for p in places.values() for path in p))
     floor = float(np.log10(model.tokens + model.words + 1))
-    return sums.select(
+    return reduce(DataFrame.unionByName, out).select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), (F.col("base_log") - F.col("n_tokens") * floor).alias("base_score"), "score"
     )

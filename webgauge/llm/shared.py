@@ -23,15 +23,24 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """The same rows, written once as Parquet in the shared folder and read back: lineage ends here."""
+def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """The same rows, written once as Parquet in the shared folder and read back: lineage ends here.
+
+    What lies at ``path``, if one is given, is replaced; steps that follow each other take turns between two such paths.
+    """
     spark = df.sparkSession
-    path = scratch_dir(spark, name)
+    path = path or scratch_dir(spark, name)
     schema = df.schema
-    df.write.options(**options).parquet(path)
+    df.write.mode("overwrite").parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
+def emptied(spark: SparkSession, *paths: str) -> None:
+    """Written tables that nothing needs any more give their space back."""
+    for path in paths:
+        spark.range(0).write.mode("overwrite").parquet(path)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of frames that nothing refers to any more.
 
