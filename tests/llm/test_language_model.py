@@ -86,9 +86,9 @@ def swept(texts, sweeps, burn_in=2, buckets=3, hot=()):
         for r in rows:
             if r["kind"] == lm.RESTAURANTS:
                 at = np.searchsorted(model.hot, lm.unplanes(r["contexts"], np.uint64))
-                model.hot_tables[sweep][at] += lm.unplanes(r["tables"][0], np.int64)
+                model.hot_tables[sweep][at] += lm.widened(r["tables"][0])
                 if sweep < 0:
-                    model.hot_counts[at] += lm.unplanes(r["counts"], np.int64)
+                    model.hot_counts[at] += lm.widened(r["counts"])
         yield model, [r for r in rows if r["kind"] == lm.CELLS], parents
 
 
@@ -176,7 +176,7 @@ def test_probabilities_sum_to_one(shared):
         c = lm.Cells(row)
         at_parent, _ = lm.gathered([p for p in parents if p["bucket"] == row["bucket"]], c.words, 3)
         customers |= dict(zip(c.words.tolist(), at_parent.tolist()))
-        t = lm.unplanes(row["tables"][-1], np.int32)
+        t = c.tables(row["tables"][-1])
         assert ((t >= 1) & (t <= c.counts)).all() or (c.counts == 0).any()
         new = lm.STRENGTH + lm.DISCOUNT * c.totals(t, model.hot, model.hot_tables[last])
         room = lm.STRENGTH + c.totals(c.counts, model.hot, model.hot_counts)

@@ -36,8 +36,8 @@ from webgauge.llm.restaurants import DISCOUNT, ROOT, STRENGTH, seat
 from webgauge.llm.shared import emptied, partitions, release, scratch_dir, written
 from webgauge.llm.textarrays import U64, Words, flat, mix, mix_int, slices
 
-BURN_IN, SWEEPS = 2, 3
-SHARE, BUCKET_TOKENS, ROUNDS = 4096, 1 << 20, 2
+BURN_IN, SWEEPS = 1, 3
+SHARE, BUCKET_TOKENS, ROUNDS, MOST_PARTITIONS = 4096, 1 << 20, 2, 20_000
 _END, _BEGIN = U64(mix_int(0xE0D)), U64(mix_int(0xB05))
 _PACKED = pa.schema(
     [
@@ -72,8 +72,29 @@ def pairs(context: np.ndarray, word: np.ndarray) -> np.ndarray:
     return mix(mix(context) + word)
 
 
+def within(x: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of x are in known (sorted), and where."""
+    if not len(known):
+        return np.zeros(len(x), bool), np.zeros(len(x), np.int64)
+    at = np.minimum(np.searchsorted(known, x), len(known) - 1)
+    return known[at] == x, at
+
+
+def narrow(x: np.ndarray) -> bytes:
+    """Whole numbers of 0 or more in as few bytes each as the largest needs."""
+    width = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
+    return bytes([width]) + x.astype(np.int64).view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def widened(data: bytes) -> np.ndarray:
+    planes_ = np.frombuffer(data, np.uint8, offset=1).reshape(data[0], -1)
+    out = np.zeros((planes_.shape[1], 8), np.uint8)
+    out[:, : data[0]] = planes_.T
+    return out.view(np.int64).ravel()
+
+
 def deal(context: np.ndarray, pair: np.ndarray, hot: np.ndarray, buckets: int) -> np.ndarray:
-    return (mix(np.where(np.isin(context, hot), pair, context) + U64(1)) % U64(buckets)).astype(np.int64)
+    return (mix(np.where(within(context, hot)[0], pair, context) + U64(1)) % U64(buckets)).astype(np.int64)
 
 
 def word_bucket(words: np.ndarray, buckets: int) -> np.ndarray:
@@ -86,42 +107,52 @@ def starts(x: np.ndarray) -> np.ndarray:
 
 
 def merged(context: np.ndarray, word: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct cells in order of context and word, with their counts."""
-    order = np.lexsort((word, context))
-    context, word, counts = context[order], word[order], counts[order]
-    new = np.ones(len(word), bool)
-    new[1:] = (context[1:] != context[:-1]) | (word[1:] != word[:-1])
-    at = np.flatnonzero(new)
-    return context[at], word[at], (np.add.reduceat(counts, at) if len(at) else counts)
+    """Distinct cells with their counts."""
+    pair = pairs(context, word)
+    order = np.argsort(pair)
+    at = starts(pair[order])
+    first = order[at]
+    return context[first], word[first], (np.add.reduceat(counts[order], at) if len(at) else counts)
 
 
 def pack_cells(context: np.ndarray, word: np.ndarray, counts: np.ndarray) -> dict:
     """Cells in order of context: contexts once each, words as numbers in a sorted dictionary."""
+    order = np.argsort(context)
+    context = context[order]
     at = starts(context)
-    words, index = np.unique(word, return_inverse=True)
-    sizes = np.diff(np.append(at, len(context))).astype(np.int32)
-    return {"contexts": planes(context[at]), "sizes": planes(sizes), "words": planes(words), "index": planes(index.astype(np.int32)), "counts": planes(counts)}
+    words, index = np.unique(word[order], return_inverse=True)
+    sizes = np.diff(np.append(at, len(context)))
+    return {"contexts": planes(context[at]), "sizes": narrow(sizes), "words": planes(words), "index": narrow(index), "counts": narrow(counts[order])}
 
 
 class Cells:
-    """A packed row of cells, opened. of: number of each cell's context; index: number of its word."""
+    """A packed row of cells, opened. of: number of each cell's context; index: number of its word.
+
+    Tables are stored of cells of several customers only; one customer has one.
+    """
 
     def __init__(self, row: dict):
         self.row = row
         self.contexts, self.words = (unplanes(row[c], np.uint64) for c in ("contexts", "words"))
-        self.of = np.repeat(np.arange(len(self.contexts)), unplanes(row["sizes"], np.int32))
-        self.index, self.counts = unplanes(row["index"], np.int32), unplanes(row["counts"], np.int64)
+        self.of = np.repeat(np.arange(len(self.contexts)), widened(row["sizes"]))
+        self.index, self.counts = widened(row["index"]), widened(row["counts"])
 
     def pairs(self) -> np.ndarray:
         return pairs(self.contexts[self.of], self.words[self.index])
 
+    def tables(self, data: bytes) -> np.ndarray:
+        out = self.counts.copy()
+        out[self.counts > 1] = widened(data)
+        return out
+
+    def pack_tables(self, tables: np.ndarray) -> bytes:
+        return narrow(tables[self.counts > 1])
+
     def totals(self, values: np.ndarray, shared: np.ndarray, of_shared: np.ndarray) -> np.ndarray:
         """Sums over each context; those of shared (sorted) contexts are known from all buckets."""
         out = np.bincount(self.of, values, len(self.contexts))
-        if len(shared):
-            at = np.minimum(np.searchsorted(shared, self.contexts), len(shared) - 1)
-            hit = shared[at] == self.contexts
-            out[hit] = of_shared[at[hit]]
+        hit, at = within(self.contexts, shared)
+        out[hit] = of_shared[at[hit]]
         return out
 
 
@@ -145,10 +176,12 @@ def frequent_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     held, size = [], 0
 
     def flush() -> pa.RecordBatch:
-        names, n = np.unique(np.concatenate(held), return_counts=True)
+        context = np.concatenate(held)
         held.clear()
-        use = n * SHARE > n.sum()
-        return pa.RecordBatch.from_arrays([pa.array([*names[use].view(np.int64).tolist(), None], pa.int64()), pa.array([*n[use].tolist(), int(n.sum())], pa.int64())], names=["context", "n"])
+        often = np.bincount((context >> U64(48)).astype(np.int64), minlength=1 << 16) * SHARE > len(context)  # of the first 16 bits
+        names, n = np.unique(context[often[(context >> U64(48)).astype(np.int64)]], return_counts=True)
+        use = n * SHARE > len(context)
+        return pa.RecordBatch.from_arrays([pa.array([*names[use].view(np.int64).tolist(), None], pa.int64()), pa.array([*n[use].tolist(), len(context)], pa.int64())], names=["context", "n"])
 
     for batch in batches:
         for part in slices(batch, 0):
@@ -188,11 +221,11 @@ def told(cells: Cells, tables: np.ndarray, model: Model, buckets: int, count: bo
     of_word = np.bincount(cells.index, tables, len(cells.words)).astype(np.int64)
     uses = np.bincount(cells.index, cells.counts, len(cells.words)).astype(np.int64)
     for b, w, t, n in by_bucket(word_bucket(cells.words, buckets), cells.words, of_word, uses):
-        yield {"bucket": b, "kind": WORDS, "origin": cells.row["bucket"], "words": planes(w), "tables": [planes(t)], "counts": planes(n) if count else None}
-    shared = np.flatnonzero(np.isin(cells.contexts, model.hot))
+        yield {"bucket": b, "kind": WORDS, "origin": cells.row["bucket"], "words": planes(w), "tables": [narrow(t)], "counts": narrow(n) if count else None}
+    shared = np.flatnonzero(within(cells.contexts, model.hot)[0])
     if len(shared):
         sums = [np.bincount(cells.of, x, len(cells.contexts))[shared].astype(np.int64) for x in (tables, cells.counts)]
-        yield {"bucket": 0, "kind": RESTAURANTS, "contexts": planes(cells.contexts[shared]), "tables": [planes(sums[0])], "counts": planes(sums[1])}
+        yield {"bucket": 0, "kind": RESTAURANTS, "contexts": planes(cells.contexts[shared]), "tables": [narrow(sums[0])], "counts": narrow(sums[1])}
 
 
 def merge_batches(batches: Iterator[pa.RecordBatch], model: Model, buckets: int) -> Iterator[pa.RecordBatch]:
@@ -203,8 +236,8 @@ def merge_batches(batches: Iterator[pa.RecordBatch], model: Model, buckets: int)
         row = {"bucket": now, "kind": CELLS} | pack_cells(*merged(*(np.concatenate(x) for x in zip(*held))))
         held.clear()
         cells = Cells(row)
-        tables = (cells.counts > 0).astype(np.int32)
-        yield batch_of(_PACKED, [row | {"tables": [planes(tables)], "customers": []}])
+        tables = np.minimum(cells.counts, 1)
+        yield batch_of(_PACKED, [row | {"tables": [cells.pack_tables(tables)], "customers": []}])
         yield batch_of(_PACKED, list(told(cells, tables, model, buckets, True)))
 
     for batch in batches:
@@ -237,7 +270,7 @@ def parent_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         for origin, w, *_ in held:
             mine = index[at : at + len(w)]
             at += len(w)
-            rows.append({"bucket": origin, "kind": PARENTS, "origin": now, "tables": [planes(tables[mine])], "counts": planes(counts[mine]) if first else None})
+            rows.append({"bucket": origin, "kind": PARENTS, "origin": now, "tables": [narrow(tables[mine])], "counts": narrow(counts[mine]) if first else None})
         totals = [int(tables.sum()), *((int(counts.sum()), int((counts > 0).sum())) if first else (0, 0))]
         held.clear()
         return batch_of(_PACKED, [*rows, {"bucket": -1, "kind": TOTALS, "totals": totals}])
@@ -247,7 +280,7 @@ def parent_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             if row["bucket"] != now and held:
                 yield flush()
             now = row["bucket"]
-            held.append((row["origin"], unplanes(row["words"], np.uint64), unplanes(row["tables"][0], np.int64), unplanes(row["counts"], np.int64) if row["counts"] else None))
+            held.append((row["origin"], unplanes(row["words"], np.uint64), widened(row["tables"][0]), widened(row["counts"]) if row["counts"] else None))
     if held:
         yield flush()
 
@@ -260,7 +293,7 @@ def gathered(rows: list[dict], words: np.ndarray, buckets: int) -> tuple[np.ndar
     for values in ([r["tables"][0] for r in rows], [r["counts"] for r in rows]):
         if values and values[0] is not None:
             out.append(np.empty(len(words), np.int64))
-            out[-1][order] = np.concatenate([unplanes(v, np.int64) for v in values])
+            out[-1][order] = np.concatenate([widened(v) for v in values])
         else:
             out.append(None)
     return tuple(out)
@@ -280,11 +313,11 @@ def sweep_batches(batches: Iterator[pa.RecordBatch], model, sweep: int, burn_in:
             customers, uses = gathered(parents, cells.words, buckets)
             parents = []
             if uses is not None:  # kept with the cells from now on
-                row["known"] = planes(uses)
-            t, pair = unplanes(row["tables"][-1], np.int32).astype(np.int64), cells.pairs()
+                row["known"] = narrow(uses)
+            t, pair = cells.tables(row["tables"][-1]), cells.pairs()
             kept, of_kept = row["tables"][:-1], row["customers"]
             if sweep > burn_in:
-                kept, of_kept = row["tables"], [*of_kept, planes(customers)]
+                kept, of_kept = row["tables"], [*of_kept, narrow(customers)]
             in_all, several = m.customers[sweep - 1], cells.counts > 1
             full = cells.totals(t, m.hot, m.hot_tables[sweep - 1])
             for turn in (0, 1):
@@ -292,7 +325,7 @@ def sweep_batches(batches: Iterator[pa.RecordBatch], model, sweep: int, burn_in:
                 of, mine = cells.of[at], t[at]
                 t[at] = seat(cells.counts[at], full[of] - mine, customers[cells.index[at]] - mine, in_all - mine, m.words, pair[at], sweep)
                 full += np.bincount(of, t[at] - mine, len(full))
-            row = row | {"tables": [*kept, planes(t.astype(np.int32))], "customers": of_kept}
+            row = row | {"tables": [*kept, cells.pack_tables(t)], "customers": of_kept}
             yield batch_of(_PACKED, [row])
             yield batch_of(_PACKED, list(told(cells, t, m, buckets, False)))
 
@@ -340,13 +373,13 @@ class Index:
     def __init__(self, row: dict, parents: list[dict], model: Model, buckets: int):
         cells = Cells(row)
         customers, uses = gathered(parents, cells.words, buckets)
-        uses = unplanes(row["known"], np.int64) if uses is None else uses
-        every = [*(unplanes(c, np.int64) for c in row["customers"]), customers]
+        uses = widened(row["known"]) if uses is None else uses
+        every = [*map(widened, row["customers"]), customers]
         room = STRENGTH + cells.totals(cells.counts, model.hot, model.hot_counts)
         total = np.zeros(len(cells.counts))
         last = max(model.customers)
         for sweep, tables, at_parent in zip(range(last - len(every) + 1, last + 1), row["tables"], every):
-            t = unplanes(tables, np.int32)
+            t = cells.tables(tables)
             new = STRENGTH + DISCOUNT * cells.totals(t, model.hot, model.hot_tables[sweep])
             total += (cells.counts - DISCOUNT * t + new[cells.of] * model.parent(at_parent, sweep)[cells.index]) / room[cells.of]
         keys = cells.pairs()
@@ -461,7 +494,8 @@ def finish_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def restaurant_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for r in batch.select(["contexts", "tables", "counts"]).to_pylist():
-            yield pa.RecordBatch.from_arrays([pa.array(unplanes(x, np.int64)) for x in (r["contexts"], r["tables"][0], r["counts"])], names=["context", "tables", "n"])
+            columns = unplanes(r["contexts"], np.int64), widened(r["tables"][0]), widened(r["counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["context", "tables", "n"])
 
 
 def score(docs: DataFrame, held_out, burn_in: int = BURN_IN, sweeps: int = SWEEPS) -> DataFrame:
@@ -479,7 +513,7 @@ def score(docs: DataFrame, held_out, burn_in: int = BURN_IN, sweeps: int = SWEEP
     buckets = max(partitions(spark), -(-every // BUCKET_TOKENS))
 
     def at_bucket(df: DataFrame) -> DataFrame:
-        return df.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket", "kind")
+        return df.repartition(max(partitions(spark), min(buckets, MOST_PARTITIONS)), "bucket").sortWithinPartitions("bucket", "kind")
 
     places = {name: [scratch_dir(spark, name) for _ in range(2)] for name in ("cells", "parents")}
 
