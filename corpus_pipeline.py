@@ -1,7 +1,12 @@
 """From raw documents to a training mix, one operator a stage.
 
 Each stage takes (spark, docs, sf_dir) and returns a frame; run() writes it as Parquet in the shared folder and reads it
-back as the next stage's docs. All but the last keep the columns of documents.
+back as the next stage's docs. All but the last keep the columns of documents, whatever further ones it has.
+
+Defined results: a null, empty or blank text is rejected by the first stage. Rows that share an id are judged each by its own
+text in the first and fourth stage; in the second and third they are one node, never each other's copies. A row without
+an id is nobody's copy and loses nothing to substring removal. Empty tables give empty results, and an empty
+benchmark removes nothing.
 """
 
 from __future__ import annotations
@@ -9,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from webgauge.llm import decontam, minhash, mixing, quality, substring_dedup
-from webgauge.llm.shared import release, scratch_dir
+from webgauge.llm.shared import written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,10 +58,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        out, path = stage(spark, docs, sf_dir), scratch_dir(spark, f"stage-{name}")
-        schema = out.schema
-        out.write.parquet(path)
-        docs = spark.read.schema(schema).parquet(path)
-        del out
-        release(spark)
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
     return docs
