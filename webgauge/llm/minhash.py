@@ -6,10 +6,12 @@ ones, corrected for chance, estimates the similarity of a candidate pair. Only p
 the threshold go on; those are confirmed on the full shingle sets.
 
 Documents with equal sets are one class from the start and are represented by their smallest id. Within a bucket no
-list of all pairs is made. First every member is tried against the bucket's first. Links found so join members into
-components. Buckets that then still hold several components are compared in tiles of bounded size: pairs across
-components whose estimate passes are confirmed within the tile, and only links that join something are emitted; so no
-link between components is lost to the shortcut. A pair at the threshold shares no band with probability 5e-8.
+list of pairs is made. First every document is tried against one other, the smallest first of its buckets; links join
+documents into components. In buckets that still hold several of these, the members are tried against the bucket's first.
+What then is still open is compared in tiles of bounded size: a tile holds members of one bucket, tells first by signatures
+which members have a partner in another component, gets the sets of those, and emits only confirmed links that
+join something; so no link between components is lost to the shortcuts. A pair at the threshold shares no band with
+probability 5e-8, and its estimate is five standard errors off with 3e-7.
 
 Defined results: a document with fewer words than a shingle has one, its whole text; null and empty texts have
 none, link with nothing and stay. A null id links with nothing and stays. Rows that share an id are one node. Other
@@ -27,12 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webgauge.llm.components import components
-from webgauge.llm.shared import maybe_broadcast, release, written
+from webgauge.llm.shared import maybe_broadcast, written
 from webgauge.llm.textarrays import Words, flat, mix, slices
 
 SHINGLE, PERCENT = 5, 80
 BANDS, ROWS, BITS = 32, 4, 4
 TILE = 256
+_MEMBER = pa.schema([("tile", pa.string()), ("side", pa.int32()), ("band", pa.int32()), ("node", pa.int64()), ("component", pa.int64()), ("size", pa.int64()), ("bits", pa.binary())])
 _rng = np.random.Generator(np.random.PCG64(77))
 _ADD = _rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
 _TIMES = _rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -134,53 +137,73 @@ def confirm_batches(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator
         yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
 
-def tile_batches(batches: Iterator[pa.RecordBatch], least: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """Rows (tile, side, node, component, bits, shingles) in order of tile to links between components.
-
-    A pair's estimate decides whether its full sets are compared; of links that join what the tile's links have
-    joined already, none is emitted.
-    """
-
-    def links(rows: dict[str, list]) -> pa.RecordBatch:
-        side, node, part = (np.array(rows[c]) for c in ("side", "node", "component"))
-        bits = np.frombuffer(b"".join(rows["bits"]), np.uint8).reshape(len(node), -1)
-        sets = [np.frombuffer(x, np.uint64) for x in rows["shingles"]]
-        sizes = np.array([len(x) for x in sets])
-        left, right = np.flatnonzero(side <= 1), np.flatnonzero(side >= 1)  # side 1: the tile of a block with itself
+class Tile:
+    """Some members of one bucket: rows (tile, side, band, node, component, size, bits[, bands, shingles])."""
+
+    def __init__(self, rows: list[dict], least: int, percent: int):
+        self.rows, self.least, self.percent = rows, least, percent
+        self.side, self.node, self.part, self.sizes = (np.array([r[c] for r in rows]) for c in ("side", "node", "component", "size"))
+        self.bits = np.frombuffer(b"".join(r["bits"] for r in rows), np.uint8).reshape(len(rows), -1)
+        self.left, self.right = np.flatnonzero(self.side <= 1), np.flatnonzero(self.side >= 1)  # side 1: a block with itself
+
+    def near(self, i: int) -> np.ndarray:
+        """Members across from i, of other components, whose sizes and packed signatures allow for a link."""
+        j = self.right[self.part[self.right] != self.part[i]]
+        if self.side[i] == 1:
+            j = j[self.node[j] > self.node[i]]
+        small, large = np.minimum(self.sizes[j], self.sizes[i]), np.maximum(self.sizes[j], self.sizes[i])
+        j = j[100 * small >= self.percent * large]
+        return j[equal_minima(self.bits[j], self.bits[i]) >= self.least]
+
+    def promising(self) -> pa.RecordBatch:
+        """The members with a partner whose estimate passes; at most one row for each."""
+        use = np.zeros(len(self.rows), bool)
+        for i in self.left:
+            j = self.near(i)
+            use[j] = True
+            use[i] |= len(j) > 0
+        rows = [{c: self.rows[i][c] for c in _MEMBER.names} for i in np.flatnonzero(use)]
+        return pa.RecordBatch.from_pylist(rows, schema=_MEMBER)
+
+    def links(self) -> pa.RecordBatch:
+        """Links between components, confirmed on full sets; none of those that join what the tile's links have joined."""
+        sets = [np.frombuffer(r["shingles"], np.uint64) for r in self.rows]
+        bands = np.array([r["bands"] for r in self.rows])
         a, b = [], []
-        for i in left:
-            near = right[part[right] != part[i]]
-            if side[i] == 1:
-                near = near[node[near] > node[i]]
-            small, large = np.minimum(sizes[near], sizes[i]), np.maximum(sizes[near], sizes[i])
-            near = near[(100 * small >= percent * large)]
-            for j in near[equal_minima(bits[near], bits[i]) >= least]:
-                if part[j] != part[i]:
-                    both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                    if 100 * both >= percent * (sizes[i] + sizes[j] - both):
-                        a.append(min(node[i], node[j]))
-                        b.append(max(node[i], node[j]))
-                        part[part == part[j]] = part[i]
+        for i in self.left:
+            j = self.near(i)
+            # a pair that shares several bands is looked at in the first one only
+            j = j[np.argmax(bands[j] == bands[i], axis=1) == self.rows[i]["band"]]
+            if not len(j):
+                continue
+            at = np.cumsum([0, *(len(sets[k]) for k in j)])
+            every = np.concatenate([sets[k] for k in j])
+            place = np.minimum(np.searchsorted(sets[i], every), len(sets[i]) - 1)
+            both = np.add.reduceat((sets[i][place] == every).astype(np.int64), at[:-1])
+            for k in j[100 * both >= self.percent * (self.sizes[i] + self.sizes[j] - both)]:
+                if self.part[k] != self.part[i]:
+                    a.append(min(self.node[i], self.node[k]))
+                    b.append(max(self.node[i], self.node[k]))
+                    self.part[self.part == self.part[k]] = self.part[i]
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    now, rows = None, None
+
+def tile_batches(batches: Iterator[pa.RecordBatch], least: int, percent: int, confirm: bool) -> Iterator[pa.RecordBatch]:
+    """Members in order of tile to the promising ones, or to links."""
+
+    def done(rows: list[dict]) -> pa.RecordBatch:
+        tile = Tile(rows, least, percent)
+        return tile.links() if confirm else tile.promising()
+
+    held: list[dict] = []
     for batch in batches:
-        names = batch.column(0).to_pylist()
-        columns = {c: batch.column(i).to_pylist() for i, c in enumerate(("tile", "side", "node", "component", "bits", "shingles"))}
-        at = 0
-        while at < len(names):
-            to = at
-            while to < len(names) and names[to] == names[at]:
-                to += 1
-            if names[at] != now:
-                if rows:
-                    yield links(rows)
-                now, rows = names[at], {c: [] for c in columns}
-            for c, values in columns.items():
-                rows[c].extend(values[at:to])
-            at = to
-    if rows:
-        yield links(rows)
+        for row in batch.to_pylist():
+            if held and row["tile"] != held[0]["tile"]:
+                yield done(held)
+                held = []
+            held.append(row)
+    if held:
+        yield done(held)
 
 
 def estimated(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
@@ -207,40 +230,44 @@ def confirmed(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFr
     return written(both.mapInArrow(partial(confirm_batches, percent=percent), "a long, b long"), "links")
 
 
-def across(docs: DataFrame, members: DataFrame, parts: DataFrame, bits: DataFrame, n: int, percent: int) -> DataFrame | None:
-    """Links (a, b), written, between components that meet in a bucket; None if no bucket is left open.
+def open_members(members: DataFrame, parts: DataFrame) -> DataFrame:
+    """key, band, first, node, component of the buckets that hold several components."""
+    m = members.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    several = m.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    return m.join(several.where("lo <> hi").select("key", "n"), "key").select("key", "band", "first", "n", "node", "component")
+
+
+def across(docs: DataFrame, members: DataFrame, heads: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links (a, b), written, between components that meet in an open bucket.
 
-    Buckets with members in common form groups, so each member's set is sent to its group once, not to each bucket.
-    A group is compared in tiles of two blocks of about TILE members, but for its largest component with itself.
+    A bucket is compared in tiles of two blocks of about TILE members; its largest component isn't compared with itself.
+    Signatures come first; the sets follow of the members that have a partner whose estimate passes.
     """
-    m = members.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_keys = m.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-    # of a bucket of two, the only pair has been tried
-    m = written(m.join(open_keys.where("n > 2 and lo <> hi").select("key"), "key").select("first", "node", "component"), "open")
-    if m.isEmpty():
-        return None
-    group = components(m.where("first <> node").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct())
-    nodes = written(m.select("node", "component").distinct().join(group.withColumnRenamed("component", "group"), "node"), "groups")
-    sets = shingle_sets(docs, nodes.select("node"), n)
-    # the largest component of a group isn't compared with itself: its blocks come last and meet only the others' blocks
-    sizes = nodes.groupBy("group", "component").agg(F.count("*").alias("n"))
-    top = sizes.groupBy("group").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n"))
-    top = top.select("group", F.col("top.component").alias("bulk"), F.ceil((F.col("n") - F.col("top.n")) / TILE).cast("int").alias("few"), F.ceil(F.col("top.n") / TILE).cast("int").alias("many"))
-    g = nodes.join(top.where("few > 0"), "group").join(bits, "node").join(sets, "node")
-    in_bulk = F.col("component") == F.col("bulk")
-    spread = F.xxhash64("node")
+    sizes = members.groupBy("key", "component").agg(F.count("*").alias("of"))
+    top = sizes.groupBy("key").agg(F.max(F.struct("of", "component")).alias("top"), F.sum("of").alias("all"))
+    blocks = lambda x: F.ceil(x / TILE).cast("int")
+    top = top.select("key", F.col("top.component").alias("bulk"), blocks(F.col("all") - F.col("top.of")).alias("few"), blocks(F.col("top.of")).alias("many"))
+    in_bulk, spread = F.col("component") == F.col("bulk"), F.xxhash64("node")
     block = F.when(in_bulk, F.col("few") + F.pmod(spread, F.col("many"))).otherwise(F.pmod(spread, F.col("few"))).cast("int")
     others = F.sequence(F.lit(0), F.when(in_bulk, F.col("few")).otherwise(F.col("few") + F.col("many")) - 1)
-    g = g.select("group", "node", "component", "bits", "shingles", block.alias("block"), F.explode(others).alias("other"))
-    tile = F.concat_ws("/", "group", F.least("block", "other"), F.greatest("block", "other"))
+    m = members.join(top, "key").select("key", "band", "node", "component", block.alias("block"), F.explode(others).alias("other"))
     side = F.when(F.col("block") == F.col("other"), 1).when(F.col("block") < F.col("other"), 0).otherwise(2)
-    tiles = g.select(tile.alias("tile"), side.alias("side"), "node", "component", "bits", "shingles").repartition("tile").sortWithinPartitions("tile")
-    return written(tiles.mapInArrow(partial(tile_batches, least=least_equal(percent), percent=percent), "a long, b long"), "across")
+    m = m.select(F.concat_ws("/", "key", F.least("block", "other"), F.greatest("block", "other")).alias("tile"), side.alias("side"), "band", "node", "component")
+
+    def tiled(rows: DataFrame, confirm: bool, out: str) -> DataFrame:
+        at_tile = rows.repartition("tile").sortWithinPartitions("tile")
+        return at_tile.mapInArrow(partial(tile_batches, least=least_equal(percent), percent=percent, confirm=confirm), out)
+
+    signed = m.join(heads.select("node", F.col("n_shingles").alias("size"), "bits"), "node")
+    good = written(tiled(signed, False, "tile string, side int, band int, node long, component long, size long, bits binary"), "promising")
+    nodes = written(good.select("node").distinct(), "nodes")
+    sets = shingle_sets(docs, nodes, n)
+    full = good.join(sets, "node").join(heads.select("node", "bands"), "node")
+    return written(tiled(full, True, "a long, b long"), "across")
 
 
 def near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document."""
-    spark = docs.sparkSession
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = written(
         d.mapInArrow(partial(sign_batches, n=n), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, bits binary"), "signatures"
@@ -249,21 +276,24 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -
     classes = written(some.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("node")), "classes")
     of_class = F.col("doc_id") == F.col("node")
     same = of_class & (F.col("s.d1") == F.col("c.d1")) & (F.col("s.d2") == F.col("c.d2"))
-    heads = some.alias("s").join(classes.alias("c"), same).select("node", "bands", "bits").dropDuplicates(["node", "bands"])
+    heads = some.alias("s").join(classes.alias("c"), same).select("node", "s.n_shingles", "bands", "bits").dropDuplicates(["node", "bands"])
     heads = written(heads, "heads")
     bits = heads.select("node", "bits")
-    banded = heads.select(F.explode("bands").alias("key"), "node")
+    banded = heads.select(F.posexplode("bands").alias("band", "key"), "node")
     shared = banded.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last").select("key", "first")
-    members = written(banded.join(shared, "key").select("key", "node", "first"), "members")
-    release(spark)
-    star = members.where("first <> node").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
-    links = confirmed(d, estimated(star, bits, percent), n, percent)
+    members = written(banded.join(shared, "key").select("key", "band", "node", "first"), "members")
+    # everyone is tried against the smallest first of its buckets; then, in the buckets still open, against their firsts
+    pairs = members.where("first < node").groupBy("node").agg(F.min("first").alias("a")).select("a", F.col("node").alias("b"))
+    links = confirmed(d, estimated(pairs, bits, percent), n, percent)
+    still = written(open_members(members, components(links)), "open")
+    lead = still.where("first = node").select("key", F.col("component").alias("of_first"))
+    pairs = still.join(lead, "key").where("component <> of_first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
+    links = written(links.unionByName(confirmed(d, estimated(pairs, bits, percent), n, percent)), "links")
     parts = components(links)
-    more = across(d, members, parts, bits, n, percent)
-    if more is not None and not more.isEmpty():
-        links = links.unionByName(more)
+    still = written(open_members(still.drop("component", "n"), parts).where("n > 2"), "open")  # of two, the only pair has been tried
+    if not still.isEmpty():
+        links = links.unionByName(across(d, still, heads, n, percent))
         parts = components(links)
-    release(spark)
     of = signed.select("doc_id", "n_shingles", "d1", "d2").alias("s").join(
         classes.alias("c"), ["d1", "d2", "n_shingles"], "left"
     ).select("s.doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("node", "doc_id")).alias("node"))
