@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from webgauge.llm.packing import BUFFER, batch_of, by_bucket, home, planes, unplanes
 from webgauge.llm.restaurants import DISCOUNT, ROOT, STRENGTH, seat
-from webgauge.llm.shared import emptied, partitions, release, scratch_dir, written
+from webgauge.llm.shared import emptied, partitions, scratch_dir, written
 from webgauge.llm.textarrays import U64, Words, flat, mix, mix_int, slices
 
 BURN_IN, SWEEPS = 1, 3
@@ -535,15 +535,11 @@ def score(docs: DataFrame, held_out, burn_in: int = BURN_IN, sweeps: int = SWEEP
 
     counted = d.select("text", "held_out").mapInArrow(partial(count_batches, hot=model.hot, buckets=buckets), _PACKED_SQL)
     step = written(at_bucket(counted).mapInArrow(partial(merge_batches, model=model, buckets=buckets), _PACKED_SQL), "cells", places["cells"][1])
-    del counted
-    release(spark)
     parents = learn(step, -1)
     for sweep in range(burn_in + sweeps):
         now = spark.sparkContext.broadcast(model)  # some numbers for each shared context
         met = at_bucket(step.where(F.col("kind") == CELLS).unionByName(parents))
         step = written(met.mapInArrow(partial(sweep_batches, model=now, sweep=sweep, burn_in=burn_in, buckets=buckets), _PACKED_SQL), "cells", places["cells"][sweep % 2])
-        del met
-        release(spark)
         parents = learn(step, sweep)
     now = spark.sparkContext.broadcast(model)
     emptied(spark, *(p[(burn_in + sweeps) % 2] for p in places.values()))
@@ -554,8 +550,6 @@ def score(docs: DataFrame, held_out, burn_in: int = BURN_IN, sweeps: int = SWEEP
         met = at_bucket(asked.unionByName(step.where(F.col("kind") == CELLS)).unionByName(parents))
         answers = at_bucket(met.mapInArrow(partial(answer_batches, model=now, buckets=buckets), _PACKED_SQL))
         out.append(written(answers.mapInArrow(finish_batches, "doc_id long, held_out boolean, n_tokens long, n_known long, base_log double, score double"), "scores"))
-        del asked, met, answers
-        release(spark)
     emptied(spark, *(path for p in places.values() for path in p))
     floor = float(np.log10(model.tokens + model.words + 1))
     return reduce(DataFrame.unionByName, out).select(

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +10,7 @@ from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only if it has been counted and is at most this many rows of a few longs.
 BROADCAST_ROWS = 500_000
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
@@ -27,11 +26,16 @@ def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """The same rows, written once as Parquet in the shared folder and read back: lineage ends here.
 
     What lies at ``path``, if one is given, is replaced; steps that follow each other take turns between two such paths.
+    The shuffle files of the write go as soon as it has ended.
     """
     spark = df.sparkSession
     path = path or scratch_dir(spark, name)
-    schema = df.schema
-    df.write.mode("overwrite").parquet(path)
+    schema, before = df.schema, spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(schema).parquet(path)
 
 
@@ -41,17 +45,6 @@ def emptied(spark: SparkSession, *paths: str) -> None:
         spark.range(0).write.mode("overwrite").parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of frames that nothing refers to any more.
-
-    The JVM learns a moment later which frames Python has let go, so it is asked twice.
-    """
-    for _ in range(2):
-        gc.collect()
-        time.sleep(0.4)
-        spark.sparkContext._jvm.System.gc()
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webgauge.llm.packing import BUFFER, Found, batch_of, by_bucket, home, home_column, pack_ids, unpack_ids
-from webgauge.llm.shared import partitions, release, written
+from webgauge.llm.shared import partitions, written
 from webgauge.llm.textarrays import Words, covered, flat, ids, slices
 
 WINDOW = 50
@@ -247,15 +247,11 @@ def dedup(docs: DataFrame, window: int = WINDOW, keep_text: bool = False) -> Dat
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     anchors = d.mapInArrow(partial(anchor_batches, window=window, buckets=buckets), _KEYS)
     hits = written(at_bucket(anchors, buckets).mapInArrow(partial(match_batches, buckets=buckets, narrow=True), _HOME).drop("doc_id", "text", "tag"), "hits")
-    del anchors
-    release(spark)
     texts = d.select(home_column(F.col("doc_id"), buckets).alias("bucket"), F.lit(1).alias("kind"), "doc_id", "text", F.xxhash64("text").alias("tag"))
     met = hits.unionByName(texts, allowMissingColumns=True)
     out = f"{_KEYS}, doc_id long, tag long, text string, {_DONE}"
     arrow = pa.schema([*_KEYS_ARROW, ("doc_id", pa.int64()), ("tag", pa.int64()), ("text", pa.string()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string())])
     step = written(at_bucket(met, buckets).mapInArrow(partial(extend_batches, window=window, buckets=buckets, keep_text=keep_text, schema=arrow), out), "windows")
-    del met, hits
-    release(spark)
     columns = ["doc_id", "tag", "n_words", "n_removed", "kept_sha256", "kept"]
     done = step.where(F.col("kind") == DONE).select(*columns)
     windows = step.where(F.col("kind") >= ANSWER).select("bucket", (F.col("kind") - ANSWER).alias("kind"), "ids", "counts", "keys", "least", "most")
@@ -271,7 +267,6 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents, all columns, with repeats cut from the text; one that has no word left goes."""
     result = dedup(docs, window, keep_text=True).where("n_removed > 0")
     changed = written(result.select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), F.col("kept").alias("_kept")).distinct(), "cut")
-    release(docs.sparkSession)
     joined = docs.join(changed, (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_tag")), "left")
     text = F.when(F.col("_tag").isNotNull(), F.col("_kept")).otherwise(F.col("text"))
     changes = {"text": text}

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webgauge.llm.packing import BUFFER, Found, batch_of, by_bucket, home, home_column, pack_ids, unpack_ids
-from webgauge.llm.shared import partitions, release, written
+from webgauge.llm.shared import partitions, written
 from webgauge.llm.textarrays import BYTE_VALUES, SLICE_BYTES, U64, flat, ids, mix, prefix, slices, spans
 
 LENGTH, GRAM, SHALLOW = 50, 20, 16
@@ -431,13 +431,9 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     met = at_bucket(d.mapInArrow(partial(meet_batches, length=length, buckets=buckets), _MEET_SQL))
     said = written(met.mapInArrow(partial(reply_batches, buckets=buckets), _MEET_SQL).drop("minimizers"), "replies")
-    del met
-    release(spark)
     texts = d.select(home_column(F.col("doc_id"), buckets).alias("bucket"), F.lit(1).alias("kind"), "doc_id", "text")
     at = at_bucket(said.unionByName(texts, allowMissingColumns=True).select("bucket", "kind", "ids", "counts", "keys", "flags", "doc_id", "text"))
     step = written(at.mapInArrow(partial(send_batches, length=length, buckets=buckets), _STEP_SQL), "stretches")
-    del at, said
-    release(spark)
     suffixes = at_bucket(step.where(F.col("kind") == STRETCH)).mapInArrow(partial(sort_batches, length=length, buckets=buckets), _STEP_SQL)
     last = at_bucket(suffixes.unionByName(step.where(F.col("kind") == OPEN)))
     rest = last.mapInArrow(partial(cut_batches, length=length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

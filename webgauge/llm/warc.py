@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from webgauge.llm.shared import maybe_broadcast, release, scratch_dir, written
+from webgauge.llm.shared import maybe_broadcast, scratch_dir, written
 
 #: Fixed values of the format.
 MAGIC, END = b"WARC/1.1\r\n", b"\r\n\r\n"
@@ -91,7 +91,6 @@ def write_archive(pages: DataFrame, path: str, least_bytes: int = 0, date: str =
     later = written(known.join(first, "digest").where("page_id <> refers_to").select(F.col("page_id").alias("_id"), "refers_to", "digest").distinct(), "revisits")
     rows = p.join(maybe_broadcast(later, later.count()), F.col("page_id") == F.col("_id"), "left").select("page_id", "url", "html", "refers_to", "digest")
     rows.mapInArrow(partial(record_batches, date=date), "value string").write.option("lineSep", END.decode()).text(path)
-    release(pages.sparkSession)
 
 
 def urn(value: bytes | None) -> int | None:
