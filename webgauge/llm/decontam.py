@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webgauge.llm.shared import maybe_broadcast, written
+from webgauge.llm.shared import without, written
 
 #: Fixed value: what separates words once A-Z are lower-case.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -129,14 +129,10 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, doc_id: str = "doc_
     ).drop("_one")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
     """The documents, all columns, without those in which a benchmark window occurs."""
-    bad = written(
-        scan(docs, benchmark, n, doc_id, text).where("n_hit > 0").select(F.col("doc_id").alias("_bad_id"), F.col("_text_hash").alias("_bad_hash")).distinct(),
-        "contaminated",
-    )
-    bad = maybe_broadcast(bad, bad.count())
-    return docs.join(bad, F.col(doc_id).eqNullSafe(F.col("_bad_id")) & (F.xxhash64(F.col(text)) == F.col("_bad_hash")), "left_anti")
+    bad = scan(docs, benchmark, n).where("n_hit > 0").select("doc_id", "_text_hash").distinct()
+    return without(docs, written(bad, "contaminated"), F.xxhash64("text"))
 
 
 def digest(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:

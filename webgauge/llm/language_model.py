@@ -37,7 +37,7 @@ from webgauge.llm.shared import emptied, partitions, scratch_dir, written
 from webgauge.llm.textarrays import U64, Words, flat, mix, mix_int, slices
 
 BURN_IN, SWEEPS = 1, 3
-SHARE, BUCKET_TOKENS, ROUNDS, MOST_PARTITIONS = 4096, 1 << 20, 2, 20_000
+SHARE, BUCKET_TOKENS, LEAST_TOKENS, ROUNDS, MOST_PARTITIONS = 4096, 1 << 20, 1 << 17, 2, 20_000
 _END, _BEGIN = U64(mix_int(0xE0D)), U64(mix_int(0xB05))
 _PACKED = pa.schema(
     [
@@ -510,7 +510,8 @@ def score(docs: DataFrame, held_out, burn_in: int = BURN_IN, sweeps: int = SWEEP
     every = often.where("context is null").agg(F.sum("n")).first()[0] or 0
     shared = often.where((F.col("context").isNotNull()) & (F.col("n") * SHARE > every)).select("context").collect()  # fewer than SHARE
     model = Model(np.sort(np.array([r["context"] for r in shared], np.int64).view(np.uint64)))
-    buckets = max(partitions(spark), -(-every // BUCKET_TOKENS))
+    # as many as there are partitions only while that leaves a bucket enough to do: what buckets tell each other grows with their square
+    buckets = max(1, -(-every // BUCKET_TOKENS), min(partitions(spark), every // LEAST_TOKENS))
 
     def at_bucket(df: DataFrame) -> DataFrame:
         return df.repartition(max(partitions(spark), min(buckets, MOST_PARTITIONS)), "bucket").sortWithinPartitions("bucket", "kind")

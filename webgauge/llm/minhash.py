@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webgauge.llm.components import components
-from webgauge.llm.shared import maybe_broadcast, written
+from webgauge.llm.shared import maybe_broadcast, without, written
 from webgauge.llm.textarrays import Words, flat, mix, slices
 
 SHINGLE, PERCENT = 5, 80
@@ -303,6 +303,5 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -
 
 def first_of_each(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The documents, all columns, that are the smallest id of their group of near-duplicates."""
-    gone = written(near_duplicates(docs, n, percent).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct(), "duplicates")
-    gone = maybe_broadcast(gone, gone.count())
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone = near_duplicates(docs.select("doc_id", "text"), n, percent).where(~F.col("kept")).select("doc_id").distinct()
+    return without(docs, written(gone, "duplicates"))

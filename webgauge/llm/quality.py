@@ -16,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webgauge.llm.shared import maybe_broadcast, written
+from webgauge.llm.shared import without, written
 
 #: Fixed value: words are what lies between ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -156,6 +156,4 @@ def keep_good(docs: DataFrame) -> DataFrame:
     """The documents, all columns, that pass; rejection is looked up by id and text together."""
     keyed = docs.select(F.col("doc_id").alias("_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_hash"), "text")
     bad = written(judged(keyed, "_id", "_hash").where(~F.col("kept")).select("_id", "_hash").distinct(), "rejected")
-    bad = maybe_broadcast(bad, bad.count())
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_hash"))
-    return docs.join(bad, same, "left_anti")
+    return without(docs, bad, F.xxhash64(F.coalesce("text", F.lit(""))))

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only if it has been counted and is at most this many rows of a few longs.
@@ -52,3 +53,15 @@ def partitions(spark: SparkSession) -> int:
 def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
     """Broadcast a counted frame of narrow rows if it is small; otherwise leave the join to Spark."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+def without(docs: DataFrame, gone: DataFrame, *keys: Column) -> DataFrame:
+    """The documents, all columns, whose id and further keys are no row of ``gone`` (written); null ids are alike.
+
+    Columns of ``gone`` are taken by place, so it doesn't matter what the documents' further columns are called.
+    """
+    names = [f"gone_{k}" for k in range(1 + len(keys))]
+    gone = maybe_broadcast(gone.toDF(*names), gone.count()).alias("gone_rows")
+    numbered = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("key_0"), *(k.alias(f"key_{i}") for i, k in enumerate(keys, 1)))
+    same = [F.col(f"key_{i}").eqNullSafe(F.col(n)) for i, n in enumerate(names)]
+    return numbered.join(gone, reduce(Column.__and__, same), "left_anti").select("row.*")

@@ -266,10 +266,12 @@ def dedup(docs: DataFrame, window: int = WINDOW, keep_text: bool = False) -> Dat
 def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents, all columns, with repeats cut from the text; one that has no word left goes."""
     result = dedup(docs, window, keep_text=True).where("n_removed > 0")
-    changed = written(result.select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), F.col("kept").alias("_kept")).distinct(), "cut")
-    joined = docs.join(changed, (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_tag")), "left")
-    text = F.when(F.col("_tag").isNotNull(), F.col("_kept")).otherwise(F.col("text"))
-    changes = {"text": text}
+    changed = written(result.select("doc_id", "tag", "kept").distinct(), "cut").toDF("cut_id", "cut_tag", "cut_text")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("key"), F.xxhash64("text").alias("tag"))
+    joined = rows.join(changed, (F.col("key") == F.col("cut_id")) & (F.col("tag") == F.col("cut_tag")), "left")
+    lost = F.col("cut_tag").isNotNull()
+    out = {c: F.col("row")[c] for c in docs.columns}
+    out["text"] = F.when(lost, F.col("cut_text")).otherwise(out["text"])
     if "n_chars" in docs.columns:
-        changes["n_chars"] = F.when(F.col("_tag").isNotNull(), F.length("_kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return joined.where(F.col("_tag").isNull() | (F.col("_kept") != "")).withColumns(changes).select(*docs.columns)
+        out["n_chars"] = F.when(lost, F.length("cut_text").cast(docs.schema["n_chars"].dataType)).otherwise(out["n_chars"])
+    return joined.where(~lost | (F.col("cut_text") != "")).select(*(c.alias(name) for name, c in out.items()))
