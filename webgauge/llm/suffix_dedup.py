@@ -205,6 +205,8 @@ def at_home(batches: Iterator[pa.RecordBatch], text_column: int, add) -> Iterato
 def strings_alone(text: np.ndarray, owners: np.ndarray, begin: np.ndarray, end: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """Each string of some stretches of a slice: its stretch, start and hash, and whether a smaller owner here has the same one."""
     n = end - begin + 1
+    if not len(n):  # also of a slice that is shorter than a string
+        return n, n, n.view(U64), np.zeros(0, bool)
     of = np.repeat(np.arange(len(n)), n)
     at = begin[of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
     hashes = mix(spans(prefix(BYTE_VALUES[text]), at, at + length))
@@ -217,9 +219,8 @@ def strings_alone(text: np.ndarray, owners: np.ndarray, begin: np.ndarray, end:
         part = slice(k, k + SLICE_BYTES // length)
         new[1:][part] |= (strings[at[a[part]]] != strings[at[b[part]]]).any(1)
     again = np.zeros(len(of), bool)
-    if len(of):
-        sorted_owners = owners[of[order]]
-        again[order] = sorted_owners > sorted_owners[new][np.cumsum(new) - 1]
+    sorted_owners = owners[of[order]]
+    again[order] = sorted_owners > sorted_owners[new][np.cumsum(new) - 1]
     return of, at, hashes, again
 
 
