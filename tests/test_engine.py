@@ -150,15 +150,15 @@ def test_validation(spark):
     fine = "Pans sold since 2015 by Anna, with free shipping"
     meta = "We have sold 1250 pans since 2015, each for $14.99 and with free shipping to you."
     assert check(spark, fine, meta, source=source) == []
-    assert check(spark, "Short", meta, source=source + " Short") == [("title", "title_too_short", "5 characters (minimum 30)")]
-    assert ("diagnosis", "diagnosis_empty", "no diagnosis given") in check(spark, fine, meta, "", source=source)
-    assert ("title", "title_unchanged", "identical to the current title") in check(spark, fine, meta, old_title=fine, source=source)
+    assert check(spark, "Short", meta, source=source + " Short") == [("title", "title_too_short", "5 long, at least 30 wanted")]
+    assert ("diagnosis", "diagnosis_empty", "the diagnosis is blank") in check(spark, fine, meta, "", source=source)
+    assert ("title", "title_unchanged", "same as before") in check(spark, fine, meta, old_title=fine, source=source)
     bad = check(spark, "The best 40% off pans from Anna and all", meta, source=source + " all")
-    assert ("title", "invented_fact", '"40%", "best" not found on the page') in bad
-    assert ("title", "truncated", "ends on the function word 'the'") in check(spark, "Pans sold since 2015 by Anna, with the", meta, source=source)
-    assert ("title", "truncated", "last word 'understand' looks cut off") in check(spark, "Pans sold since 2015 by Anna: understand", meta, source=source)
-    assert ("title", "truncated", "unbalanced quotes or parentheses") in check(spark, "Pans (sold since 2015 by Anna, with free", meta, source=source)
-    assert ("title", "truncated", "ends with '…'") in check(spark, "Pans sold since 2015 by Anna, with free…", meta, source=source)
+    assert ("title", "invented_fact", "\"40%\", \"best\" isn't in the source") in bad
+    assert ("title", "truncated", "stops after 'the'") in check(spark, "Pans sold since 2015 by Anna, with the", meta, source=source)
+    assert ("title", "truncated", "'understand' is half a word") in check(spark, "Pans sold since 2015 by Anna: understand", meta, source=source)
+    assert ("title", "truncated", "a quote or bracket stays open") in check(spark, "Pans (sold since 2015 by Anna, with free", meta, source=source)
+    assert ("title", "truncated", "stops at '…'") in check(spark, "Pans sold since 2015 by Anna, with free…", meta, source=source)
     assert not [v for v in check(spark, "Pans sold since 15 by Anna, with bestseller", meta, source=source + " bestseller") if v[1] == "invented_fact"]
 
 

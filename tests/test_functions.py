@@ -123,16 +123,15 @@ def test_robots(spark):
 
 def test_policy(spark):
     rules = frozenset(["com"])
-    assert policy.blocked_ip("8.8.8.8") is None
-    for ip, kind in (("127.0.0.1", "loopback"), ("169.254.1.1", "link-local"), ("10.0.0.1", "private"), ("224.0.0.1", "reserved"), ("::ffff:127.0.0.1", "loopback")):
-        assert kind in policy.blocked_ip(ip)
-    assert policy.refusal("https://a.example.com/x", (), rules) is None
-    assert "local network" in policy.refusal("http://printer.local", (), rules)
-    assert "bare hostname" in policy.refusal("http://intranet", (), rules)
-    assert "no host" in policy.refusal("http://[bad", (), rules)
-    assert policy.refusal("https://a.example.com", ("Example.com ",), rules) is None
-    assert "allowed sites" in policy.refusal("https://other.com", ("example.com",), rules)
-    assert "allowed sites" in policy.refusal("http://8.8.8.8", ("example.com",), rules)
+    kinds = {"8.8.8.8": None, "192.0.0.9": None, "127.0.0.1": "loopback", "169.254.1.1": "link-local", "10.0.0.1": "private", "0.0.0.0": "private", "255.255.255.255": "private"}
+    kinds |= {"224.0.0.1": "reserved", "::ffff:127.0.0.1": "loopback", "::1": "loopback", "fe80::1": "link-local", "fd00::1": "private", "ff02::1": "reserved", "2606:4700::1": None, "x": "malformed", "1.2.3": "malformed"}
+    assert {ip: policy.network_kind(ip) for ip in kinds} == kinds
+    column = spark.createDataFrame([(ip,) for ip in [*kinds, None]], "ip string")
+    assert {r.ip: r.k for r in column.select("ip", policy.network_kind_column(column.ip).alias("k")).collect()} == kinds | {None: None}
+    targets = {"https://a.example.com/x": None, "http://printer.local": "local_name", "http://intranet": "bare_name", "http://[bad": "no_host", "http://8.8.8.8": None, "http://10.0.0.1": "private"}
+    assert {u: policy.refusal(u, (), rules) for u in targets} == targets
+    limited = {"https://a.example.com": None, "https://other.com": "other_site", "http://8.8.8.8": "other_site"}
+    assert {u: policy.refusal(u, ("Example.com ",), rules) for u in limited} == limited
     u = spark.createDataFrame([("https://a.com", "a.com"), ("https://b.com", "b.com"), ("https://c.com", "c.com")], "url string, host string")
     ips = spark.createDataFrame([("a.com", "8.8.8.8"), ("b.com", "8.8.8.8"), ("b.com", "10.0.0.1")], "host string, ip string")
     assert {r.host: r.ok for r in policy.targets_ok(u, ips).collect()} == {"a.com": True, "b.com": False, "c.com": False}

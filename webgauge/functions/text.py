@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 #: What reads as an instruction to a model, in the order of removal.
 INSTRUCTIONS = (
-    r"(?im)^[ \t]*(?:system|assistant|user|human|ai)\s*:[^\n]*\n?",
+    r"(?imd)^[ \t]*(?:system|assistant|user|human|ai)\s*:[^\n]*\n?",
     r"(?i)<\|[^|>]*\|>[^\n]*\n?",
     r"(?i)\[/?INST\][^\n]*",
     r"(?i)ignore\s+(?:all\s+|any\s+)?(?:the\s+|of\s+)?(?:previous|prior|above|earlier|preceding)\s+(?:instructions?|prompts?|directions?|rules?|messages?)[^.\n]*[.\n]?",
@@ -17,6 +17,8 @@ INSTRUCTIONS = (
     r"(?i)new\s+instructions?\s*:[^.\n]*[.\n]?",
     r"(?i)you\s+are\s+now\s+(?:a|an|the)\s+[^.\n]*[.\n]?",
 )
+#: White space of Unicode and the four separators that count as such.
+BLANK = r"[\s\x0B\x1C-\x1F\x85\p{Z}]"
 
 
 def clean(x: Column) -> Column:
@@ -40,13 +42,18 @@ def retry_after(x: Column) -> Column:
     return F.when(x.try_cast("double") >= 0, x.try_cast("double"))
 
 
+def strip(x: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(x, f"^{BLANK}+|{BLANK}+$", "")
+
+
 def strip_instructions(text: Column) -> tuple[Column, Column]:
     """(text without instruction-like parts, how many were removed); untouched if there are none."""
     steps = [text]
     for pattern in INSTRUCTIONS:
         steps.append(F.regexp_replace(steps[-1], pattern, " "))
     removed = reduce(lambda a, b: a + b, (F.regexp_count(before, F.lit(p)) for before, p in zip(steps, INSTRUCTIONS)))
-    return F.when(removed == 0, text).otherwise(F.trim(F.regexp_replace(steps[-1], r"[ \t]{2,}", " "))), removed
+    return F.when(removed == 0, text).otherwise(strip(F.regexp_replace(steps[-1], r"[ \t]{2,}", " "))), removed
 
 
 def fenced(text: Column, label: str) -> Column:

@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 SKIPPED = ("mailto:", "tel:", "javascript:", "data:", "#")
 DEFAULT_PORTS = {"http": 80, "https": 443}
 BINARY_EXTENSIONS = (
-    ".7z .avi .bmp .css .csv .dmg .doc .docx .eot .exe .flv .gif .gz .ico .jpeg .jpg .js .json .mov .mp3 .mp4 .msi .ogg .pdf .png .ppt .pptx "
-    ".rar .svg .tar .tiff .ttf .wav .webm .webp .wmv .woff .woff2 .xls .xlsx .xml .zip"
-).split()
+    ".7z", ".avi", ".bmp", ".css", ".csv", ".dmg", ".doc", ".docx", ".eot", ".exe", ".flv", ".gif", ".gz", ".ico", ".jpeg",
+    ".jpg", ".js", ".json", ".mov", ".mp3", ".mp4", ".msi", ".ogg", ".pdf", ".png", ".ppt", ".pptx", ".rar", ".svg", ".tar",
+    ".tiff", ".ttf", ".wav", ".webm", ".webp", ".wmv", ".woff", ".woff2", ".xls", ".xlsx", ".xml", ".zip",
+)
 #: Used where the system has no public suffix list; single labels are suffixes anyway.
 COMMON_SUFFIXES = frozenset(
     "ac.uk co.uk gov.uk ltd.uk me.uk net.uk org.uk plc.uk com.au edu.au gov.au net.au org.au ac.nz co.nz net.nz org.nz ac.jp co.jp go.jp ne.jp or.jp "
@@ -64,20 +65,40 @@ def host_of(url: str | None) -> str:
         return ""
 
 
-def suffix_rules(path: str = SUFFIX_LIST) -> frozenset[str]:
+class Suffixes(frozenset):
+    """Suffix rules, with the domains of the hosts that a worker has met under them."""
+
+    def __new__(cls, rules=()):
+        self = super().__new__(cls, rules)
+        self.met = {}
+        return self
+
+    def __reduce__(self):
+        return Suffixes, (sorted(self),)
+
+
+@lru_cache
+def suffix_rules(path: str = SUFFIX_LIST) -> Suffixes:
     """Rules of the ICANN part of the public suffix list, a few thousand; read once on the driver."""
     if not os.path.exists(path):
-        return COMMON_SUFFIXES
+        return Suffixes(COMMON_SUFFIXES)
     with open(path, encoding="utf-8") as f:
         part = re.search(r"===BEGIN ICANN DOMAINS===(.*?)===END ICANN DOMAINS===", f.read(), re.S)
     lines = (line.strip() for line in part.group(1).splitlines()) if part else ()
-    return frozenset(x for x in lines if x and not x.startswith("//"))
+    return Suffixes(x for x in lines if x and not x.startswith("//"))
 
 
-@lru_cache(maxsize=1 << 16)
 def domain_of(host: str, rules: frozenset[str]) -> str:
     """The registrable domain of a host; the host itself where there is none (bare names, addresses)."""
-    host = host.lower()
+    met = rules.met if isinstance(rules, Suffixes) else {}
+    if host not in met:
+        if len(met) >= 1 << 16:
+            met.clear()
+        met[host] = _domain(host.lower(), rules)
+    return met[host]
+
+
+def _domain(host: str, rules: frozenset[str]) -> str:
     labels = host.split(".")
     if len(labels) < 2 or ":" in host or labels[-1].isdigit():
         return host

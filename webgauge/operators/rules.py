@@ -52,7 +52,7 @@ def say(template: str, *values: Column) -> Column:
 c = F.col
 
 
-@rule("title_missing", "critical", "Search results take a page's headline from its title; without one they make it up.")
+@rule("title_missing", "critical", "Nothing names this page in a list of results.")
 def _():
     return c("title").isNull(), say("Page has no <title>")
 

@@ -36,22 +36,22 @@ def length(field: str, text: Column) -> Column:
     prefix, n = ("title" if field == "title" else "meta"), F.length(text)
     count = n.cast("string")
     return listed(
-        (n < low, violation(field, f"{prefix}_too_short", F.concat(count, F.lit(f" characters (minimum {low})")))),
-        (n > high, violation(field, f"{prefix}_too_long", F.concat(count, F.lit(f" characters (maximum {high})")))),
+        (n < low, violation(field, f"{prefix}_too_short", F.concat(count, F.lit(f" long, at least {low} wanted")))),
+        (n > high, violation(field, f"{prefix}_too_long", F.concat(count, F.lit(f" long, at most {high} allowed")))),
     )
 
 
 def diagnosis(text: Column) -> Column:
     return listed(
-        (F.coalesce(text, F.lit("")) == "", violation("diagnosis", "diagnosis_empty", F.lit("no diagnosis given"))),
-        (F.length(text) > DIAGNOSIS_MAX, violation("diagnosis", "diagnosis_too_long", F.concat(F.length(text).cast("string"), F.lit(f" characters (maximum {DIAGNOSIS_MAX})")))),
+        (F.coalesce(text, F.lit("")) == "", violation("diagnosis", "diagnosis_empty", F.lit("the diagnosis is blank"))),
+        (F.length(text) > DIAGNOSIS_MAX, violation("diagnosis", "diagnosis_too_long", F.concat(F.length(text).cast("string"), F.lit(f" long, at most {DIAGNOSIS_MAX} allowed")))),
     )
 
 
 def unchanged(title: Column, meta: Column, old_title: Column, old_meta: Column) -> Column:
     return listed(
-        (title == old_title, violation("title", "title_unchanged", F.lit("identical to the current title"))),
-        (meta == old_meta, violation("meta_description", "meta_unchanged", F.lit("identical to the current meta description"))),
+        (title == old_title, violation("title", "title_unchanged", F.lit("same as before"))),
+        (meta == old_meta, violation("meta_description", "meta_unchanged", F.lit("same as before"))),
     )
 
 
@@ -71,7 +71,7 @@ def invented_claims(text: Column, source: Column) -> Column:
 def invented(field: str, text: Column, source: Column) -> Column:
     found = F.concat(invented_numbers(text, source), invented_claims(text, source))
     names = F.array_join(F.transform(found, lambda t: F.concat(F.lit('"'), t, F.lit('"'))), ", ")
-    return listed((F.size(found) > 0, violation(field, "invented_fact", F.concat(names, F.lit(" not found on the page")))))
+    return listed((F.size(found) > 0, violation(field, "invented_fact", F.concat(names, F.lit(" isn't in the source")))))
 
 
 def words(text: Column) -> Column:
@@ -92,11 +92,11 @@ def truncation(text: Column, source: Column) -> Column:
     quoted = lambda x: F.concat(F.lit("'"), x, F.lit("'"))
     return (
         F.when(s == "", None)
-        .when(ends, F.concat(F.lit("ends with "), quoted(F.right(s, F.lit(1)))))
-        .when(quotes | brackets, "unbalanced quotes or parentheses")
+        .when(ends, F.concat(F.lit("stops at "), quoted(F.right(s, F.lit(1)))))
+        .when(quotes | brackets, "a quote or bracket stays open")
         .when(last.isNull(), None)
-        .when(last.isin(*DANGLING_WORDS), F.concat(F.lit("ends on the function word "), quoted(last)))
-        .when(cut, F.concat(F.lit("last word "), quoted(last), F.lit(" looks cut off")))
+        .when(last.isin(*DANGLING_WORDS), F.concat(F.lit("stops after "), quoted(last)))
+        .when(cut, F.concat(quoted(last), F.lit(" is half a word")))
     )
 
 

@@ -165,7 +165,7 @@ ORACLES = {
     "v01_length_checks": over(FACTS, "SELECT run_id, url, CASE WHEN length(title) < 30 THEN 'title_too_short' WHEN length(title) > 60 THEN 'title_too_long' ELSE '' END AS code FROM f WHERE title IS NOT NULL"),
     "x05_sites": over(FACTS, "SELECT DISTINCT url, regexp_extract(regexp_extract(url, '^https?://([^/?#:]+)', 1), '([^.]+\\.[^.]+)$', 1) AS site FROM p"),
     "x01_keys": over(FACTS, "SELECT DISTINCT final_url, regexp_replace(regexp_replace(final_url, '#.*$', ''), '/$', '') AS key, regexp_replace(final_url, '#.*$', '') AS url FROM p WHERE status = 200"),
-    "x26_formula_guard": "SELECT doc_id, CASE WHEN regexp_matches(text, '^[=+\\-@\\t\\r]') THEN '''' || text[:40] ELSE text[:40] END AS guarded FROM documents",
+    "x26_formula_guard": "SELECT doc_id, CASE WHEN regexp_matches(text, '^[=+\\-@\\t\\r]') THEN '''' || text ELSE text END AS guarded FROM documents",
     "x13_clean_text": "SELECT doc_id, nullif(trim(regexp_replace(text, '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g')), '') AS cleaned FROM documents",
     "t04_seeds": over(FACTS, "SELECT url, min(pos) + 1 AS pos FROM (SELECT url, -1::BIGINT AS pos FROM p WHERE run_id = 1 AND seq = 7 UNION ALL SELECT url, seq::BIGINT FROM p WHERE run_id = 1 AND seq % 3 = 0) GROUP BY url"),
     "c01_breadth_first": "WITH RECURSIVE " + FACTS + ", g AS (SELECT url, 0 AS depth FROM p WHERE run_id = 1 AND seq IN (1, 2, 3) UNION SELECT e.to_url, g.depth + 1 FROM g JOIN e ON e.from_url = g.url AND e.run_id = 1 WHERE g.depth < 4) SELECT url, min(depth)::INT AS depth FROM g GROUP BY url",

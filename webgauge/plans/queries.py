@@ -34,7 +34,7 @@ def query(name: str):
 
 
 def page_facts(snap: Snapshot) -> DataFrame:
-    return A.facts(snap.pages())
+    return snap.facts()
 
 
 def issues(snap: Snapshot) -> DataFrame:
@@ -122,7 +122,7 @@ query("x05_sites")(lambda s: s.pages().select("url").distinct().withColumn("site
 query("x01_keys")(
     lambda s: s.pages().where("status = 200").select("final_url").distinct().withColumn("l", urls.link_struct(F.col("final_url"), F.lit(None).cast("string"))).select("final_url", "l.key", "l.url")
 )
-QUERIES["x26_formula_guard"] = lambda spark, d: spark.read.parquet(f"{d}/documents.parquet").select("doc_id", text.as_text(F.left("text", F.lit(40))).alias("guarded"))
+QUERIES["x26_formula_guard"] = lambda spark, d: spark.read.parquet(f"{d}/documents.parquet").select("doc_id", text.as_text(F.col("text")).alias("guarded"))
 QUERIES["x13_clean_text"] = lambda spark, d: spark.read.parquet(f"{d}/documents.parquet").select("doc_id", text.clean(F.col("text")).alias("cleaned"))
 query("t04_seeds")(
     lambda s: G.seeds(s.pages().where("run_id = 1 and seq = 7").select("url"), s.pages().where("run_id = 1 and seq % 3 = 0").select("url", F.col("seq").alias("pos")))

@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webgauge.functions.policy import refusal
+from webgauge.functions.policy import network_kind, refusal
 from webgauge.functions.urls import host_of, link_pair, suffix_rules
 from webgauge.operators import audit as A
 from webgauge.operators import diff as D
@@ -19,8 +19,6 @@ from webgauge.sources.tables import Store, stored
 
 def accept(typed: str, allowed: Sequence[str] = (), addresses: Callable[[str], list[str]] | None = None) -> tuple[str | None, str | None]:
     """(address to crawl, None), or (None, why not), of what a person typed; ``addresses`` resolves a host, if given."""
-    from webgauge.functions.policy import blocked_ip
-
     text = typed.strip()
     pair = link_pair(text if "://" in text else f"https://{text}")
     if pair is None:
@@ -28,7 +26,7 @@ def accept(typed: str, allowed: Sequence[str] = (), addresses: Callable[[str], l
     why = refusal(pair[1], allowed, suffix_rules())
     if why is None and addresses is not None:
         found = addresses(host_of(pair[1]))
-        why = next(filter(None, map(blocked_ip, found)), None) if found else f"{host_of(pair[1])} does not resolve"
+        why = next(filter(None, map(network_kind, found)), None) if found else "unresolved"
     return (pair[1], None) if why is None else (None, why)
 
 

@@ -58,8 +58,8 @@ x AS (
          404 AS status, 0 AS bytes, 1 AS elapsed_ms, NULL AS x_robots_tag, 0 AS hops, NULL AS html
   FROM w WHERE seq % 5 = 1),
 d AS (SELECT x.* FROM x JOIN (SELECT url AS u, min(seq) AS s FROM x GROUP BY url) k ON x.url = k.u AND x.seq = k.s),
-e0 AS (SELECT DISTINCT a.seq AS from_seq, a.url AS from_url, c.seq AS to_seq, c.url AS to_url FROM d a JOIN d c
-       ON c.seq = (a.seq * 7 + 3) % 200 OR c.seq = (a.seq * 11 + 5) % 200),
+e0 AS (SELECT a.url AS from_url, c.url AS to_url FROM d a JOIN d c ON c.seq = (a.seq * 7 + 3) % 200 UNION
+       SELECT a.url AS from_url, c.url AS to_url FROM d a JOIN d c ON c.seq = (a.seq * 11 + 5) % 200),
 p AS (
   SELECT CAST(1 AS BIGINT) AS run_id, seq, url, final_url, status, bytes, elapsed_ms, x_robots_tag, hops, html FROM d WHERE seq % 11 <> 0 UNION ALL
   SELECT CAST(2 AS BIGINT) AS run_id, seq, url, final_url, status, bytes, elapsed_ms, x_robots_tag, hops,
@@ -83,12 +83,18 @@ runs AS (
 """
 
 
+#: Facts and audit that this process has stored, by application and the files that they come from.
+_KEPT: dict[tuple, DataFrame] = {}
+
+
 class Snapshot:
-    """The derived tables over one folder of Parquet tables; facts and audit are computed once and stored."""
+    """The derived tables over one folder of Parquet tables; facts and audit are computed once for the same files."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         raw = spark.read.parquet(f"{sf_dir}/pages.parquet")
+        files = raw.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct().collect()  # a row for each file
+        self.files = (spark.sparkContext.applicationId, *sorted(map(tuple, files)))
         cores = spark.sparkContext.defaultParallelism
         if raw.rdd.getNumPartitions() < cores:  # a small file is one partition; parsing is the work here
             raw = raw.repartition(cores)
@@ -116,12 +122,17 @@ class Snapshot:
     def sitemap(self) -> DataFrame:
         return self.sql("SELECT CAST(run_id AS BIGINT) AS run_id, url FROM s")
 
+    def kept(self, name: str, build) -> DataFrame:
+        key = (name, *self.files)
+        if key not in _KEPT:
+            _KEPT[key] = stored(build(), name)
+        return _KEPT[key]
+
     def facts(self) -> DataFrame:
-        return stored(facts(self.pages()), "facts")
+        return self.kept("facts", lambda: facts(self.pages()))
 
-    def audit(self, parsed: DataFrame | None = None) -> DataFrame:
-        parsed = self.facts() if parsed is None else parsed
-        return stored(audited(parsed, self.pages().drop("html"), self.links(), self.sitemap()), "audit")
+    def audit(self) -> DataFrame:
+        return self.kept("audit", lambda: audited(self.facts(), self.pages().drop("html"), self.links(), self.sitemap()))
 
     def runs(self) -> DataFrame:
         return self.spark.sql(f"WITH {RUNS} SELECT CAST(run_id AS BIGINT) AS run_id, start_url, status, started_at, CAST(pages AS BIGINT) AS pages FROM runs")
