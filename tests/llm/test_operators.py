@@ -332,3 +332,22 @@ def test_warc_in_small_splits(spark):
 
 def test_no_operator_reads_beyond_its_columns(docs):
     assert json.loads(docs.select("doc_id").schema.json())["fields"][0]["type"] == "long"
+
+
+def test_toxicity_fitted_on_repeated_and_null_rows(spark):
+    """A model fitted on rows that repeat ids, in any order of partitions, is the same, and scores equal texts alike."""
+    r = random.Random(6)
+    say = lambda bad: " ".join(r.choice(["vile", "nasty", "foul"]) if bad and r.random() < 0.3 else f"w{r.randrange(200)}" for _ in range(60))
+    rows = [(i, say(i % 3 == 0)) for i in range(240)]
+    rows += [(3, "another text of that id"), (3, rows[3][1]), (None, rows[0][1]), (500, None), (501, ""), (502, rows[0][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(240)] + [(None, 1), (7, None), (500, 0)], "doc_id long, grade int")
+    scored = lambda d: sorted(((repr(x.doc_id), x.n_words, round(x.expected_severity, 9), x.toxic) for x in toxicity.score(docs, toxicity.fit(d, labels)).collect()))
+    once = scored(docs.repartition(1))
+    assert once == scored(docs.repartition(5)) and len(once) == len(rows)
+    of = {}
+    for x in toxicity.score(docs, toxicity.fit(docs, labels)).collect():
+        of.setdefault(x.doc_id, set()).add(x.expected_severity)
+    assert of[0] == of[None] == of[502] and len(of[3]) == 2 and of[500] == of[501]
+    found = {x[0] for x in once if x[3]}
+    assert len({str(i) for i in range(0, 240, 3)} & found) > 76 and not {str(i) for i in range(240) if i % 3} & found

@@ -8,7 +8,7 @@ the expected grade. The model is fitted on a bounded sample of labelled rows (``
 hashes of their id); every document is scored in one scan with broadcast weights of a fixed size.
 
 Defined results: null and empty texts have no features and score as the thresholds alone say. Labels without a
-grade or id are left out; of several labels of an id the highest counts. Without labels, or with one grade only,
+grade or id are left out; of several labels of an id the highest counts, and of several texts the one with the largest hash. Without labels, or with one grade only,
 nothing is toxic. Repeated rows are each scored. Columns besides the named ones are ignored.
 """
 
@@ -147,10 +147,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ordinal:
     rows = (
         docs.select("doc_id", "text")
         .join(F.broadcast(chosen), "doc_id")
+        .groupBy("doc_id")
+        .agg(F.max("grade").alias("grade"), F.max_by("text", F.xxhash64("text")).alias("text"))
         .select("grade", "text")
         .mapInArrow(featurise, "grade int, features binary")
-        .limit(2 * sample)  # ids may repeat
-        .collect()
+        .collect()  # at most ``sample`` rows
     )
     once: dict[bytes, int] = {}  # copies would make the words of one text look telling
     for r in rows:
