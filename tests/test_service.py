@@ -10,7 +10,7 @@ from webgauge.sources.tables import SCHEMAS, Store
 def test_accept():
     assert service.accept("e.com/x") == ("https://e.com/x", None)
     assert service.accept("ftp://e.com")[1] == "that is not an address of a web page"
-    assert "bare hostname" in service.accept("intranet")[1]
+    assert service.accept("intranet") == (None, "bare_name")
     assert service.accept("e.com", addresses=lambda h: []) == (None, "unresolved")
     assert "private" in service.accept("e.com", addresses=lambda h: ["8.8.8.8", "10.0.0.1"])[1]
 
