@@ -124,13 +124,27 @@ def test_diff_report(spark, tmp_path):
     a = spark.createDataFrame([("https://e/1", 90, ["x"]), ("https://e/2", 80, ["y", "z"])], "url string, score int, rules array<string>")
     b = spark.createDataFrame([("https://e/2", 85, ["z", "w"]), ("https://e/3", 100, [])], "url string, score int, rules array<string>")
     r = D.Report(1, 2, a, b)
-    assert (r.added, r.removed, r.fixed, r.introduced) == (["https://e/3"], ["https://e/1"], [("https://e/2", "y")], [("https://e/2", "w")])
+    pairs = lambda df: [tuple(x) for x in df.collect()]
+    assert [pairs(x) for x in (r.added, r.removed, r.fixed, r.introduced)] == [[("https://e/3",)], [("https://e/1",)], [("https://e/2", "y")], [("https://e/2", "w")]]
+    assert r.counts == {"added": 1, "removed": 1, "changed": 1, "fixed": 1, "introduced": 1}
     assert r.headline() == "average score 85 -> 92.5 (+7.5)   pages 2 -> 2"
-    assert "  https://e/2   80 ->  85  (+5)" in r.table() and "| https://e/2 | 80 | 85 | +5 |" in r.markdown()
+    lines = lambda df: [x.line for x in df.collect()]
+    assert lines(r.table()) == [
+        "run 1 -> run 2", r.headline(), "pages added (1):", "  + https://e/3", "pages removed (1):", "  - https://e/1", "score changes (1):", "  https://e/2   80 ->  85  (+5)",
+        "issues fixed (1):", "  https://e/2  y", "issues introduced (1):", "  https://e/2  w",
+    ]
+    assert lines(r.markdown())[:8] == ["# Run 1 -> run 2", "", f"**{r.headline()}**", "", "## Pages added", "- https://e/3", "", "## Pages removed"]
+    assert lines(r.markdown())[-8:] == ["| https://e/2 | 80 | 85 | +5 |", "", "## Issues fixed", "- https://e/2: y", "", "## Issues introduced", "- https://e/2: w", ""]
+    told = [json.loads(x) for x in lines(r.as_json())]
+    assert told[0]["pages"] == [2, 2] and told[3] == {"part": "changed", "url": "https://e/2", "before": 80, "after": 85, "delta": 5} and len(told) == 6
     assert r.line("e").endswith("Issues: 1 fixed, 1 introduced.")
     same = D.Report(1, 1, a, a)
-    assert same.is_empty and same.table().endswith("no changes") and "No changes." in same.markdown()
-    assert [p.rpartition("/")[2] for p in exports.write_report(r, str(tmp_path))] == ["run-2.json", "run-2.md"]
+    assert same.is_empty and lines(same.table())[-1] == "no changes" and lines(same.markdown())[-1] == "No changes."
+    none_added = lines(D.Report(1, 2, a, a.limit(1)).markdown())
+    assert none_added[none_added.index("## Pages added") + 1] == "_none_"
+    paths = exports.write_report(r, str(tmp_path))
+    assert [p.rpartition("/")[2] for p in paths] == ["run-2.json", "run-2.md"]
+    assert [x.value for x in spark.read.text(paths[1]).collect()] == lines(r.markdown())
     assert exports.post_line("u", "t", lambda u, b: 204) and not exports.post_line("u", "t", lambda u, b: 500)
 
     def fail(u, b):
@@ -238,8 +252,12 @@ def test_store(spark, tmp_path):
     assert {r.run_id: r["count"] for r in store.read("page_scores").groupBy("run_id").count().collect()} == {1: 1, 2: 2}
 
 
+def fake_addresses(host):
+    return {"e.com": ["93.184.216.34"], "r.org": ["93.184.216.35"], "down.net": ["93.184.216.36"], "in.e.com": ["93.184.216.34", "10.0.0.7"]}.get(host, [])
+
+
 def fake_get(url, timeout, most):
-    at = {"https://e.com/": (200, {"content-type": "text/html; charset=utf-8"}, "<title>é</title>".encode()), "https://e.com/r": (301, {"location": "/"}, b""), "https://e.com/pdf": (200, {"content-type": "application/pdf"}, b"x"), "https://e.com/far": (302, {"location": "https://other.org/"}, b""), "https://e.com/loop": (302, {"location": "/loop"}, b"")}
+    at = {"https://e.com/": (200, {"content-type": "text/html; charset=utf-8"}, "<title>é</title>".encode()), "https://e.com/r": (301, {"location": "/"}, b""), "https://e.com/pdf": (200, {"content-type": "application/pdf"}, b"x"), "https://e.com/far": (302, {"location": "https://other.org/"}, b""), "https://e.com/loop": (302, {"location": "/loop"}, b""), "https://e.com/in": (302, {"location": "https://in.e.com/"}, b""), "https://r.org/robots.txt": (200, {}, b"User-agent: *\nDisallow: /private\nAllow: /private/ok\n"), "https://r.org/move": (302, {"location": "/private"}, b""), "https://down.net/robots.txt": (503, {"retry-after": "0.01"}, b"")}
     if url == "https://e.com/dead":
         raise OSError("refused")
     return at.get(url, (404, {"content-type": "text/html"}, b"no"))
@@ -248,12 +266,22 @@ def fake_get(url, timeout, most):
 def test_crawl_source(spark):
     crawl.register(spark)
     urls = "https://e.com/ https://e.com/r https://e.com/pdf https://e.com/far https://e.com/loop https://e.com/none"
-    rows = spark.read.format("crawl").option("urls", urls).option("delay", "0").option("transport", "tests.test_engine:fake_get").load().collect()
+    rows = spark.read.format("crawl").option("urls", urls).option("delay", "0").option("transport", "tests.test_engine:fake_get").option("resolver", "tests.test_engine:fake_addresses").load().collect()
     got = {r.url: (r.final_url, r.status, r.html, r.error) for r in rows}
     assert got["https://e.com/"] == ("https://e.com/", 200, "<title>é</title>", None)
     assert got["https://e.com/r"][:2] == ("https://e.com/", 200) and got["https://e.com/pdf"][3] == "non_html"
     assert got["https://e.com/far"][3] == "off_site_redirect" and got["https://e.com/loop"][3] == "redirect_loop"
     assert got["https://e.com/none"] == ("https://e.com/none", 404, None, None)
+    urls = "https://in.e.com/ https://e.com/in https://gone.net/ http://intranet/ http://127.0.0.1/ https://r.org/private/x https://r.org/private/ok https://r.org/move https://down.net/x"
+    source = spark.read.format("crawl").option("urls", urls).option("delay", "0").option("transport", "tests.test_engine:fake_get").option("resolver", "tests.test_engine:fake_addresses")
+    errors = {r.url: (r.error, r.status) for r in source.load().collect()}
+    assert errors == {
+        "https://in.e.com/": ("target_private", 0), "https://e.com/in": ("disallowed_redirect", 302), "https://gone.net/": ("target_unresolved", 0),
+        "http://intranet/": ("target_bare_name", 0), "http://127.0.0.1/": ("target_loopback", 0), "https://r.org/private/x": ("disallowed", 0),
+        "https://r.org/private/ok": (None, 404), "https://r.org/move": ("disallowed_redirect", 302), "https://down.net/x": ("disallowed", 0),
+    }
+    limited = {r.url: r.error for r in source.option("allowed", "r.org").load().collect()}
+    assert limited["https://e.com/in"] == "target_other_site" and limited["https://r.org/private/ok"] is None
     waits = []
     dead = crawl.fetch(fake_get, "https://e.com/dead", wait=waits.append)
     assert (dead["status"], dead["error"], waits) == (0, "refused", [0.5, 1.0])

@@ -31,7 +31,8 @@ def test_two_runs(spark, tmp_path, capsys):
     service.audit_run(store, two)
     assert store.read("page_scores").where(F.col("run_id") == two).count() == 2
     report = service.compare_with_previous(store, two)
-    assert report.removed == [u[2]] and (u[1], "orphan_page") in report.fixed and (u[1], "title_missing") in report.introduced
+    pairs = lambda df: [tuple(r) for r in df.collect()]
+    assert pairs(report.removed) == [(u[2],)] and (u[1], "orphan_page") in pairs(report.fixed) and (u[1], "title_missing") in pairs(report.introduced)
     assert service.compare_with_previous(store, one) is None
     out = service.enrich_run(store, two, scripted, "gpt-4o", 1.0).first()
     assert out.candidates == 1 and store.read("ai_suggestions").count() == 1 and store.read("ai_cache").count() == 1

@@ -65,10 +65,14 @@ def main(given: list[str] | None = None) -> int:
                 print(r.score, r.url, r.rules, sep="\t")
             print(f"{total} pages", file=sys.stderr)
         elif a.command == "diff":
-            print(service.compare(store, a.a, a.b).table())
+            for r in service.compare(store, a.a, a.b).table().toLocalIterator():  # a partition at a time
+                print(r.line)
         elif a.command == "report":
             found = service.compare_with_previous(store, a.run)
-            print(found.markdown() if found else f"Run {a.run} is the first of its site.")
+            for r in found.markdown().toLocalIterator() if found else ():
+                print(r.line)
+            if not found:
+                print(f"Run {a.run} is the first of its site.")
         elif a.format == "csv":
             exports.write_csv(service.page_views(store, a.run), a.path)
         else:

@@ -54,15 +54,33 @@ def policies(robots: DataFrame, agent: str) -> DataFrame:
     return p.select("host", state.alias("state"), "policy.delay", "policy.sitemaps", "policy.rules")
 
 
+def matched_part(url: str | None) -> str:
+    """What of an address the rules are compared with: path and query, decoded."""
+    try:
+        at = urlsplit(url or "")
+    except ValueError:
+        return "/"
+    return unquote((at.path or "/") + (f"?{at.query}" if at.query else ""))
+
+
 def path_to_match(url: Column) -> Column:
-    def of(u: str | None) -> str:
-        try:
-            at = urlsplit(u or "")
-        except ValueError:
-            return "/"
-        return unquote((at.path or "/") + (f"?{at.query}" if at.query else ""))
-
-    return F.udf(of, "string", useArrow=True)(url)
+    return F.udf(matched_part, "string", useArrow=True)(url)
+
+
+def permits(policy: dict, url: str) -> bool:
+    """The verdict of one host's policy (state none, all or parsed) on one address, for code inside a task."""
+    if policy["state"] != "parsed":
+        return policy["state"] == "all"
+    part = matched_part(url)
+    hits = [(r["length"], r["allow"]) for r in policy["rules"] if re.search(r["pattern"], part)]
+    return max(hits)[1] if hits else True
+
+
+def policy_of(status: int, body: str | None, agent: str) -> dict:
+    """The policy of one fetched robots file; status 0 means that the host didn't answer."""
+    if status == 0 or status >= 500:
+        return {"state": "none", "delay": None, "sitemaps": [], "rules": []}
+    return parse(body, agent) if status < 400 else {"state": "all", "delay": None, "sitemaps": [], "rules": []}
 
 
 def allowed(urls: DataFrame, robots: DataFrame, agent: str) -> DataFrame:

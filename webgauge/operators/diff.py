@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webgauge.operators.summary import averages, rule_sets, rounded
@@ -44,73 +44,86 @@ def introduced(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def totals(a: DataFrame, b: DataFrame) -> DataFrame:
-    """One row: pages and sums of scores before and after, and how many of each difference."""
-    t = a.agg(F.count("*").alias("pages_before"), F.coalesce(F.sum("score"), F.lit(0)).alias("sum_before"))
-    t = t.join(b.agg(F.count("*").alias("pages_after"), F.coalesce(F.sum("score"), F.lit(0)).alias("sum_after")))
-    for name, part in (("added", added), ("removed", removed), ("changed", score_changes), ("fixed", fixed), ("introduced", introduced)):
-        t = t.join(part(a, b).agg(F.count("*").alias(name)))  # one row each
-    empty = " + ".join(("added", "removed", "changed", "fixed", "introduced"))
-    return t.withColumn("is_empty", F.expr(f"{empty} = 0"))
+    """One row: pages and sums of scores before and after, and how many of each difference; one join of both runs."""
+    before = a.select("url", F.lit(True).alias("was"), F.col("score").alias("before"), F.col("rules").alias("rules_before"))
+    after = b.select("url", F.lit(True).alias("is"), F.col("score").alias("after"), F.col("rules").alias("rules_after"))
+    was, now = F.col("was").isNotNull(), F.col("is").isNotNull()
+    total = lambda x: F.coalesce(F.sum(x), F.lit(0))
+    gone = lambda x, y: total(F.when(was & now, F.size(F.array_except(x, y))))
+    t = before.join(after, "url", "full_outer").agg(
+        F.count_if(was).alias("pages_before"), total("before").alias("sum_before"), F.count_if(now).alias("pages_after"), total("after").alias("sum_after"),
+        F.count_if(~was).alias("added"), F.count_if(~now).alias("removed"), F.count_if(was & now & (F.col("before") != F.col("after"))).alias("changed"),
+        gone("rules_before", "rules_after").alias("fixed"), gone("rules_after", "rules_before").alias("introduced"),
+    )
+    return t.withColumn("is_empty", F.expr(f"{' + '.join(PARTS)} = 0"))
+
+
+#: The differences in the order in which they are told.
+PARTS = ("added", "removed", "changed", "fixed", "introduced")
 
 
 class Report:
-    """A difference small enough to print, gathered on the driver."""
+    """What differs between two runs, told as lines. Totals are on the driver; rows and lines stay frames of any size."""
 
     def __init__(self, run_a: int, run_b: int, a: DataFrame, b: DataFrame):
         self.runs = run_a, run_b
         t = totals(a, b).first()
         self.pages = t["pages_before"], t["pages_after"]
         self.averages = rounded(t["sum_before"], self.pages[0]), rounded(t["sum_after"], self.pages[1])
+        self.counts = {part: t[part] for part in PARTS}
         self.is_empty = t["is_empty"]
-        self.added = [r.url for r in added(a, b).orderBy("url").collect()]
-        self.removed = [r.url for r in removed(a, b).orderBy("url").collect()]
-        self.changes = [r.asDict() for r in score_changes(a, b).orderBy("delta", "url").collect()]
-        self.fixed, self.introduced = ([tuple(r) for r in f(a, b).orderBy("url", "rule_id").collect()] for f in (fixed, introduced))
+        self.added, self.removed, self.changed, self.fixed, self.introduced = (f(a, b) for f in (added, removed, score_changes, fixed, introduced))
 
     def headline(self) -> str:
         before, after = self.averages
         return f"average score {before:g} -> {after:g} ({after - before:+g})   pages {self.pages[0]} -> {self.pages[1]}"
 
-    def table(self) -> str:
-        out = ["run {} -> run {}".format(*self.runs), self.headline()]
+    def _lines(self, headings: list[tuple[int, int, str]], texts: dict[str, Column]) -> DataFrame:
+        """``line`` in order of part (-1 is the top) and place (rows have 0, headings come before or after them)."""
+        fixed_lines = [(part, place, None, None, None, text) for part, place, text in headings]
+        top = self.added.sparkSession.createDataFrame(fixed_lines, "part int, place int, delta int, url string, rule_id string, line string")
+        for n, part in enumerate(PARTS):
+            rows = getattr(self, part)
+            has = lambda name, kind: F.col(name).cast(kind).alias(name) if name in rows.columns else F.lit(None).cast(kind).alias(name)  # noqa: B023, E731
+            top = top.unionByName(rows.select(F.lit(n).alias("part"), F.lit(0).alias("place"), has("delta", "int"), "url", has("rule_id", "string"), texts[part].alias("line")))
+        return top.orderBy("part", "place", "delta", "url", "rule_id").select("line")
+
+    def table(self) -> DataFrame:
+        """The difference for a terminal; parts without rows are left out."""
+        titles = ("pages added", "pages removed", "score changes", "issues fixed", "issues introduced")
+        top = [(-1, -2, "run {} -> run {}".format(*self.runs)), (-1, -1, self.headline())]
         if self.is_empty:
-            return "\n".join([*out, "no changes"])
-        width = max((len(c["url"]) for c in self.changes), default=0)
-        sections = {
-            "pages added": [f"  + {u}" for u in self.added],
-            "pages removed": [f"  - {u}" for u in self.removed],
-            "score changes": [f"  {c['url']:<{width}}  {c['before']:>3} -> {c['after']:>3}  ({c['delta']:+d})" for c in self.changes],
-            "issues fixed": [f"  {u}  {r}" for u, r in self.fixed],
-            "issues introduced": [f"  {u}  {r}" for u, r in self.introduced],
-        }
-        for name, lines in sections.items():
-            if lines:
-                out += [f"{name} ({len(lines)}):", *lines]
-        return "\n".join(out)
-
-    def markdown(self) -> str:
-        out = ["# Run {} -> run {}".format(*self.runs), "", f"**{self.headline()}**", ""]
+            top.append((-1, 0, "no changes"))
+        heads = [(n, -1, f"{title} ({self.counts[part]}):") for n, (part, title) in enumerate(zip(PARTS, titles)) if self.counts[part]]
+        width = self.changed.agg(F.max(F.length("url"))).first()[0] or 1
+        issue = F.format_string("  %s  %s", "url", "rule_id")
+        change = F.format_string(f"  %-{width}s  %3d -> %3d  (%+d)", "url", "before", "after", "delta")
+        return self._lines(top + heads, {"added": F.concat(F.lit("  + "), "url"), "removed": F.concat(F.lit("  - "), "url"), "changed": change, "fixed": issue, "introduced": issue})
+
+    def markdown(self) -> DataFrame:
+        """The difference as a Markdown document; a part without rows says so."""
+        titles = ("Pages added", "Pages removed", "Score changes", "Issues fixed", "Issues introduced")
+        top = [(-1, n, text) for n, text in enumerate(["# Run {} -> run {}".format(*self.runs), "", f"**{self.headline()}**", ""])]
+        heads = []
+        for n, (part, title) in enumerate(zip(PARTS, titles)):
+            inside = ["| URL | before | after | delta |", "|---|---|---|---|"] if part == "changed" else [] if self.counts[part] else ["_none_"]
+            heads += [(n, place - 9, text) for place, text in enumerate([f"## {title}", *inside])] + [(n, 1, "")]
         if self.is_empty:
-            return "\n".join([*out, "No changes."]) + "\n"
-        rows = [f"| {c['url']} | {c['before']} | {c['after']} | {c['delta']:+d} |" for c in self.changes]
-        named = lambda pairs: [f"- {u}: {r}" for u, r in pairs] or ["_none_"]
-        listed = lambda urls: [f"- {u}" for u in urls or ["_none_"]]
-        blocks = [
-            ["## Pages added", *listed(self.added)],
-            ["## Pages removed", *listed(self.removed)],
-            ["## Score changes", "| URL | before | after | delta |", "|---|---|---|---|", *rows],
-            ["## Issues fixed", *named(self.fixed)],
-            ["## Issues introduced", *named(self.introduced)],
-        ]
-        return "\n".join(out) + "\n" + "\n\n".join("\n".join(b) for b in blocks) + "\n"
-
-    def as_json(self) -> str:
-        keys = ("runs", "pages", "averages", "added", "removed", "changes", "fixed", "introduced")
-        return json.dumps({k: getattr(self, k) for k in keys}, indent=2)
+            heads = [(0, -9, "No changes.")]
+        issue = F.format_string("- %s: %s", "url", "rule_id")
+        change = F.format_string("| %s | %d | %d | %+d |", "url", "before", "after", "delta")
+        return self._lines(top + heads, {"added": F.concat(F.lit("- "), "url"), "removed": F.concat(F.lit("- "), "url"), "changed": change, "fixed": issue, "introduced": issue})
+
+    def as_json(self) -> DataFrame:
+        """JSON lines: the totals, then an object for each difference, named by its part."""
+        head = json.dumps({"runs": self.runs, "pages": self.pages, "averages": self.averages, **self.counts})
+        told = lambda part: F.to_json(F.struct(F.lit(part).alias("part"), *(F.col(x) for x in getattr(self, part).columns)))
+        return self._lines([(-1, 0, head)], {part: told(part) for part in PARTS})
 
     def line(self, site: str) -> str:
         before, after = self.averages
+        n = self.counts
         return (
             f"{site} run {self.runs[0]} -> {self.runs[1]}. Average score {before:g} -> {after:g} ({after - before:+g}). "
-            f"Pages {self.pages[0]} -> {self.pages[1]} (+{len(self.added)} / -{len(self.removed)}). Issues: {len(self.fixed)} fixed, {len(self.introduced)} introduced."
+            f"Pages {self.pages[0]} -> {self.pages[1]} (+{n['added']} / -{n['removed']}). Issues: {n['fixed']} fixed, {n['introduced']} introduced."
         )

@@ -1,17 +1,27 @@
-"""A data source "crawl": fetches the given addresses, a partition per host, under the gates of size, type and redirects.
+"""A data source "crawl": fetches the given addresses, a partition per host, under the gates of target, robots, size, type and redirects.
 
-The transport is an importable function, so that tests and offline runs need no network.
+Before anything is asked of a host, its name has to be a public one of the allowed sites, and all its addresses have to be
+public; then its robots file decides. Both gates hold for each address and again for each redirect. An address that they
+refuse gives a row without a request: ``target_`` and the kind of refusal, ``target_unresolved``, or ``disallowed``.
+
+Options: urls (separated by blanks), transport and resolver (importable functions, "module:name", so that tests and offline
+runs need no network), allowed (sites, separated by commas; all if not given), agent, delay (the robots file may ask for
+more), timeout, max_bytes. The names' addresses are looked up once a host; the transport looks them up again, so a
+name server that changes its answer in between isn't caught.
 """
 
 from __future__ import annotations
 
+import socket
 import time
 from importlib import import_module
-from urllib.parse import urljoin
+from urllib.parse import urljoin, urlsplit
 
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from webgauge.functions import robots
+from webgauge.functions.policy import network_kind, refusal
 from webgauge.functions.urls import host_of, registrable_domain, resolve
 
 #: Types of pages; requests for one page; attempts for one request.
@@ -97,11 +107,78 @@ def fetch(get, url: str, timeout: float = 15.0, most: int = 5 << 20, allowed=lam
     return row(error="too_many_redirects")
 
 
+def addresses_of(host: str) -> list[str]:
+    """The addresses of a name; none if it has none."""
+    try:
+        return sorted({str(found[4][0]) for found in socket.getaddrinfo(host, None)})
+    except OSError:
+        return []
+
+
+class Gate:
+    """Whether an address may be asked for: its target, then the robots file of its origin, each looked at once."""
+
+    def __init__(self, get, resolver, allowed: list[str], agent: str, timeout: float, most: int, wait=time.sleep):
+        self.get, self.resolver, self.allowed, self.agent, self.timeout, self.most, self.wait = get, resolver, allowed, agent, timeout, most, wait
+        self.targets: dict[str, str | None] = {}
+        self.policies: dict[str, dict] = {}
+
+    def target(self, url: str) -> str | None:
+        """Why a host may not be asked; None if it may."""
+        host = host_of(url)
+        if host not in self.targets:
+            why = refusal(url, self.allowed)
+            if why is None:
+                found = self.resolver(host)
+                why = next(filter(None, map(network_kind, found)), None) if found else "unresolved"
+            self.targets[host] = why
+        return self.targets[host]
+
+    def policy(self, url: str) -> dict:
+        at = urlsplit(url)
+        origin = f"{at.scheme}://{at.netloc}"
+        if origin not in self.policies:
+            self.policies[origin] = self.read_policy(origin)
+        return self.policies[origin]
+
+    def read_policy(self, origin: str) -> dict:
+        """The robots file may be moved within public targets; where it can't be read, nothing is allowed."""
+        at = f"{origin}/robots.txt"
+        for _ in range(MAX_HOPS):
+            status, headers, body, error = attempt(self.get, at, self.timeout, self.most, self.wait)
+            if error is None and status in (301, 302, 303, 307, 308):
+                to = resolve(urljoin(at, headers.get("location", ""))) if headers.get("location") else None
+                if to is None or self.target(to) is not None:
+                    break
+                at = to
+                continue
+            return robots.policy_of(0 if error else status, body.decode("utf-8", "replace"), self.agent)
+        return robots.policy_of(0, None, self.agent)
+
+    def why_not(self, url: str) -> str | None:
+        why = self.target(url)
+        if why is not None:
+            return f"target_{why}"
+        return None if robots.permits(self.policy(url), url) else "disallowed"
+
+
 class HostPartition(InputPartition):
     def __init__(self, urls: list[str]):
         self.urls = urls
 
 
+def _imported(path: str):
+    module, _, name = path.partition(":")
+    return getattr(import_module(module), name)
+
+
+def _refused(url: str, why: str) -> dict:
+    """The row of an address that was never asked for."""
+    return {
+        "url": url, "final_url": url, "status": 0, "content_type": None, "bytes": 0, "elapsed_ms": 0, "html": None, "redirect_chain": [], "headers": {}, "error": why,
+    }
+
+
 class CrawlReader(DataSourceReader):
     def __init__(self, options: dict):
         self.options = options
@@ -113,12 +190,20 @@ class CrawlReader(DataSourceReader):
         return [HostPartition(u) for u in by_host.values()]
 
     def read(self, partition):
-        module, _, name = self.options.get("transport", "webgauge.sources.crawl:http_get").partition(":")
-        get, delay = getattr(import_module(module), name), float(self.options.get("delay", "0.5"))
-        for n, url in enumerate(partition.urls):
-            if n:
-                time.sleep(delay)  # one request at a time to a host
-            r = fetch(get, url, float(self.options.get("timeout", "15")), int(self.options.get("max_bytes", str(5 << 20))))
+        named = lambda option, default: _imported(self.options.get(option, f"webgauge.sources.crawl:{default}"))
+        get, timeout, most = named("transport", "http_get"), float(self.options.get("timeout", "15")), int(self.options.get("max_bytes", str(5 << 20)))
+        sites = self.options.get("allowed", "").replace(",", " ").split()
+        gate = Gate(get, named("resolver", "addresses_of"), sites, self.options.get("agent", "webgauge"), timeout, most)
+        asked = False
+        for url in partition.urls:
+            why = gate.why_not(url)
+            if why is not None:
+                r = _refused(url, why)
+            else:
+                if asked:  # one request at a time to a host
+                    time.sleep(max(float(self.options.get("delay", "0.5")), gate.policy(url)["delay"] or 0.0))
+                asked = True
+                r = fetch(get, url, timeout, most, lambda to: gate.why_not(to) is None)
             yield tuple(r[k] for k in ("url", "final_url", "status", "content_type", "bytes", "elapsed_ms", "html", "redirect_chain", "headers", "error"))
 
 

@@ -32,12 +32,11 @@ def as_json(df: DataFrame) -> DataFrame:
 
 
 def write_report(report: Report, folder: str) -> list[str]:
-    """run-N.json and run-N.md of a small difference."""
+    """run-N.json (JSON lines) and run-N.md of a difference, each a folder of text files that follow each other."""
     out = []
-    for suffix, text in (("json", report.as_json()), ("md", report.markdown())):
+    for suffix, lines in (("json", report.as_json()), ("md", report.markdown())):
         out.append(f"{folder}/run-{report.runs[1]}.{suffix}")
-        with open(out[-1], "w", encoding="utf-8") as f:
-            f.write(text)
+        lines.write.text(out[-1])
     return out
 
 
