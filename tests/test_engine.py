@@ -1,4 +1,6 @@
 import json
+import os
+import shutil
 
 import duckdb
 import pytest
@@ -250,6 +252,18 @@ def test_store(spark, tmp_path):
     store.replace_runs("page_scores", rows(1, 3).union(rows(2, 2)))
     store.replace_runs("page_scores", rows(1, 1))
     assert {r.run_id: r["count"] for r in store.read("page_scores").groupBy("run_id").count().collect()} == {1: 1, 2: 2}
+    found = [(2, seq, n, f"u{seq}", "r", "notice", "m") for seq, n in ((2, 1), (1, 9), (1, 3))]
+    store.replace_runs("issues", spark.createDataFrame(found, SCHEMAS["issues"]))
+    assert [(r.page_seq, r.rule_ord) for r in store.issues(2).collect()] == [(1, 3), (1, 9), (2, 1)] and store.suggestions(2).isEmpty()
+    store.delete_run(2)
+    store.delete_run(7)
+    assert [r.run_id for r in store.read("runs").collect()] == [1] and store.read("issues").isEmpty() and store.read("page_scores").count() == 1
+    shutil.rmtree(store.path("runs.old"))
+    os.rename(store.path("runs"), store.path("runs.old"))  # as a job lost between its two renames leaves it
+    store.init()
+    assert store.run(1).count() == 1
+    with pytest.raises(ValueError):
+        store.upsert("pages", one)
 
 
 def fake_addresses(host):

@@ -111,6 +111,8 @@ ca AS (SELECT *, (400 + seq % 300)::BIGINT AS prompt_tokens, (50 + seq % 20)::BI
 
 ORACLES = {
     "s03_pages_in_order": over(FACTS, "SELECT run_id, seq, url, status FROM p"),
+    "s05_issues_in_order": over(ISSUES, "SELECT run_id, page_seq, rule_ord, url, rule_id FROM i"),
+    "s09_suggestions_in_order": over(ISSUES, f"{_SUGGEST} SELECT run_id, url, '=old title ' || seq AS original_title, 'Title ' || seq AS title, '-meta ' || seq AS meta_description, status, cached FROM sg"),
     "s04_redirect_chains": over(FACTS, "SELECT run_id, url, hops::INT AS n_hops, CASE WHEN hops > 0 THEN url || '?hop=1' END AS first_hop, lower(x_robots_tag) AS x_robots_tag FROM p"),
     "s08_sitemap_set": over(FACTS, "SELECT DISTINCT run_id, url FROM s"),
     "p01_titles": over(FACTS, "SELECT run_id, url, title, replace(lower(title), 'ß', 'ss') AS title_key FROM f"),

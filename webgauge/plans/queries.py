@@ -46,6 +46,8 @@ query("s04_redirect_chains")(
     lambda s: s.pages().select("run_id", "url", F.size("redirect_chain").alias("n_hops"), F.get("redirect_chain", F.lit(0))["url"].alias("first_hop"), F.lower(F.col("headers")["X-Robots-Tag"]).alias("x_robots_tag"))
 )
 query("s08_sitemap_set")(lambda s: s.sitemap().distinct())
+query("s05_issues_in_order")(lambda s: issues(s).select("run_id", "page_seq", "rule_ord", "url", "rule_id").orderBy("run_id", "page_seq", "rule_ord"))
+query("s09_suggestions_in_order")(lambda s: s.suggestions(s.audit()).select("run_id", "url", "original_title", "title", "meta_description", "status", "cached").orderBy("run_id", "url"))
 query("p01_titles")(lambda s: page_facts(s).select("run_id", "url", "title", "title_key"))
 query("p03_meta_fields")(lambda s: page_facts(s).select("run_id", "url", "meta_description", "robots_meta", "og_title", "og_description", "lang"))
 query("p06_canonicals")(lambda s: page_facts(s).select("run_id", "url", "canonical", "canonical_site"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SCHEMAS = {
@@ -48,15 +48,27 @@ class Store:
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
 
+    def _place(self, path: str):
+        """(file system, path) of the cluster's own file API."""
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
+
+    def _empty(self, table: str) -> DataFrame:
+        return self.spark.createDataFrame([], SCHEMAS[table])
+
     def exists(self, table: str) -> bool:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(table))
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+        fs, at = self._place(self.path(table))
+        return fs.exists(at)
 
     def init(self) -> None:
-        """Creates what isn't there; repeating it changes nothing."""
+        """Creates what isn't there and puts back what a lost replacement left aside; repeating it changes nothing."""
         for table in SCHEMAS:
+            fs, at = self._place(self.path(table))
+            old = self._place(f"{self.path(table)}.old")[1]
+            if not fs.exists(at) and fs.exists(old):
+                fs.rename(old, at)
             if not self.exists(table):
-                self.write(table, self.spark.createDataFrame([], SCHEMAS[table]), "errorifexists")
+                self.write(table, self._empty(table), "errorifexists")
 
     def read(self, table: str) -> DataFrame:
         """A table; reading never creates one."""
@@ -65,7 +77,7 @@ class Store:
         return self.spark.read.schema(SCHEMAS[table]).parquet(self.path(table))
 
     def write(self, table: str, df: DataFrame, mode: str = "append") -> None:
-        w = df.select(*[F.col(f.name).cast(f.dataType) for f in self.spark.createDataFrame([], SCHEMAS[table]).schema]).write.mode(mode)
+        w = df.select(*[F.col(f.name).cast(f.dataType) for f in self._empty(table).schema]).write.mode(mode)
         if table in BY_RUN:
             w = w.partitionBy("run_id").option("partitionOverwriteMode", "dynamic")
         w.parquet(self.path(table))
@@ -87,13 +99,38 @@ class Store:
         """All rows of the runs that occur in rows, atomically for each run's folder."""
         self.write(table, rows, "overwrite")
 
+    def issues(self, run_id: int) -> DataFrame:
+        """A run's issues, page by page in order of fetching, within a page in the order of the rules."""
+        return self.read("issues").where(F.col("run_id") == run_id).orderBy("page_seq", "rule_ord")
+
+    def suggestions(self, run_id: int) -> DataFrame:
+        """A run's suggestions by address."""
+        return self.read("ai_suggestions").where(F.col("run_id") == run_id).orderBy("url")
+
     def upsert(self, table: str, rows: DataFrame) -> None:
-        """The given rows win over those with the same key; the whole table is written anew."""
+        """The given rows win over those with the same key (of given rows that share one, any). For tables without run folders."""
         keys = KEYS[table]
-        old = self.read(table).withColumn("_new", F.lit(0)).unionByName(rows.withColumn("_new", F.lit(1)), allowMissingColumns=True)
-        last = Window.partitionBy(*keys).orderBy(F.desc("_new"))
-        kept = old.withColumn("_place", F.row_number().over(last)).where("_place = 1").drop("_place", "_new")
-        self.write(table, stored(kept, table), "overwrite")
+        given = rows.dropDuplicates(keys)
+        self._replace(table, self.read(table).join(given.select(*keys), keys, "left_anti").unionByName(given, allowMissingColumns=True))
+
+    def _replace(self, table: str, rows: DataFrame) -> None:
+        """The whole table, written beside and then put in place: a job that is lost leaves the old table, here or under ``.old``."""
+        if table in BY_RUN:
+            raise ValueError(f"{table} is replaced run by run")
+        path = self.path(table)
+        beside, old = f"{path}.{uuid.uuid4().hex}", f"{path}.old"
+        rows.select(*[F.col(f.name).cast(f.dataType) for f in self._empty(table).schema]).write.parquet(beside)
+        fs, at = self._place(path)
+        fs.delete(self._place(old)[1], True)
+        if not (fs.rename(at, self._place(old)[1]) and fs.rename(self._place(beside)[1], at)):
+            raise OSError(f"{table} could not be put in place; the new rows are in {beside}, the old ones in {old} or {path}")
+
+    def delete_run(self, run_id: int) -> None:
+        """A run with all that belongs to it; the cache of suggestions stays, as it belongs to contents. A missing run is no error."""
+        for table in sorted(BY_RUN):
+            fs, at = self._place(f"{self.path(table)}/run_id={run_id}")
+            fs.delete(at, True)
+        self._replace("runs", self.read("runs").where(F.col("run_id") != run_id))
 
     def new_run(self, start_url: str, settings: dict) -> int:
         run_id = (self.read("runs").agg(F.max("run_id")).first()[0] or 0) + 1
