@@ -1,7 +1,7 @@
 """Benchmark decontamination: a broadcast hash set of benchmark n-grams against every window of every document.
 
-DataFrame functions only. A document's words are hashed, each window of n words is hashed from those, and the
-window hashes meet the benchmark's in a broadcast hash join; the joined words are then compared, so that a hash
+DataFrame functions only. A document's words are cut into parts that overlap by n - 1 words; words are hashed, each
+window of n words is hashed from those, and the window hashes meet the benchmark's in a broadcast hash join; the joined words are then compared, so that a hash
 collision never counts. The set is broadcast in blocks of a fixed number of n-grams: a benchmark beyond one
 block costs another scan, never a larger broadcast.
 
@@ -24,6 +24,8 @@ BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: n-grams that are broadcast at once; a row holds n words and the ids of the items that have them.
 BLOCK = 200_000
+#: Windows of a document that are hashed together; a window's row carries the words of its part, not of the whole text.
+STRETCH = 128
 
 
 def ascii_lower(text: Column) -> Column:
@@ -40,15 +42,25 @@ def let(value: Column, body) -> Column:
 
 
 def window_hashes(words: Column, n: int) -> Column:
-    """Array of the 64-bit hashes of all windows of n words."""
+    """Array of the 64-bit hashes of all windows of n words.
 
-    def of(hashes: Column) -> Column:
-        return F.when(
-            F.size(hashes) >= n,
-            F.transform(F.sequence(F.lit(1), F.size(hashes) - (n - 1)), lambda i: F.xxhash64(F.slice(hashes, i, n))),
-        ).otherwise(F.array().cast("array<bigint>"))
+    Hashes of one, two, four... words that follow each other are joined two by two, so a window costs some log2(n) steps.
+    """
 
-    return let(F.transform(words, lambda w: F.xxhash64(w)), of)
+    def joined(left: Column, right: Column, step: int) -> Column:
+        return F.transform(left, lambda h, i: F.xxhash64(h, F.get(right, i + step)))
+
+    def grown(size: int, doubled: Column, rest: Column | None, done: int) -> Column:
+        """``rest`` covers the first ``done`` words of a window; ``doubled`` has the hashes of ``size`` words."""
+        if n & size:
+            rest = doubled if rest is None else joined(rest, doubled, done)
+            done += size
+        if done == n:
+            return rest
+        return let(joined(doubled, doubled, size), lambda twice: grown(2 * size, twice, rest, done))
+
+    ones = F.transform(words, lambda w: F.xxhash64(w))
+    return F.slice(let(ones, lambda h: grown(1, h, None, 0)), F.lit(1), F.greatest(F.lit(0), F.size(words) - (n - 1)))
 
 
 def placed(hashes: Column, n: int) -> Column:
@@ -67,9 +79,8 @@ def benchmark_windows(benchmark: DataFrame, n: int, item_id: str = "item_id", te
             F.transform(F.sequence(F.lit(1), F.size("_w") - k + 1), lambda i: F.slice(F.col("_w"), i, F.least(F.lit(n), F.size("_w"))))
         ).alias("gram"),
     )
-    return grams.groupBy("len", "gram").agg(F.sort_array(F.collect_set("_item")).alias("items")).withColumn(
-        "hash", F.xxhash64(F.transform("gram", lambda w: F.xxhash64(w)))
-    )
+    hashed = F.coalesce(*(F.when(F.col("len") == k, window_hashes(F.col("gram"), k)[0]) for k in range(1, n + 1)))
+    return grams.groupBy("len", "gram").agg(F.sort_array(F.collect_set("_item")).alias("items")).withColumn("hash", hashed)
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -77,30 +88,36 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, doc_id: str = "doc_
     grams = written(benchmark_windows(benchmark, n), "grams")
     lengths = sorted(r["len"] for r in grams.select("len").distinct().collect())  # at most n numbers
     blocks = max(1, -(-grams.count() // BLOCK))
-    base = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("_text_hash"), words_of(F.col(text)).alias("_w"))
+    base = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("_text_hash"), words_of(F.col(text)).alias("_all"))
+    last = F.greatest(F.lit(0), F.ceil(F.size("_all") / STRETCH).cast("int") - 1)
+    cut = F.transform(F.sequence(F.lit(0), last), lambda i: F.slice("_all", i * STRETCH + 1, STRETCH + n - 1))
+    base = base.select("doc_id", "_text_hash", F.size("_all").alias("n_words"), F.posexplode(cut).alias("_part", "_w"))
+    of_part = lambda k: F.slice(window_hashes(F.col("_w"), k), 1, STRETCH)  # noqa: E731 - later ones are the next part's
+    document, first = ["doc_id", "_text_hash", "n_words", "_part", "_w"], (F.col("_part") == 0) & (F.coalesce("_k", F.lit(0)) == 0)
     parts = []
     for block in range(blocks):
         gram = F.broadcast(grams.where(F.pmod("hash", F.lit(blocks)) == block).select("hash", "len", "gram", "items"))
         if len(lengths) < 2:  # as a rule all items have n words or more
             k = lengths[0] if lengths else n
-            at = base.select("doc_id", "_text_hash", "_w", F.posexplode_outer(window_hashes(F.col("_w"), k)).alias("_k", "_h"))
+            at = base.select(*document, F.posexplode_outer(of_part(k)).alias("_k", "_h"))
             at = at.withColumns({"_len": F.lit(k), "_pos": F.col("_k")})
         else:
-            every = F.concat(*(placed(window_hashes(F.col("_w"), k), k) for k in lengths))
-            at = base.select("doc_id", "_text_hash", "_w", F.posexplode_outer(every).alias("_k", "_s")).select(
-                "doc_id", "_text_hash", "_w", "_k", F.col("_s.h").alias("_h"), F.col("_s.len").alias("_len"), F.col("_s.pos").alias("_pos")
+            every = F.concat(*(placed(of_part(k), k) for k in lengths))
+            at = base.select(*document, F.posexplode_outer(every).alias("_k", "_s")).select(
+                *document, "_k", F.col("_s.h").alias("_h"), F.col("_s.len").alias("_len"), F.col("_s.pos").alias("_pos")
             )
         same = (F.col("_h") == F.col("hash")) & (F.col("_len") == F.col("len")) & (F.slice("_w", F.col("_pos") + 1, F.col("_len")) == F.col("gram"))
-        hit = at.join(gram, same, "left").where(F.col("hash").isNotNull() | F.col("_k").isNull() | (F.col("_k") == 0))
+        hit = at.join(gram, same, "left").where(F.col("hash").isNotNull() | first)
+        begin = F.col("_part") * STRETCH + F.col("_pos")
         parts.append(
             hit.select(
                 "doc_id",
                 "_text_hash",
-                F.size("_w").alias("n_words"),
-                F.when(F.col("hash").isNotNull(), F.struct(F.col("_pos").alias("pos"), (F.col("_pos") + F.col("_len")).alias("end"))).alias("_at"),
+                "n_words",
+                F.when(F.col("hash").isNotNull(), F.struct(begin.alias("pos"), (begin + F.col("_len")).alias("end"))).alias("_at"),
                 "items",
                 # a document row shows itself once, in the first block
-                F.when(F.coalesce("_k", F.lit(0)) == 0, F.lit(int(block == 0))).otherwise(0).alias("_row"),
+                F.when(first, F.lit(int(block == 0))).otherwise(0).alias("_row"),
             )
         )
     rows = reduce(DataFrame.unionByName, parts)
