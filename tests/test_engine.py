@@ -14,6 +14,7 @@ from webgauge.operators import summary as S
 from webgauge.operators import validate as V
 from webgauge.operators import views as W
 from webgauge.operators.rules import RULES, rule, rules_table
+from webgauge.plans import service
 from webgauge.plans.queries import QUERIES, oracle_sql
 from webgauge.sources import crawl, exports
 from webgauge.sources.tables import SCHEMAS, Store, stored
@@ -303,6 +304,87 @@ def test_crawl_source(spark):
     assert busy[0] == 429 and waits[2:] == [3.0, 3.0]
 
 
+def life_get(url, timeout, most):
+    if "down" in url:
+        raise OSError("refused")
+    return (200, {"content-type": "text/html"}, b"<a href='/b'>x</a>") if not url.endswith("robots.txt") else (404, {}, b"")
+
+
+def life_head(url, timeout, most):
+    return (200, {"content-type": "application/zip" if url.endswith(".zip") else "text/html"}, b"")
+
+
+def always():
+    return True
+
+
+def life_source(spark, urls, **options):
+    crawl.register(spark)
+    read = spark.read.format("crawl").option("urls", urls).option("delay", "0").option("transport", "tests.test_engine:life_get").option("resolver", "tests.test_engine:fake_addresses")
+    return read.options(**options).load()
+
+
+def test_crawl_life_cycle(spark, monkeypatch):
+    source = lambda urls, **options: life_source(spark, urls, **options)
+    errors = lambda df: {r.url: r.error for r in df.collect()}
+    end = lambda df: tuple(crawl.outcome(df).first())
+    two = "https://e.com/a https://e.com/b"
+    assert end(source(two)) == (2, "complete", None) and end(source("")) == (0, "complete", None)
+    assert set(errors(source(two, seconds="0")).values()) == {"left_at_deadline"} and end(source(two, seconds="0")) == (0, "partial", "left_at_deadline")
+    assert end(source(two, stop="tests.test_engine:always")) == (0, "partial", "left_on_stop")
+    assert end(source("https://gone.net/ http://127.0.0.1/")) == (0, "failed", "no address may be asked for")
+    dry = source(two + " https://gone.net/", dry_run="true")
+    assert errors(dry) == {"https://e.com/a": None, "https://e.com/b": None, "https://gone.net/": "target_unresolved"} and all(r.status == 0 for r in dry.collect())
+    monkeypatch.setattr(crawl, "TRIES", 1)
+    reader = crawl.CrawlReader({"urls": " ".join(f"https://e.com/down{n}" for n in range(5)), "transport": "tests.test_engine:life_get", "resolver": "tests.test_engine:fake_addresses", "delay": "0"})
+    assert [r[-1] for p in reader.partitions() for r in reader.read(p)] == ["refused"] * 3 + ["left_after_failures"] * 2
+    asked = []
+    seen = lambda *given: asked.append(given[0]) or life_get(*given)
+    assert crawl.fetch(seen, "https://e.com/x.zip", head=life_head)["error"] == "non_html" and asked == []
+    assert crawl.fetch(seen, "https://e.com/x.pdf", head=life_head)["error"] is None and crawl.fetch(seen, "https://e.com/x", head=life_head)["status"] == 200
+    assert asked == ["https://e.com/x.pdf", "https://e.com/x"]
+    now, waits = [0.0], []
+    paced = crawl.Paced(2.0, lambda: now[0], waits.append)
+    get = paced(lambda at: now.__setitem__(0, at))
+    get(0.5), get(5.0), get(5.0)
+    assert waits == [1.5]
+
+
+def test_crawled_run(spark, tmp_path):
+    two = "https://e.com/a https://e.com/b"
+    store = Store(spark, str(tmp_path / "life"))
+    store.init()
+    run = service.crawl_run(store, "https://e.com/", lambda: life_source(spark, two + " http://127.0.0.1/"))
+    assert [r.url for r in store.pages(run).orderBy("seq").collect()] == two.split() and store.read("links").count() > 0
+    assert tuple(store.run(run).select("status", "pages", "error").first()) == ("complete", 2, None)
+    with pytest.raises(ZeroDivisionError):
+        service.crawl_run(store, "https://e.com/", lambda: 1 / 0)
+    assert [(r.status, r.error) for r in store.read("runs").where(F.col("run_id") != run).collect()] == [("failed", "ZeroDivisionError: division by zero")]
+
+
+def test_patience_and_warning(spark):
+    waits, answers = [], [E.RateLimited("slow"), E.RateLimited("slow"), E.Completion("x", 1, 1)]
+
+    def limited(messages):
+        got = answers.pop(0)
+        if isinstance(got, Exception):
+            raise got
+        return got
+
+    assert E.Patient(limited, waits.append)([]).content == "x" and waits == [1.0, 2.0]
+    answers[:] = [E.RateLimited("slow")] * 3
+    with pytest.raises(E.Unavailable, match="slow"):
+        E.Patient(limited, waits.append)([])
+    answers[:] = [ValueError("odd")]
+    with pytest.raises(E.Unavailable, match="ValueError: odd"):
+        E.Patient(limited, waits.append)([])
+    told = lambda *rows: E.warning(spark.createDataFrame(list(rows), "status string, reason string, cost_usd double"), 0.01).first()[0]
+    ok, over, down = ("ok", None, 0.009), ("skipped", "budget of $0.0100 reached", 0.0), ("unavailable", "no line", 0.0)
+    assert told() is None and told(ok) is None and told(ok, ("skipped", "no model is configured", 0.0)) is None
+    assert told(ok, over) == "the budget of $0.0100 is used up after $0.0090: 1 page skipped" and told(ok, over, over).endswith("2 pages skipped")
+    assert told(over, down).endswith("unavailable: no line")
+
+
 def test_streaming(spark, tmp_path):
     store = Store(spark, f"{tmp_path}/store")
     store.init()

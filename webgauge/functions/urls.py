@@ -158,6 +158,11 @@ def as_typed(text: Column) -> Column:
     return F.when(text.rlike(r"^[A-Za-z0-9_.-]+(:[0-9]+)?(/.*)?$"), F.concat(F.lit("https://"), text)).otherwise(text)
 
 
+def root_sitemap(start: Column) -> Column:
+    """The sitemap that a site has at its root, if its robots file names none."""
+    return F.concat(F.regexp_extract(start, r"^(https?://[^/?#]+)", 1), F.lit("/sitemap.xml"))
+
+
 def sitemap_guesses(start: Column) -> Column:
     """Sitemap addresses below the start's path, deepest first, three at most."""
     origin = F.regexp_extract(start, r"^(https?://[^/?#]+)", 1)

@@ -51,6 +51,12 @@ add(
     lambda i: i.select("id", urls.is_root(c("u")).alias("is_root")),
     f"SELECT id, {_PATH} IN ('', '/') AS is_root FROM i",
 )
+add(
+    "x08_root_sitemaps",
+    "SELECT page_id AS id, url AS u FROM {t}",
+    lambda i: i.select("id", urls.root_sitemap(c("u")).alias("guess")),
+    "SELECT id, regexp_extract(u, '^(https?://[^/?#]+)', 1) || '/sitemap.xml' AS guess FROM i",
+)
 add(
     "x09_sitemap_guesses",
     "SELECT page_id AS id, url AS u FROM {t}",

@@ -14,6 +14,7 @@ from webgauge.operators import diff as D
 from webgauge.operators import enrich as E
 from webgauge.operators import summary as S
 from webgauge.operators import views as W
+from webgauge.sources import crawl
 from webgauge.sources.tables import Store, stored
 
 
@@ -43,6 +44,29 @@ def import_pages(store: Store, start_url: str, pages: DataFrame, sitemap: DataFr
     return run_id
 
 
+def crawl_run(store: Store, start_url: str, fetched: Callable[[], DataFrame], settings: dict | None = None) -> int:
+    """A new run of what ``fetched`` reads with the crawl source; its state is the outcome of the rows.
+
+    Pages get rising places, with gaps, in order of address. If reading or storing them fails, the run is marked failed with the
+    reason, and the error goes on to the caller.
+    """
+    run_id = store.new_run(start_url, settings or {})
+    try:
+        rows = stored(fetched(), "fetched")
+        end = crawl.outcome(rows).first()
+        asked = rows.where(~crawl.was_left(F.col("error")) & ~crawl.was_refused(F.col("error"))).orderBy("url")
+        made = {"run_id": F.lit(run_id).cast("long"), "seq": F.monotonically_increasing_id(), "depth": F.lit(0), "fetched_at": F.current_timestamp()}
+        kept = store.read("pages").columns
+        store.insert_ignore("pages", asked.select(*(made.get(name, F.col(name) if name in rows.columns else F.lit(None)).alias(name) for name in kept)))
+        links = A.internal_links(stored(A.facts(store.pages(run_id)), "facts"))
+        store.insert_ignore("links", links.select("run_id", F.col("url").alias("from_url"), F.col("key").alias("to_url")))
+        store.finish_run(run_id, end["status"], end["pages"], end["error"])
+    except Exception as e:
+        store.finish_run(run_id, "failed", 0, f"{type(e).__name__}: {e}"[:500])
+        raise
+    return run_id
+
+
 def audit_run(store: Store, run_id: int) -> DataFrame:
     """Audits a run anew, replacing its issues and scores; its summary. A failed run isn't audited."""
     run = store.run(run_id).first()

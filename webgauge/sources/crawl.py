@@ -4,9 +4,14 @@ Before anything is asked of a host, its name has to be a public one of the allow
 public; then its robots file decides. Both gates hold for each address and again for each redirect. An address that they
 refuse gives a row without a request: ``target_`` and the kind of refusal, ``target_unresolved``, or ``disallowed``.
 
-Options: urls (separated by blanks), transport and resolver (importable functions, "module:name", so that tests and offline
-runs need no network), allowed (sites, separated by commas; all if not given), agent, delay (the robots file may ask for
-more), timeout, max_bytes. The names' addresses are looked up once a host; the transport looks them up again, so a
+Not every address need be asked for: beyond a number of seconds for the whole read, once a stop function says so, and after three
+failures of transport in a row at one host, those left give a row without a request, with one of ``NOT_ASKED`` as error.
+``outcome`` sums rows up as the state of a run. A dry run asks for robots files only: rows without an error could be fetched.
+
+Options: urls (separated by blanks), transport, resolver, head and stop (importable functions, "module:name", so that tests
+and offline runs need no network; head is not used with another transport unless given), allowed (sites, separated by commas;
+all if not given), agent, delay (between the starts of any two requests to a host; the robots file may ask for more), timeout,
+max_bytes, seconds, dry_run. The names' addresses are looked up once a host; the transport looks them up again, so a
 name server that changes its answer in between isn't caught.
 """
 
@@ -17,20 +22,30 @@ import time
 from importlib import import_module
 from urllib.parse import urljoin, urlsplit
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from webgauge.functions import robots
 from webgauge.functions.policy import network_kind, refusal
-from webgauge.functions.urls import host_of, registrable_domain, resolve
+from webgauge.functions.urls import BINARY_EXTENSIONS, host_of, registrable_domain, resolve
 
 #: Types of pages; requests for one page; attempts for one request.
 HTML_TYPES = ("text/html", "application/xhtml+xml")
 MAX_HOPS, TRIES, FIRST_WAIT = 10, 3, 0.5
+#: Fixed value: failures of transport in a row after which a host is left alone.
+MAX_FAILURES = 3
+#: Why an address was left when the read ended early.
+NOT_ASKED = ("left_at_deadline", "left_on_stop", "left_after_failures")
 SCHEMA = "url string, final_url string, status int, content_type string, bytes long, elapsed_ms int, html string, redirect_chain array<struct<url:string,status:int>>, headers map<string,string>, error string"
 
 
-def http_get(url: str, timeout: float, most: int) -> tuple[int, dict[str, str], bytes]:
+def http_head(url: str, timeout: float, most: int) -> tuple[int, dict[str, str], bytes]:
+    """As http_get, for the headers only."""
+    return http_get(url, timeout, 0, "HEAD")
+
+
+def http_get(url: str, timeout: float, most: int, method: str = "GET") -> tuple[int, dict[str, str], bytes]:
     """One request by the standard library, without following redirects."""
     from urllib import request
     from urllib.error import HTTPError
@@ -40,7 +55,7 @@ def http_get(url: str, timeout: float, most: int) -> tuple[int, dict[str, str],
             return None
 
     try:
-        with request.build_opener(Stay).open(request.Request(url, headers={"User-Agent": "webgauge"}), timeout=timeout) as r:
+        with request.build_opener(Stay).open(request.Request(url, headers={"User-Agent": "webgauge"}, method=method), timeout=timeout) as r:
             return r.status, {k.lower(): v for k, v in r.headers.items()}, r.read(most + 1)
     except HTTPError as e:
         return e.code, {k.lower(): v for k, v in e.headers.items()}, b""
@@ -64,18 +79,50 @@ def attempt(get, url: str, timeout: float, most: int, wait=time.sleep) -> tuple[
     return status, headers, body, error
 
 
-def fetch(get, url: str, timeout: float = 15.0, most: int = 5 << 20, allowed=lambda url: True, wait=time.sleep) -> dict:
-    """A page's row. Each redirect is tested: bad target, other site, loop, not allowed; ten requests at most."""
+def media_type(headers: dict[str, str] | None) -> str:
+    return (headers or {}).get("content-type", "").partition(";")[0].strip().lower()
+
+
+def looks_binary(url: str) -> bool:
+    path = urlsplit(url).path.lower()
+    return "." in path and "." + path.rpartition(".")[2] in BINARY_EXTENSIONS
+
+
+class Paced:
+    """Requests that start at least ``delay`` seconds after each other."""
+
+    def __init__(self, delay: float = 0.0, clock=time.monotonic, wait=time.sleep):
+        self.delay, self.clock, self.wait, self.last = delay, clock, wait, None
+
+    def __call__(self, request):
+        def after_pause(*given):
+            pause = 0.0 if self.last is None else self.last + self.delay - self.clock()
+            if pause > 0:
+                self.wait(pause)
+            self.last = self.clock()
+            return request(*given)
+
+        return after_pause
+
+
+def fetch(get, url: str, timeout: float = 15.0, most: int = 5 << 20, allowed=lambda url: True, wait=time.sleep, head=None) -> dict:
+    """A page's row. Each redirect is tested: bad target, other site, loop, not allowed; ten requests at most.
+
+    An address that looks like a file is asked for its headers first, if ``head`` is given, so that a file isn't loaded to learn that it is one.
+    """
     began, at, chain, site = time.monotonic(), url, [], registrable_domain(url)
 
     def row(status=0, headers=None, html=None, size=0, error=None) -> dict:
-        kind = (headers or {}).get("content-type", "").partition(";")[0].strip().lower() or None
         return {
-            "url": url, "final_url": at, "status": status, "content_type": kind, "bytes": size, "elapsed_ms": int(1000 * (time.monotonic() - began)),
+            "url": url, "final_url": at, "status": status, "content_type": media_type(headers) or None, "bytes": size, "elapsed_ms": int(1000 * (time.monotonic() - began)),
             "html": html, "redirect_chain": chain, "headers": headers or {}, "error": error,
         }
 
     for _ in range(MAX_HOPS):
+        if head is not None and looks_binary(at):
+            status, headers, _, error = attempt(head, at, timeout, most, wait)
+            if error is None and 0 < status < 300 and media_type(headers) not in HTML_TYPES:
+                return row(status, headers, error="non_html")
         status, headers, body, error = attempt(get, at, timeout, most, wait)
         if error:
             return row(error=error)
@@ -92,7 +139,7 @@ def fetch(get, url: str, timeout: float = 15.0, most: int = 5 << 20, allowed=lam
             chain.append({"url": at, "status": status})
             at = to
             continue
-        kind = headers.get("content-type", "").partition(";")[0].strip().lower()
+        kind = media_type(headers)
         declared = headers.get("content-length", "")
         if kind and kind not in HTML_TYPES:
             return row(status, headers, size=len(body), error="non_html")
@@ -182,28 +229,41 @@ def _refused(url: str, why: str) -> dict:
 class CrawlReader(DataSourceReader):
     def __init__(self, options: dict):
         self.options = options
+        seconds = options.get("seconds")
+        self.until = time.time() + float(seconds) if seconds is not None else None  # one moment for all hosts
 
     def partitions(self):
         by_host: dict[str, list[str]] = {}
         for url in self.options["urls"].split():
             by_host.setdefault(host_of(url), []).append(url)
-        return [HostPartition(u) for u in by_host.values()]
+        return [HostPartition(u) for u in by_host.values()] or [HostPartition([])]
+
+    def left(self, failures: int, stop) -> str | None:
+        """Why no more is asked of a host."""
+        if self.until is not None and time.time() >= self.until:
+            return NOT_ASKED[0]
+        if stop is not None and stop():
+            return NOT_ASKED[1]
+        return NOT_ASKED[2] if failures >= MAX_FAILURES else None
 
     def read(self, partition):
         named = lambda option, default: _imported(self.options.get(option, f"webgauge.sources.crawl:{default}"))
+        given = lambda option: _imported(self.options[option]) if option in self.options else None
         get, timeout, most = named("transport", "http_get"), float(self.options.get("timeout", "15")), int(self.options.get("max_bytes", str(5 << 20)))
+        head, stop = given("head") if "transport" in self.options else named("head", "http_head"), given("stop")
         sites = self.options.get("allowed", "").replace(",", " ").split()
         gate = Gate(get, named("resolver", "addresses_of"), sites, self.options.get("agent", "webgauge"), timeout, most)
-        asked = False
+        dry, paced = self.options.get("dry_run", "false").lower() == "true", Paced()
+        paced_get, paced_head = paced(get), paced(head) if head is not None else None
+        failures = 0
         for url in partition.urls:
-            why = gate.why_not(url)
-            if why is not None:
+            why = self.left(failures, stop) or gate.why_not(url)
+            if why is not None or dry:
                 r = _refused(url, why)
             else:
-                if asked:  # one request at a time to a host
-                    time.sleep(max(float(self.options.get("delay", "0.5")), gate.policy(url)["delay"] or 0.0))
-                asked = True
-                r = fetch(get, url, timeout, most, lambda to: gate.why_not(to) is None)
+                paced.delay = max(float(self.options.get("delay", "0.5")), gate.policy(url)["delay"] or 0.0)
+                r = fetch(paced_get, url, timeout, most, lambda to: gate.why_not(to) is None, head=paced_head)
+                failures = failures + 1 if r["status"] == 0 and r["error"] != "too_many_redirects" else 0
             yield tuple(r[k] for k in ("url", "final_url", "status", "content_type", "bytes", "elapsed_ms", "html", "redirect_chain", "headers", "error"))
 
 
@@ -219,6 +279,32 @@ class CrawlSource(DataSource):
         return CrawlReader(self.options)
 
 
+def was_left(error: Column) -> Column:
+    return F.coalesce(error.isin(*NOT_ASKED), F.lit(False))
+
+
+def was_refused(error: Column) -> Column:
+    return F.coalesce((error == "disallowed") | error.startswith("target_"), F.lit(False))
+
+
+def outcome(rows: DataFrame) -> DataFrame:
+    """One row, pages, status, error, of what was read.
+
+    A read that ended early is partial, with the reason of most of what it left; one whose addresses were all refused has
+    failed; any other, also one of no address, is complete. Rows of addresses that were never asked for aren't pages.
+    """
+    error = F.col("error")
+    counted = rows.agg(
+        F.count("*").alias("n"), F.count_if(was_left(error)).alias("n_left"), F.count_if(was_refused(error)).alias("n_refused"), F.mode(F.when(was_left(error), error), True).alias("why"),
+    )
+    failed = (F.col("n") > 0) & (F.col("n_refused") == F.col("n"))
+    return counted.select(
+        (F.col("n") - F.col("n_left") - F.col("n_refused")).alias("pages"),
+        F.when(failed, "failed").when(F.col("n_left") > 0, "partial").otherwise("complete").alias("status"),
+        F.when(failed, "no address may be asked for").otherwise(F.col("why")).alias("error"),
+    )
+
+
 def register(spark: SparkSession) -> None:
     """Makes spark.read.format("crawl").option("urls", "...") known."""
     spark.dataSource.register(CrawlSource)
