@@ -1,5 +1,56 @@
 """The operators' results in DuckDB SQL, where SQL can express them."""
 
+
+def _add(cost: str, letter: str, x: str) -> str:
+    """A cost of twelve digits with its audit behind it, after one more edit before it."""
+    return f"(lpad((substr({x}, 1, 12)::BIGINT + {cost})::VARCHAR, 12, '0') || '{letter}' || substr({x}, 13))"
+
+
+def _edits(q: int) -> str:
+    """The cheapest, least way on from pattern state q before a row."""
+    keeps = {0: (("s", 1), ("u", 2)), 1: (("u", 2),), 2: (("a", 3),), 3: (("u", 2),)}[q]
+    kept = "".join(f" WHEN d.initial = '{i}' THEN {_add('d.more', 'K', f'c{n}')}" for i, n in keeps)
+    rest = _add("2 + d.more", "R", f"c{keeps[-1][1]}")
+    return f"least({_add('3', 'D', f'c{q}')}, CASE WHEN NOT d.gone THEN {rest} END, CASE WHEN d.gone THEN NULL{kept} END)"
+
+
+def _inserts(prefix: str, to: str) -> str:
+    """Costs with inserts: after s or at the start a u, after u an a, after a a u."""
+    two = f"least({prefix}2, {_add('2', 'I', f'{prefix}3')})"
+    of = {0: f"least({prefix}0, {_add('2', 'I', two)})", 1: f"least({prefix}1, {_add('2', 'I', two)})", 2: two, 3: f"least({prefix}3, {_add('2', 'I', f'{prefix}2')})"}
+    return ", ".join(f"{x} AS {to}{q}" for q, x in of.items())
+
+
+REPAIR = rf"""
+WITH RECURSIVE t AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS s FROM conversations),
+l AS (SELECT *, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten([[ord(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1] FOR x IN string_split(s, '')])),
+        lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END)) % 20 AS lot FROM t),
+r AS (SELECT conv_id, turn, CASE WHEN lot = 4 THEN 'user' ELSE role END AS role,
+             CASE lot WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN lot = 3 THEN [1, 2] ELSE [1] END) AS copy
+      FROM l WHERE lot <> 0),
+f AS (SELECT *, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS core, left(role, 1) AS initial,
+             row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(len(role) || ':' || role || text), copy) AS pos,
+             row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again FROM r),
+d AS (SELECT *, CASE WHEN core = '' THEN 'blank' WHEN again THEN 'duplicate' WHEN right(core, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE 'none' END AS fault,
+             core = '' OR again AS gone, CASE WHEN right(core, 1) NOT IN ('.', '!', '?') THEN 1 ELSE 0 END AS more,
+             lag(initial) OVER (PARTITION BY conv_id ORDER BY pos) || initial NOT IN ('su', 'ua', 'au') AS odd FROM f),
+n AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+             count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (odd) AS illegal FROM d GROUP BY conv_id),
+e AS (SELECT '000000000000' AS e0, '500000000000' AS e1, '500000000000' AS e2, '000000000000' AS e3),
+w AS (SELECT conv_id, n AS pos, {_inserts("e", "c")} FROM n, e UNION ALL
+      SELECT conv_id, pos - 1 AS pos, {_inserts("e", "c")} FROM (
+        SELECT d.conv_id, d.pos, {", ".join(f"{_edits(q)} AS e{q}" for q in range(4))} FROM w JOIN d ON d.conv_id IS NOT DISTINCT FROM w.conv_id AND d.pos = w.pos)),
+a AS (SELECT conv_id, substr(c0, 1, 12)::BIGINT AS cost, substr(c0, 13) AS audit FROM w WHERE pos = 0),
+x AS (SELECT conv_id, audit, unnest(range(1, len(audit) + 1)) AS i FROM a WHERE audit <> ''),
+y AS (SELECT *, substr(audit, i, 1) AS letter, len(replace(audit, 'D', '')) % 2 AS whole FROM x),
+z AS (SELECT *, count(*) FILTER (letter <> 'I') OVER (PARTITION BY conv_id ORDER BY i) AS pos, count(*) FILTER (letter <> 'D') OVER (PARTITION BY conv_id ORDER BY i) AS o FROM y),
+s AS (SELECT z.conv_id, string_agg(CASE WHEN letter = 'K' THEN d.role WHEN (o + whole) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN letter = 'I' THEN '' ELSE d.text END, chr(10) ORDER BY i) AS out
+      FROM z LEFT JOIN d ON d.conv_id IS NOT DISTINCT FROM z.conv_id AND d.pos = z.pos WHERE letter <> 'D' GROUP BY z.conv_id)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+       coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, sha256(coalesce(out, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN a ON a.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN s ON s.conv_id IS NOT DISTINCT FROM c.conv_id"""
+
 ORACLES = {
     "op1_suffix_array": r"""
 WITH d AS (SELECT row_number() OVER () AS row_no, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
@@ -87,4 +138,32 @@ m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS most FROM b)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id < most THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN page_id < most THEN most END AS refers_to, true AS valid
 FROM m""",
+    "op11_treap_search": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), []) AS ws
+  FROM documents),
+p AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(ws) AS t FROM d) GROUP BY ALL),
+g AS (SELECT count(*) AS n_docs, sum(len(ws))::BIGINT AS n_terms FROM d WHERE len(ws) > 0),
+m AS (SELECT r, doc_id, 75 + (25 * len(ws)::BIGINT * n_docs) // n_terms AS m FROM d, g WHERE len(ws) > 0),
+f AS (SELECT t, floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1)))::BIGINT AS w FROM (SELECT t, count(*) AS df FROM p GROUP BY t), g),
+i AS (SELECT row_number() OVER () AS q, item_id,
+             unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t
+      FROM benchmark),
+k AS (SELECT q, item_id, t, count(*) AS times FROM i GROUP BY ALL),
+s AS (SELECT q, item_id, r, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+      FROM k JOIN f USING (t) JOIN p USING (t) JOIN m USING (r) GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM o WHERE rank <= 20""",
+    "op12_conversation_repair": REPAIR,
+    "op13_projection_passes": r"""
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS r, vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+g AS (SELECT * FROM v WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS (SELECT a.r AS x, b.r AS y FROM g a JOIN g b ON a.label = b.label AND a.r <> b.r AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+n AS (SELECT x, count(*) AS n FROM l GROUP BY x),
+c AS (SELECT x AS x, x AS y FROM n UNION SELECT c.x, l.y FROM c JOIN l ON c.y = l.x),
+m AS (SELECT c.x, min(vec_id) AS least FROM c JOIN v ON v.r = c.y GROUP BY c.x)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(least, vec_id) AS component_id, coalesce(least, vec_id) IS NOT DISTINCT FROM vec_id AS kept
+FROM v LEFT JOIN n ON n.x = r LEFT JOIN m ON m.x = r""",
 }

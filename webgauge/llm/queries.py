@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webgauge.llm import decontam, language_model, minhash, mixing, quality, substring_dedup, suffix_dedup, tokens, toxicity, warc
+from webgauge.llm import conversations, decontam, embedding_dedup, language_model, minhash, mixing, quality, substring_dedup, suffix_dedup, tokens, toxicity, treap_search, warc
 from webgauge.llm.oracles import ORACLES
 
 
@@ -58,6 +58,19 @@ def op10_bpe_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_treap_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return treap_search.search(treap_search.index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, dropped = conversations.damaged(table(spark, sf_dir, "conversations"))
+    return conversations.report(rows, dropped)
+
+
+def op13_projection_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
