@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from webgauge.llm.packing import BUFFER, Found, batch_of, by_bucket, home, home_column, pack_ids, unpack_ids
 from webgauge.llm.shared import partitions, written
-from webgauge.llm.textarrays import BYTE_VALUES, SLICE_BYTES, U64, flat, ids, mix, prefix, slices, spans
+from webgauge.llm.textarrays import BYTE_VALUES, SLICE_BYTES, U64, flat, ids, mix, prefix, slices, span_hashes, spans
 
 LENGTH, GRAM, SHALLOW = 50, 20, 16
 #: Replies to a document about a stretch: all of it is in an earlier document; it is to send its bytes.
@@ -84,7 +84,7 @@ def stretches(text: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.nd
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(valid)) - 1
     begin, end = valid[first], valid[last]
-    whole = mix(spans(sums, begin, end + length) + (end - begin).astype(U64) * U64(0x9E3779B97F4A7C15))
+    whole = span_hashes(text, begin, end + length)
     return owner[first], begin, end, value[first], whole
 
 

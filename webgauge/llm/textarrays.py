@@ -1,7 +1,9 @@
 """Texts of an Arrow batch as flat numpy arrays: bytes, words, rolling hashes.
 
-All hashes are polynomials modulo 2**64 over randomly drawn symbol values, finished by a mixer. A hash of
-any span comes from two prefix sums, so every window of a text costs a few vector operations.
+Spans of bytes that are told apart by their hash (words, stretches) are hashed by lanes of eight bytes: each lane is mixed with
+a key of its place, and the mixed lanes are summed. Windows of words are hashed two by two, each step mixed. Neither has
+the structure of a polynomial modulo a power of two, under which some different texts always collide. Such polynomials (``prefix``, ``spans``) serve only
+where a collision does no harm: to choose minimizers, to sort before bytes are compared, to number features.
 """
 
 from __future__ import annotations
@@ -85,11 +87,34 @@ def spans(sums: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     return (sums[end] - sums[begin]) * down[begin]
 
 
+def span_hashes(text: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span [begin, end) of a text's bytes; a few bytes of work for each byte of the spans."""
+    size = end - begin
+    lanes = np.maximum((size + 7) >> 3, 1)
+    if not len(size):
+        return np.zeros(0, U64)
+    first = np.cumsum(lanes) - lanes
+    place = np.arange(first[-1] + lanes[-1]) - np.repeat(first, lanes)
+    padded = np.concatenate([text, np.zeros(8, np.uint8)])
+    words = np.ndarray(len(text) + 1, "<u8", buffer=padded.data, strides=(1,))  # eight bytes from every place on
+    lane = words[np.repeat(begin, lanes) + 8 * place]
+    last = first + lanes - 1
+    left = (8 * (size - 8 * (lanes - 1))).astype(U64)  # bits of the last lane
+    lane[last] &= np.where(left >= 64, ~U64(0), (U64(1) << (left & U64(63))) - U64(1))
+    lane = mix(lane ^ mix(place.astype(U64) * U64(_MULT) + U64(_ROOT)))
+    return mix(np.add.reduceat(lane, first) + size.astype(U64) * U64(_MULT))
+
+
+def paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hashes of pairs of hashes."""
+    return mix(a * U64(_MULT) + b)
+
+
 class Words:
     """Words between ASCII white space (or of the bytes marked by ``inside``) of a slice of texts.
 
     begin, end: byte positions of each word; first: of each text, the number of its first word (one more at
-    the end); hashes: 64 bits of each word.
+    the end); hashes: 64 bits of each word (by lanes).
     """
 
     def __init__(self, text: np.ndarray, offsets: np.ndarray, lower: bool = False, inside: np.ndarray | None = None):
@@ -106,8 +131,7 @@ class Words:
         self.begin, self.end = np.flatnonzero(starts), np.flatnonzero(ends) + 1
         self.first = np.searchsorted(self.begin, offsets)
         self.counts = np.diff(self.first)
-        sums = prefix(BYTE_VALUES[text])
-        self.hashes = mix(spans(sums, self.begin, self.end) + (self.end - self.begin).astype(U64) * U64(_MULT))
+        self.hashes = span_hashes(text, self.begin, self.end)
 
     def texts(self) -> np.ndarray:
         """For each word, the number of its text in the slice."""
@@ -119,8 +143,15 @@ class Words:
         if n < length:
             return np.zeros(0, np.int64), np.zeros(0, U64)
         at = np.flatnonzero((np.arange(n) + length) <= np.repeat(self.first[1:], self.counts))
-        sums = prefix(self.hashes)
-        return at, mix(spans(sums, at, at + length))
+        # windows of 1, 2, 4, ... words, joined from the left where length has that power of two
+        part, size, out, have = self.hashes, 1, None, 0
+        while size <= length:
+            if length & size:
+                out, have = (part if out is None else paired(out[: len(out) - size], part[have:])), have + size
+            if 2 * size <= length:
+                part = paired(part[:-size], part[size:])
+            size *= 2
+        return at, out[at]
 
 
 def covered(starts: np.ndarray, length: int, n: int) -> np.ndarray:
