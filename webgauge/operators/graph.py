@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from webgauge.operators.scan import placed
+
 
 def breadth_first(seeds: DataFrame, links: DataFrame, max_depth: int, write: Callable[[DataFrame, str], DataFrame], max_pages: int | None = None, aliases: DataFrame | None = None) -> DataFrame:
     """url, depth of what a crawl visits: seeds (url, pos) at depth 0, then level by level what they link to.
@@ -37,8 +39,8 @@ def breadth_first(seeds: DataFrame, links: DataFrame, max_depth: int, write: Cal
         found = level.join(links, "url").groupBy(F.col("to_url").alias("url")).agg(F.min(F.struct("pos", "to_url")).alias("first"))
         fresh = found.join(seen.distinct(), "url", "left_anti")
         # the order of a level only matters where it may be cut
-        pos = F.row_number().over(Window.orderBy("first", "url")).cast("long") if max_pages is not None else F.col("first.pos")
-        level = write(fresh.select("url", pos.alias("pos"), F.lit(depth).alias("depth")), "level")
+        next_ = placed(fresh.select("url", "first"), ["first", "url"], write, "pos") if max_pages is not None else fresh.withColumn("pos", F.col("first.pos"))
+        level = write(next_.select("url", "pos", F.lit(depth).alias("depth")), "level")
     return visited.select("url", "depth") if visited is not None else seeds.select("url", F.lit(0).alias("depth")).limit(0)
 
 

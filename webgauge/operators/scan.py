@@ -46,7 +46,7 @@ def placed_within(df: DataFrame, group: Sequence[str], order: Sequence[Column |
 def running(df: DataFrame, group: Sequence[str], order: Sequence[Column | str], values: dict[str, Column], write: Write) -> DataFrame:
     """Every row with running sums of whole-number ``values`` (new name to column) over its group's rows up to and with itself.
 
-    Sums run over all rows; what had been summed before a group's first row is taken off again, so groups need no windows of their own.
+    Sums run over all rows (without a ``group`` that is all); what had been summed before a group's first row is taken off again, so groups need no windows of their own.
     """
     rows = ranged(df.withColumns({f"_v_{k}": F.coalesce(v.cast("long"), F.lit(0)) for k, v in values.items()}), [*group, *order], write)
     parts = rows.groupBy("_part").agg(*(F.sum(f"_v_{k}").alias(k) for k in values))
@@ -54,9 +54,11 @@ def running(df: DataFrame, group: Sequence[str], order: Sequence[Column | str],
     # by range partition: as large as a task's share of the sort, however large a group is
     rows = rows.withColumns({f"_s_{k}": F.sum(f"_v_{k}").over(upto) for k in values}).join(before(parts, *values), "_part")
     rows = rows.withColumns({f"_s_{k}": F.col(f"_s_{k}") + F.col(f"_before_{k}") for k in values})
+    if not group:
+        return rows.withColumnsRenamed({f"_s_{k}": k for k in values}).drop("_part", "_row", *(f"{p}{k}" for k in values for p in ("_v_", "_before_")))
     bases = rows.groupBy(*(F.col(g).alias(f"_of_{g}") for g in group)).agg(
         F.min_by(F.struct(*(((F.col(f"_s_{k}") - F.col(f"_v_{k}")).alias(k)) for k in values)), F.struct("_part", "_row")).alias("_base"))
     same = [F.col(g).eqNullSafe(F.col(f"_of_{g}")) for g in group]
-    rows = rows.join(bases, same) if group else rows.crossJoin(F.broadcast(bases))
+    rows = rows.join(bases, same)
     rows = rows.withColumns({k: F.col(f"_s_{k}") - F.col(f"_base.{k}") for k in values})
     return rows.drop("_part", "_row", "_base", *(f"{p}{k}" for k in values for p in ("_v_", "_s_", "_before_")), *(f"_of_{g}" for g in group))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from webgauge.functions.text import as_text
 from webgauge.operators.rules import WEIGHTS
+from webgauge.operators.scan import placed_within, running
+from webgauge.sources.tables import stored
 
 CSV_COLUMNS = "url final_url status depth score critical warning notice issues ai_status original_title ai_title original_meta ai_meta ai_reason".split()
 MAX_PAGE_SIZE = 500
@@ -43,8 +45,8 @@ def select_pages(views: DataFrame, severity: str | None = None, rule: str | None
 
 
 def ordered(views: DataFrame, sort: str = "score", descending: bool = False) -> DataFrame:
-    """With each page's place in its run's order."""
-    return views.withColumn("place", F.row_number().over(Window.partitionBy("run_id").orderBy(*sort_keys(sort, descending))))
+    """With each page's place in its run's order. A run may be as large as the table: it is sorted in ranges, not in one window."""
+    return placed_within(views, ["run_id"], sort_keys(sort, descending), stored).withColumn("place", F.col("place").cast("int"))
 
 
 def page_of(views: DataFrame, number: int = 1, size: int = 50, sort: str = "score", descending: bool = False) -> tuple[int, DataFrame]:
@@ -96,6 +98,6 @@ def stale(now: Column, seconds: float) -> Column:
 
 def failure_streaks(pages: DataFrame) -> DataFrame:
     """run_id, first_seq, failures: stretches of consecutive fetches that never completed (status 0)."""
-    every = Window.partitionBy("run_id").orderBy("seq")
-    island = pages.select("run_id", "seq", "status", F.sum(F.when(F.col("status") != 0, 1).otherwise(0)).over(every).alias("island"))
+    reached = F.when(F.col("status") != 0, 1).otherwise(0)
+    island = running(pages.select("run_id", "seq", "status"), ["run_id"], ["seq"], {"island": reached}, stored)
     return island.where("status = 0").groupBy("run_id", "island").agg(F.min("seq").alias("first_seq"), F.count("*").alias("failures")).drop("island")

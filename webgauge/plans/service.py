@@ -14,6 +14,7 @@ from webgauge.operators import diff as D
 from webgauge.operators import enrich as E
 from webgauge.operators import summary as S
 from webgauge.operators import views as W
+from webgauge.plans.crawling import Crawl, Limits
 from webgauge.sources import crawl
 from webgauge.sources.tables import Store, stored
 
@@ -67,6 +68,30 @@ def crawl_run(store: Store, start_url: str, fetched: Callable[[], DataFrame], se
     return run_id
 
 
+def crawl_site(store: Store, start_url: str, options: dict[str, str], limits: Limits = Limits(), stop: Callable[[], bool] | None = None) -> int:
+    """A new run that crawls a site from its start and its sitemaps; pages are stored in the order of the visit, with their depths.
+
+    A run that is stopped, runs out of time or loses its host is partial and keeps its pages; an error marks it failed and goes on to the caller.
+    """
+    pair = link_pair(start_url)
+    if pair is None:
+        raise ValueError(f"not an address of a web page: {start_url!r}")
+    run_id = store.new_run(pair[0], {"max_pages": limits.max_pages, "max_depth": limits.max_depth, "wall_clock_seconds": limits.seconds})
+    try:
+        c = Crawl(store.spark, f"{store.root}/crawls/run={run_id}", options, limits)
+        end = c.run(store.spark.createDataFrame([(start_url,)], "url string"), stop).first()
+        got, run = c.pages(), F.lit(run_id).cast("long").alias("run_id")
+        made = {"run_id": run, "fetched_at": F.current_timestamp()}
+        store.insert_ignore("pages", got.select(*(made.get(name, F.col(name) if name in got.columns else F.lit(None)).alias(name) for name in store.read("pages").columns)))
+        store.insert_ignore("links", c.links().select(run, "from_url", "to_url").distinct())
+        store.insert_ignore("sitemap_urls", c.listed().select(run, "url"))
+        store.finish_run(run_id, end["status"], end["pages"], end["error"])
+    except Exception as e:
+        store.finish_run(run_id, "failed", 0, f"{type(e).__name__}: {e}"[:500])
+        raise
+    return run_id
+
+
 def audit_run(store: Store, run_id: int) -> DataFrame:
     """Audits a run anew, replacing its issues and scores; its summary. A failed run isn't audited."""
     run = store.run(run_id).first()
@@ -115,15 +140,16 @@ def compare_with_previous(store: Store, run_id: int) -> D.Report | None:
     return compare(store, row["previous"], run_id) if row and row["previous"] is not None else None
 
 
-def enrich_run(store: Store, run_id: int, completer: E.Completer | None, model: str, budget: float) -> DataFrame:
-    """Suggestions for a run's weak pages, stored with their calls and cache; a one-row report."""
+def enrich_run(store: Store, run_id: int, completer: E.Completer | None, model: str, budget: float, counter: E.Counter = E.token_estimate, at_once: int = E.AT_ONCE) -> DataFrame:
+    """Suggestions for a run's weak pages, stored with their calls and cache; a one-row report with a warning if there is something to know."""
     parsed = stored(A.facts(store.pages(run_id)), "facts")
     found = stored(E.candidates(parsed, store.read("issues").where(F.col("run_id") == run_id)), "candidates")
-    outcomes, calls = E.enrich(found, store.read("ai_cache"), completer, model, budget, stored)
+    outcomes, calls = E.enrich(found, store.read("ai_cache"), completer, model, budget, stored, counter, at_once)
     outcomes = stored(outcomes, "outcomes")
     at = F.date_trunc("second", F.current_timestamp())
     store.write("ai_calls", calls.withColumn("created_at", at))
     rows = outcomes.join(found.select("run_id", "url", F.col("title").alias("original_title"), F.col("meta_description").alias("original_meta")), ["run_id", "url"])
     store.replace_runs("ai_suggestions", rows.select("*", "suggestion.diagnosis", "suggestion.title", "suggestion.meta_description"))
     store.upsert("ai_cache", E.cache_rows(outcomes, model).dropDuplicates(["key"]).withColumn("created_at", at))
-    return E.report(outcomes)
+    told = E.warning(outcomes, budget).first()[0] if completer is not None else "no model is configured: results of the rules only"
+    return E.report(outcomes).withColumn("warning", F.lit(told))

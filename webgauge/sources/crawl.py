@@ -226,6 +226,28 @@ def _refused(url: str, why: str) -> dict:
     }
 
 
+class SiteTools:
+    """What one site is asked with: paced requests, and the gate that asks through them too."""
+
+    def __init__(self, options: dict):
+        named = lambda option, default: _imported(options.get(option, f"webgauge.sources.crawl:{default}"))
+        get = named("transport", "http_get")
+        head = named("head", "http_head") if "head" in options or "transport" not in options else None
+        self.timeout, self.most, self.least = float(options.get("timeout", "15")), int(options.get("max_bytes", str(5 << 20))), float(options.get("delay", "0.5"))
+        self.paced = Paced(self.least)
+        self.get, self.head = self.paced(get), self.paced(head) if head is not None else None
+        sites = options.get("allowed", "").replace(",", " ").split()
+        self.gate = Gate(self.get, named("resolver", "addresses_of"), sites, options.get("agent", "webgauge"), self.timeout, self.most)
+
+    def fetch(self, url: str) -> dict:
+        self.paced.delay = max(self.least, self.gate.policy(url)["delay"] or 0.0)
+        return fetch(self.get, url, self.timeout, self.most, lambda to: self.gate.why_not(to) is None, head=self.head)
+
+
+def site_tools(options: dict) -> SiteTools:
+    return SiteTools(options)
+
+
 class CrawlReader(DataSourceReader):
     def __init__(self, options: dict):
         self.options = options
@@ -247,22 +269,16 @@ class CrawlReader(DataSourceReader):
         return NOT_ASKED[2] if failures >= MAX_FAILURES else None
 
     def read(self, partition):
-        named = lambda option, default: _imported(self.options.get(option, f"webgauge.sources.crawl:{default}"))
-        given = lambda option: _imported(self.options[option]) if option in self.options else None
-        get, timeout, most = named("transport", "http_get"), float(self.options.get("timeout", "15")), int(self.options.get("max_bytes", str(5 << 20)))
-        head, stop = given("head") if "transport" in self.options else named("head", "http_head"), given("stop")
-        sites = self.options.get("allowed", "").replace(",", " ").split()
-        gate = Gate(get, named("resolver", "addresses_of"), sites, self.options.get("agent", "webgauge"), timeout, most)
-        dry, paced = self.options.get("dry_run", "false").lower() == "true", Paced()
-        paced_get, paced_head = paced(get), paced(head) if head is not None else None
+        tools = SiteTools(dict(self.options))
+        stop = _imported(self.options["stop"]) if "stop" in self.options else None
+        dry = self.options.get("dry_run", "false").lower() == "true"
         failures = 0
         for url in partition.urls:
-            why = self.left(failures, stop) or gate.why_not(url)
+            why = self.left(failures, stop) or tools.gate.why_not(url)
             if why is not None or dry:
                 r = _refused(url, why)
             else:
-                paced.delay = max(float(self.options.get("delay", "0.5")), gate.policy(url)["delay"] or 0.0)
-                r = fetch(paced_get, url, timeout, most, lambda to: gate.why_not(to) is None, head=paced_head)
+                r = tools.fetch(url)
                 failures = failures + 1 if r["status"] == 0 and r["error"] != "too_many_redirects" else 0
             yield tuple(r[k] for k in ("url", "final_url", "status", "content_type", "bytes", "elapsed_ms", "html", "redirect_chain", "headers", "error"))
 
