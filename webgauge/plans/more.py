@@ -10,11 +10,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webgauge.functions import policy, robots, text, urls
+from webgauge.functions import policy, robots, suffixes, text, urls
 from webgauge.operators import diff as D
 from webgauge.operators import enrich as E
 from webgauge.operators import graph as G
 from webgauge.operators import validate as V
+from webgauge.operators import views as W
 from webgauge.plans.oracles import ISSUES, over
 from webgauge.plans.snapshot import Snapshot
 from webgauge.sources import sitemaps
@@ -239,6 +240,32 @@ add(
 )
 
 
+#: Rules of every kind, as the public list spells them.
+_RULES = ("com", "org", "uk", "co.uk", "*.ck", "!www.ck", "jp", "*.kawasaki.jp", "!city.kawasaki.jp", "kawasaki.jp", "example", "a.b.example")
+_SUFFIXED = """SELECT page_id AS id, concat('https://', lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)), CASE page_id % 12 WHEN 0 THEN '' WHEN 1 THEN '.co.uk' WHEN 2 THEN '.www.ck' WHEN 3 THEN '.shop.ck'
+       WHEN 4 THEN '.kawasaki.jp' WHEN 5 THEN '.city.kawasaki.jp' WHEN 6 THEN '.x.kawasaki.jp' WHEN 7 THEN '.b.example' WHEN 8 THEN '.a.b.example' WHEN 9 THEN '.unknown' WHEN 10 THEN '.127' ELSE '.uk' END,
+       regexp_extract(url, '^https?://[^/?#]+(.*)$', 1)) AS u FROM {t}"""
+
+
+def suffix_query(i: DataFrame) -> DataFrame:
+    rules = suffixes.rules_of(i.sparkSession.createDataFrame([(x,) for x in _RULES], "value string"))
+    return suffixes.with_sites(i, "u", rules).select("id", "site")
+
+
+add(
+    "x05_suffix_rules",
+    _SUFFIXED,
+    suffix_query,
+    f""", h AS (SELECT id, string_split(regexp_extract(u, '^https?://([^/?#:]+)', 1), '.') AS l FROM i),
+r AS (SELECT unnest([{", ".join(repr(x) for x in _RULES)}]) AS rule),
+e AS (SELECT id, l, n, array_to_string(l[len(l) - n + 1 :], '.') AS tail, '*.' || array_to_string(l[len(l) - n + 2 :], '.') AS wild FROM (SELECT id, l, unnest(range(1, len(l) + 1)) AS n FROM h)),
+m AS (SELECT id, max(n) FILTER (EXISTS (SELECT 1 FROM r WHERE rule = '!' || tail)) - 1 AS exempt, max(n) FILTER (EXISTS (SELECT 1 FROM r WHERE rule = tail) OR n > 1 AND EXISTS (SELECT 1 FROM r WHERE rule = wild)) AS longest FROM e GROUP BY id)
+SELECT h.id, CASE WHEN regexp_matches(l[-1], '^[0-9]+$') OR len(l) <= k THEN array_to_string(l, '.') ELSE array_to_string(l[len(l) - k :], '.') END AS site
+FROM (SELECT h.id, l, coalesce(exempt, longest, 1) AS k FROM h LEFT JOIN m USING (id)) h""",
+)
+MORE_SQL["x05_suffix_rules"] = MORE_SQL["x05_suffix_rules"].replace(")\n, h AS", "),\nh AS")
+
+
 def redirects_query(i: DataFrame) -> DataFrame:
     r = i.select("url", "status", "location", F.lit("s").alias("location_site"), F.lit("s").alias("site"), F.lit(True).alias("allowed"))
     return G.follow_redirects(i.select("url"), r, stored).select("url", "final_url", F.size("chain").alias("hops"), "error")
@@ -254,6 +281,27 @@ SELECT 'u' || k AS url, 'u' || least(k - k % 10 + 9, top + 1) AS final_url, (lea
 MORE_SQL["c05_followed_redirects"] = MORE_SQL["c05_followed_redirects"].replace(")\n, n AS", "),\nn AS")
 
 
+#: A run for each order: its customer's site, a state by the order's, started on its day.
+_RUNS = """SELECT o_orderkey AS run_id, concat('https://customer', o_custkey, '.example.com/') AS start_url,
+       CASE WHEN o_orderkey % 7 = 3 THEN 'failed' WHEN o_orderstatus = 'F' THEN 'complete' WHEN o_orderstatus = 'P' THEN 'partial' ELSE 'running' END AS status,
+       CAST(o_orderdate AS TIMESTAMP) AS started_at, CAST(floor(o_totalprice) AS BIGINT) AS pages FROM {t}"""
+add("o01_all_runs", _RUNS, lambda i: W.runs_view(i, i.select("run_id").limit(0)).select("run_id", "start_url", "status", "pages"), "SELECT run_id, start_url, status, CASE WHEN status = 'running' THEN 0 ELSE pages END AS pages FROM i", "orders")
+add(
+    "f10_all_previous_runs",
+    _RUNS,
+    lambda i: W.previous_runs(i),
+    "SELECT run_id, max(CASE WHEN status <> 'failed' THEN run_id END) OVER (PARTITION BY start_url ORDER BY run_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS previous FROM i",
+    "orders",
+)
+add(
+    "f11_all_stale_runs",
+    _RUNS,
+    lambda i: i.select("run_id", W.stale(F.lit("1997-01-01 00:00:00").cast("timestamp"), 1800.0).alias("stale")),
+    "SELECT run_id, status = 'running' AND started_at < TIMESTAMP '1997-01-01 00:00:00' - INTERVAL 1800 SECOND AS stale FROM i",
+    "orders",
+)
+
+
 def snapshot_query(name: str, sql: str):
     def register(f):
         MORE[name] = lambda spark, sf_dir: f(Snapshot(spark, sf_dir))

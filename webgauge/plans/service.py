@@ -15,7 +15,7 @@ from webgauge.operators import enrich as E
 from webgauge.operators import summary as S
 from webgauge.operators import views as W
 from webgauge.plans.crawling import Crawl, Limits
-from webgauge.sources import crawl
+from webgauge.sources import crawl, exports
 from webgauge.sources.tables import Store, stored
 
 
@@ -126,6 +126,19 @@ def summary(store: Store, run_id: int) -> DataFrame:
     return S.summary(found, A.issues(found))
 
 
+def ai_block(store: Store, run_id: int) -> DataFrame:
+    """One row: calls, tokens and cost of a run, how many suggestions have which status, and how many were known before."""
+    of = lambda table: store.read(table).where(F.col("run_id") == run_id)
+    calls = of("ai_calls").agg(F.count("*").alias("calls"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("prompt_tokens", "completion_tokens")), F.round(F.coalesce(F.sum("usd"), F.lit(0.0)), 8).alias("cost_usd"))
+    states = of("ai_suggestions").agg(*(F.count_if(F.col("status") == x).alias(x) for x in ("ok", "repaired", "rejected", "skipped", "unavailable")), F.count_if("cached").alias("cached"))
+    return calls.crossJoin(F.broadcast(states))  # one row each
+
+
+def export_document(store: Store, run_id: int, path: str) -> None:
+    """All of a run as one JSON file: the run, its summary, its ai block, its pages worst first."""
+    exports.write_document(store.run(run_id), summary(store, run_id), ai_block(store, run_id), page_views(store, run_id), path)
+
+
 def compare(store: Store, a: int, b: int) -> D.Report:
     for run_id in (a, b):
         if store.run(run_id).isEmpty():

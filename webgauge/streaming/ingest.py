@@ -25,8 +25,19 @@ def live_counts(pages: DataFrame) -> DataFrame:
     return pages.groupBy("run_id").agg(F.count("*").alias("pages"), F.count("html").alias("auditable"))
 
 
-def first_sightings(pages: DataFrame, late: str = "1 hour") -> DataFrame:
-    """Each address of a run once, as long as repeats come within ``late`` of event time."""
+def state_on_disk(spark: SparkSession) -> None:
+    """Keyed state goes to RocksDB on the executors' disks, with its changes in the checkpoint: it may outgrow memory."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+
+
+def first_sightings(pages: DataFrame, late: str | None = None) -> DataFrame:
+    """Each address of a run once, whenever it comes again: the state keeps all addresses, as text, so nothing is mistaken for another.
+
+    With ``late``, only repeats within that much event time are known, and the state forgets what is older. For the exact form call ``state_on_disk`` first.
+    """
+    if late is None:
+        return pages.dropDuplicates(["run_id", "url"])
     return pages.withWatermark("fetched_at", late).dropDuplicatesWithinWatermark(["run_id", "url"])
 
 
