@@ -156,3 +156,42 @@ def test_settings():
     with pytest.raises(ValueError):
         Settings(max_depth=11)
     assert Settings(max_pages=50).caps(0, 0) == (50, 0) and Settings().caps(900, None) == (500, 5)
+
+
+BITS = (
+    '<p>|</p>|<P CLASS="x">|<a href="/b?c=1&amp;d=2">|<a href=\'x y\'>|</a>|<a href=q>|<a href=/q/>|<img src="a">|<img alt>|<img alt="" src=x/>|<br/>|<h1>|</h1>|<title>|</title>|<title>a &lt; b</title>|'
+    '<script>if (a < b) {"</p>"}</script>|<script>|</script>|<style>p{}</style>|<svg/>|<svg>|</svg>|<noscript>|</noscript>|<!-- c -->|<!-- a -- b -->|<!---->|<!-->|<!doctype html>|<!DOCTYPE>|<?php x ?>|'
+    '<![CDATA[x]]>|text |&amp; |&nbsp;|&copy|&#65;| < |<|>|<html lang="de">|<html lang>|<body>|</body>|<head>|<meta name="description" content="a &quot;b&quot;">|<meta property=og:title content=x>|'
+    '<meta name=robots content="no&copyx=1">|<link rel="canonical" href="/c">|<LINK REL=canonical HREF="/d"/>|<textarea>|</textarea>|<h1/>|é漢|<a\thref="/t"\n>|<a href = "x">|<a href="a"href="b">|'
+    '<a href="1" href="2">|</p x>|</>|<x-y z:w="1">|</script >|</SCRIPT>|<title/>|<template>|</template>|\x0b|<p\x0bq>|<scripts>'
+).split("|")
+
+
+def test_scanner_agrees_with_parser():
+    """Whatever the scanner takes has the same facts as from the parser; of regular documents it takes all."""
+    import random
+
+    from webgauge.functions import html as H
+
+    r, taken = random.Random(5), 0
+    told = lambda x: (x.meta, x.hrefs, x.canonicals, x.lang, x.titles, x.h1s, x.words, x.images, x.bare_images)
+    for _ in range(5000):
+        document = "".join(r.choice(BITS) for _ in range(r.randint(0, 14)))
+        found = H._scan(document)
+        if found is not None:
+            taken += 1
+            assert told(found) == told(H._parse(document)), document
+    assert taken > 1000
+    assert H._scan('<!DOCTYPE html><html lang="en"><head><title>T</title><style>p{}</style></head><body><!-- x --><p>a<br>b &amp; c<script>var t="</p>";</script></body></html>') is not None
+
+
+def test_short_way_of_references():
+    import random
+
+    from webgauge.functions.urls import Resolver, link_pair
+
+    r = random.Random(6)
+    for _ in range(20000):
+        raw = r.choice(["", "/"]) + "".join(r.choice("/abZ09._-~%@!$&'()*+,=;:?# \té漢") for _ in range(r.randint(0, 12)))
+        base = r.choice(["https://A.com/x/y?z", "http://b.org:8080", "https://[::1]/a", None, "bad", "https://u@h.com:443/", "http://x.com:bad/"])
+        assert Resolver(base)(raw) == link_pair(raw, base)

@@ -1,14 +1,20 @@
-"""Facts of an HTML document, from one pass of the standard library's parser in an Arrow UDF."""
+"""Facts of an HTML document, from one pass over its tags in an Arrow UDF.
+
+Regular markup is cut at its tags by one pattern, and attributes are read only of the few elements that give facts. Where a document isn't regular, the
+standard library's parser reads it from the start; both call the same handlers, so a document has the same facts either way.
+"""
 
 from __future__ import annotations
 
 import re
+from html import parser as html_parser
+from html import unescape
 from html.parser import HTMLParser
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webgauge.functions.urls import domain_of, host_of, link_pair, normalize, registrable_domain, suffix_rules
+from webgauge.functions.urls import Resolver, domain_of, host_of, link_pair, normalize, registrable_domain, suffix_rules
 
 FACTS = (
     "struct<title:string,title_key:string,meta_description:string,meta_key:string,canonical:string,canonical_key:string,robots_meta:string,"
@@ -46,6 +52,9 @@ class _Reader(HTMLParser):
         self.images = self.bare_images = self.hidden = 0
         self.in_body = False
 
+    def updatepos(self, i, j):
+        return j  # nobody asks for line numbers
+
     def handle_starttag(self, tag, attrs):
         if self.title_open:  # what looks like markup within a title is its text
             self.titles.append(self.get_starttag_text() or "")
@@ -107,24 +116,100 @@ class _Reader(HTMLParser):
             self.words.append(data)
 
 
+_NAME, _BLANK = r"[a-zA-Z][a-zA-Z0-9-]*", r"[ \t\n\r\f]"
+_VALUE = r"""(?:"[^"]*"|'[^']*'|[\w.-]+)"""
+#: A whole tag, comment without double dashes, or doctype in regular spelling.
+_TAG = re.compile(rf"<(?:(/?)({_NAME})((?:{_BLANK}+[a-zA-Z_:][\w:.-]*(?:={_VALUE})?)*){_BLANK}*(/?)>|!--(?!-?>)[^-]*(?:-[^-]+)*-->|![dD][oO][cC][tT][yY][pP][eE]{_BLANK}[^<>\"'\[\]-]*>)", re.ASCII)
+_ATTRIBUTE = re.compile(rf"([a-zA-Z_:][\w:.-]*)(?:=({_VALUE}))?", re.ASCII)
+_CLOSE = {tag: re.compile(rf"</{tag}{_BLANK}*>", re.IGNORECASE) for tag in ("script", "style", "title")}
+_OPEN_CLOSE = {tag: re.compile(rf"</{tag}", re.IGNORECASE) for tag in ("script", "style")}
+_WITH_FACTS = {"html", "meta", "link", "a", "img"}
+#: Elements whose content parsers don't take apart; left to the parser.
+_RAW = {"textarea", "xmp", "iframe", "noembed", "noframes", "plaintext"}
+_of_attribute = getattr(html_parser, "_unescape_attrvalue", unescape)
+
+
+def _attributes(text: str) -> list[tuple[str, str | None]]:
+    out = []
+    for m in _ATTRIBUTE.finditer(text):
+        value = m[2]
+        if value is not None and value[0] in "\"'":
+            value = value[1:-1]
+        out.append((m[1].lower(), _of_attribute(value) if value and "&" in value else value))
+    return out
+
+
+def _scan(html: str) -> _Reader | None:
+    """The reader after a regular document; None if the document isn't regular."""
+    r, at, find, match = _Reader(), 0, html.find, _TAG.match
+    data, start, end = r.handle_data, r.handle_starttag, r.handle_endtag
+    while True:
+        tag_at = find("<", at)
+        text = html[at:] if tag_at < 0 else html[at:tag_at]
+        if text:
+            data(unescape(text) if "&" in text else text)
+        if tag_at < 0:
+            return r
+        m = match(html, tag_at)
+        if m is None:
+            return None
+        at, name = m.end(), m[2]
+        if name is None:
+            continue
+        name = name.lower()
+        if m[1]:
+            if m[3] or m[4]:
+                return None
+            end(name)
+            continue
+        if name in _RAW:
+            return None
+        r.lasttag = name
+        attributes = _attributes(m[3]) if name in _WITH_FACTS and m[3] else []
+        if m[4]:
+            if name in _CLOSE:
+                return None
+            r.handle_startendtag(name, attributes)
+            continue
+        start(name, attributes)
+        if name == "title":
+            if not _CLOSE[name].match(html, find("<", at) if find("<", at) >= 0 else len(html)):
+                return None
+        elif name in _OPEN_CLOSE:
+            found = _OPEN_CLOSE[name].search(html, at)
+            if found is None or r.h1_open or not (close := _CLOSE[name].match(html, found.start())):
+                return None
+            at = close.end()
+            end(name)
+
+
+def _parse(html: str) -> _Reader:
+    """The reader after any document; of what the parser can't take, what came up to there."""
+    reader = _Reader()
+    try:
+        reader.feed(html)
+        reader.close()
+    except (AssertionError, ValueError):
+        pass
+    return reader
+
+
 def facts(html: str | None, base: str | None, rules: frozenset[str], url: str | None = None) -> dict | None:
-    """The facts of a document, whatever its markup; of what the parser can't take, those up to there.
+    """The facts of a document, whatever its markup.
 
     ``base``: the spelling it was read from, ``url``: the page's identity.
     """
     if html is None:
         return None
-    reader = _Reader()
-    try:
-        reader.feed(_CUT_TAG.sub("", html))
-        reader.close()
-    except (AssertionError, ValueError):
-        pass
+    whole = _CUT_TAG.sub("", html)
+    reader = _scan(whole) or _parse(whole)
     links: dict[str, dict] = {}
+    resolve = Resolver(base)
+    here = resolve.origin and (resolve.origin + "/", domain_of(host_of(resolve.origin), rules))
     for href in reader.hrefs:
-        pair = link_pair(href, base)
+        pair = resolve(href)
         if pair and pair[0] not in links:
-            links[pair[0]] = {"key": pair[0], "url": pair[1], "site": domain_of(host_of(pair[0]), rules)}
+            links[pair[0]] = {"key": pair[0], "url": pair[1], "site": here[1] if here and pair[0].startswith(here[0]) else domain_of(host_of(pair[0]), rules)}
     canonical_key = canonical = None
     if reader.canonicals:
         pair = link_pair(reader.canonicals[0], base)

@@ -48,6 +48,24 @@ def link_pair(raw: str | None, base: str | None = None) -> tuple[str, str] | Non
     return key, urlunsplit((scheme, place, at.path or "/", at.query, ""))
 
 
+#: A path from the root that is taken as it stands: no query, no dots or empty parts to resolve, nothing to trim.
+_PLAIN_PATH = re.compile(r"/(?:[\w%~@!$&'()*+,=-][\w.%~@!$&'()*+,=-]*/?)*")
+
+
+class Resolver:
+    """``link_pair`` for the references of one page; those that need no resolving are taken on a short way."""
+
+    def __init__(self, base: str | None):
+        self.base = base
+        root = link_pair("/", base)
+        self.origin = root and root[1][:-1]
+
+    def __call__(self, raw: str) -> tuple[str, str] | None:
+        if self.origin and _PLAIN_PATH.fullmatch(raw):
+            return self.origin + (raw.rstrip("/") or "/"), self.origin + raw
+        return link_pair(raw, self.base)
+
+
 def normalize(raw: str | None, base: str | None = None) -> str | None:
     pair = link_pair(raw, base)
     return pair and pair[0]

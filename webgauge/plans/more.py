@@ -240,6 +240,22 @@ add(
 )
 
 
+def raw_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from webgauge.functions.html import parse_pages
+
+    raw = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", c("url").alias("final_url"), "html")
+    cores = spark.sparkContext.defaultParallelism
+    parsed = parse_pages(raw if raw.rdd.getNumPartitions() >= cores else raw.repartition(cores))
+    return parsed.select("page_id", F.posexplode("facts.links").alias("pos", "l")).select("page_id", "pos", "l.key")
+
+
+MORE["p12_raw_page_links"] = raw_links
+MORE_SQL["p12_raw_page_links"] = r"""
+WITH h AS (SELECT page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS origin, regexp_extract_all(regexp_replace(html, '<[A-Za-z/!][^<>]*$', ''), '<a href="([^"]*)"', 1) AS l FROM pages),
+x AS (SELECT page_id, lower(origin) AS origin, unnest(l) AS href, generate_subscripts(l, 1) AS n FROM h),
+k AS (SELECT page_id, min(n) AS n, regexp_replace(origin || replace(replace(href, '&quot;', '"'), '&amp;', '&'), '/$', '') AS key FROM x WHERE href <> '' GROUP BY ALL)
+SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY n) - 1)::INT AS pos, key FROM k"""
+
 #: Rules of every kind, as the public list spells them.
 _RULES = ("com", "org", "uk", "co.uk", "*.ck", "!www.ck", "jp", "*.kawasaki.jp", "!city.kawasaki.jp", "kawasaki.jp", "example", "a.b.example")
 _SUFFIXED = """SELECT page_id AS id, concat('https://', lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)), CASE page_id % 12 WHEN 0 THEN '' WHEN 1 THEN '.co.uk' WHEN 2 THEN '.www.ck' WHEN 3 THEN '.shop.ck'

@@ -83,10 +83,15 @@ runs AS (
 """
 
 
-#: Facts and audit that this process has stored, by application and the files that they come from.
+#: Derived tables, facts and audit that this process has stored, by application and the files that they come from.
 _KEPT: dict[tuple, DataFrame] = {}
 
 
+def forget() -> None:
+    """The next query computes all of it anew; the stored tables lie in the shared folder until that is cleared."""
+    _KEPT.clear()
+
+
 class Snapshot:
     """The derived tables over one folder of Parquet tables; facts and audit are computed once for the same files."""
 
@@ -101,6 +106,9 @@ class Snapshot:
         self.sql = lambda query: spark.sql(f"WITH {DERIVED.replace('raw_pages', '{raw_pages}')} {query}", raw_pages=raw)
 
     def pages(self) -> DataFrame:
+        return self.kept("pages", self._pages)
+
+    def _pages(self) -> DataFrame:
         hop = F.transform(F.when(F.col("hops") > 0, F.sequence(F.lit(1), F.col("hops"))).otherwise(F.array().cast("array<int>")), lambda i: F.struct(F.concat("url", F.lit("?hop="), i.cast("string")).alias("url"), F.lit(302).alias("status")))
         return self.sql("SELECT * FROM p").select(
             F.col("run_id").cast("long").alias("run_id"),
@@ -117,10 +125,10 @@ class Snapshot:
         )
 
     def links(self) -> DataFrame:
-        return self.sql("SELECT CAST(run_id AS BIGINT) AS run_id, from_url, to_url FROM e")
+        return self.kept("links", lambda: self.sql("SELECT CAST(run_id AS BIGINT) AS run_id, from_url, to_url FROM e"))
 
     def sitemap(self) -> DataFrame:
-        return self.sql("SELECT CAST(run_id AS BIGINT) AS run_id, url FROM s")
+        return self.kept("sitemap", lambda: self.sql("SELECT CAST(run_id AS BIGINT) AS run_id, url FROM s"))
 
     def kept(self, name: str, build) -> DataFrame:
         key = (name, *self.files)
