@@ -130,21 +130,21 @@ def test_diff_report(spark, tmp_path):
     pairs = lambda df: [tuple(x) for x in df.collect()]
     assert [pairs(x) for x in (r.added, r.removed, r.fixed, r.introduced)] == [[("https://e/3",)], [("https://e/1",)], [("https://e/2", "y")], [("https://e/2", "w")]]
     assert r.counts == {"added": 1, "removed": 1, "changed": 1, "fixed": 1, "introduced": 1}
-    assert r.headline() == "average score 85 -> 92.5 (+7.5)   pages 2 -> 2"
+    assert r.headline() == "mean score 85, now 92.5 (+7.5); 2 pages, now 2"
     lines = lambda df: [x.line for x in df.collect()]
     assert lines(r.table()) == [
-        "run 1 -> run 2", r.headline(), "pages added (1):", "  + https://e/3", "pages removed (1):", "  - https://e/1", "score changes (1):", "  https://e/2   80 ->  85  (+5)",
-        "issues fixed (1):", "  https://e/2  y", "issues introduced (1):", "  https://e/2  w",
+        "run 2 against run 1", r.headline(), "new pages (1):", "  + https://e/3", "pages gone (1):", "  - https://e/1", "other scores (1):", "  https://e/2   80 ->  85  (+5)",
+        "issues mended (1):", "  https://e/2  y", "new issues (1):", "  https://e/2  w",
     ]
-    assert lines(r.markdown())[:8] == ["# Run 1 -> run 2", "", f"**{r.headline()}**", "", "## Pages added", "- https://e/3", "", "## Pages removed"]
-    assert lines(r.markdown())[-8:] == ["| https://e/2 | 80 | 85 | +5 |", "", "## Issues fixed", "- https://e/2: y", "", "## Issues introduced", "- https://e/2: w", ""]
+    assert lines(r.markdown())[:8] == ["# Run 2 against run 1", "", f"**{r.headline()}**", "", "## New pages", "- https://e/3", "", "## Pages gone"]
+    assert lines(r.markdown())[-8:] == ["| https://e/2 | 80 | 85 | +5 |", "", "## Issues mended", "- https://e/2: y", "", "## New issues", "- https://e/2: w", ""]
     told = [json.loads(x) for x in lines(r.as_json())]
     assert told[0]["pages"] == [2, 2] and told[3] == {"part": "changed", "url": "https://e/2", "before": 80, "after": 85, "delta": 5} and len(told) == 6
-    assert r.line("e").endswith("Issues: 1 fixed, 1 introduced.")
+    assert r.line("e").endswith("1 issues mended, 1 new.")
     same = D.Report(1, 1, a, a)
-    assert same.is_empty and lines(same.table())[-1] == "no changes" and lines(same.markdown())[-1] == "No changes."
+    assert same.is_empty and lines(same.table())[-1] == "nothing differs" and lines(same.markdown())[-1] == "Nothing differs."
     none_added = lines(D.Report(1, 2, a, a.limit(1)).markdown())
-    assert none_added[none_added.index("## Pages added") + 1] == "_none_"
+    assert none_added[none_added.index("## New pages") + 1] == "None."
     paths = exports.write_report(r, str(tmp_path))
     assert [p.rpartition("/")[2] for p in paths] == ["run-2.json", "run-2.md"]
     assert [x.value for x in spark.read.text(paths[1]).collect()] == lines(r.markdown())

@@ -76,7 +76,7 @@ class Report:
 
     def headline(self) -> str:
         before, after = self.averages
-        return f"average score {before:g} -> {after:g} ({after - before:+g})   pages {self.pages[0]} -> {self.pages[1]}"
+        return f"mean score {before:g}, now {after:g} ({after - before:+g}); {self.pages[0]} pages, now {self.pages[1]}"
 
     def _lines(self, headings: list[tuple[int, int, str]], texts: dict[str, Column]) -> DataFrame:
         """``line`` in order of part (-1 is the top) and place (rows have 0, headings come before or after them)."""
@@ -90,10 +90,10 @@ class Report:
 
     def table(self) -> DataFrame:
         """The difference for a terminal; parts without rows are left out."""
-        titles = ("pages added", "pages removed", "score changes", "issues fixed", "issues introduced")
-        top = [(-1, -2, "run {} -> run {}".format(*self.runs)), (-1, -1, self.headline())]
+        titles = ("new pages", "pages gone", "other scores", "issues mended", "new issues")
+        top = [(-1, -2, "run {1} against run {0}".format(*self.runs)), (-1, -1, self.headline())]
         if self.is_empty:
-            top.append((-1, 0, "no changes"))
+            top.append((-1, 0, "nothing differs"))
         heads = [(n, -1, f"{title} ({self.counts[part]}):") for n, (part, title) in enumerate(zip(PARTS, titles)) if self.counts[part]]
         width = self.changed.agg(F.max(F.length("url"))).first()[0] or 1
         issue = F.format_string("  %s  %s", "url", "rule_id")
@@ -102,14 +102,14 @@ class Report:
 
     def markdown(self) -> DataFrame:
         """The difference as a Markdown document; a part without rows says so."""
-        titles = ("Pages added", "Pages removed", "Score changes", "Issues fixed", "Issues introduced")
-        top = [(-1, n, text) for n, text in enumerate(["# Run {} -> run {}".format(*self.runs), "", f"**{self.headline()}**", ""])]
+        titles = ("New pages", "Pages gone", "Other scores", "Issues mended", "New issues")
+        top = [(-1, n, text) for n, text in enumerate(["# Run {1} against run {0}".format(*self.runs), "", f"**{self.headline()}**", ""])]
         heads = []
         for n, (part, title) in enumerate(zip(PARTS, titles)):
-            inside = ["| URL | before | after | delta |", "|---|---|---|---|"] if part == "changed" else [] if self.counts[part] else ["_none_"]
+            inside = ["| URL | before | after | delta |", "|---|---|---|---|"] if part == "changed" else [] if self.counts[part] else ["None."]
             heads += [(n, place - 9, text) for place, text in enumerate([f"## {title}", *inside])] + [(n, 1, "")]
         if self.is_empty:
-            heads = [(0, -9, "No changes.")]
+            heads = [(0, -9, "Nothing differs.")]
         issue = F.format_string("- %s: %s", "url", "rule_id")
         change = F.format_string("| %s | %d | %d | %+d |", "url", "before", "after", "delta")
         return self._lines(top + heads, {"added": F.concat(F.lit("- "), "url"), "removed": F.concat(F.lit("- "), "url"), "changed": change, "fixed": issue, "introduced": issue})
@@ -124,6 +124,6 @@ class Report:
         before, after = self.averages
         n = self.counts
         return (
-            f"{site} run {self.runs[0]} -> {self.runs[1]}. Average score {before:g} -> {after:g} ({after - before:+g}). "
-            f"Pages {self.pages[0]} -> {self.pages[1]} (+{n['added']} / -{n['removed']}). Issues: {n['fixed']} fixed, {n['introduced']} introduced."
+            f"{site}, run {self.runs[1]} against run {self.runs[0]}: mean score {before:g}, now {after:g} ({after - before:+g}); "
+            f"{n['added']} pages new and {n['removed']} gone of {self.pages[0]}; {n['fixed']} issues mended, {n['introduced']} new."
         )

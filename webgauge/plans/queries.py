@@ -19,6 +19,8 @@ from webgauge.operators.rules import RULES
 from webgauge.plans.more import MORE, MORE_SQL
 from webgauge.plans.oracles import ORACLES
 from webgauge.plans.snapshot import Snapshot
+from webgauge.plans.stored_queries import QUERIES as STORED
+from webgauge.plans.stored_queries import SQL as STORED_SQL
 from webgauge.sources.tables import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -134,7 +136,7 @@ query("c01_breadth_first")(
 )
 
 
-QUERIES.update(MORE)
+QUERIES.update(MORE | STORED)
 
 
 def queries() -> dict[str, Query]:
@@ -142,4 +144,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for k, v in (ORACLES | MORE_SQL).items() if k in QUERIES}
+    return {k: v for k, v in (ORACLES | MORE_SQL | STORED_SQL).items() if k in QUERIES}

@@ -97,7 +97,7 @@ class Snapshot:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
-        raw = spark.read.parquet(f"{sf_dir}/pages.parquet")
+        self.raw = raw = spark.read.parquet(f"{sf_dir}/pages.parquet")
         files = raw.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct().collect()  # a row for each file
         self.files = (spark.sparkContext.applicationId, *sorted(map(tuple, files)))
         cores = spark.sparkContext.defaultParallelism
