@@ -87,8 +87,9 @@ def truncation(text: Column, source: Column) -> Column:
     quotes = F.regexp_count(s, F.lit('"')) % 2 != 0
     brackets = F.regexp_count(s, F.lit(r"\(")) != F.regexp_count(s, F.lit(r"\)"))
     last = F.element_at(F.when(F.size(words(s)) > 0, words(s)), -1)
-    known = words(source)
-    cut = ~F.array_contains(known, last) & F.exists(known, lambda w: w.startswith(last) & (w != last))
+    # arrays of one element bind the last word and the source's words, which would be found anew for each word otherwise
+    half = lambda known, x: ~F.array_contains(known, x) & F.exists(known, lambda w: w.startswith(x) & (w != x))
+    cut = F.exists(F.array(last), lambda x: F.exists(F.array(words(source)), lambda known: half(known, x)))
     quoted = lambda x: F.concat(F.lit("'"), x, F.lit("'"))
     return (
         F.when(s == "", None)

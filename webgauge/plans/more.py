@@ -146,7 +146,7 @@ add(
 _CODES = lambda v: F.array_join(F.transform(v, lambda x: F.concat(x["code"], F.lit(": "), x["detail"])), "; ")
 add(
     "v02_diagnosis_checks",
-    "SELECT doc_id AS id, CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN repeat('x', 301) ELSE 'fine' END AS u FROM {t}",
+    "SELECT doc_id AS id, CASE WHEN doc_id % 4 = 0 THEN '' ELSE coalesce(text, '') END AS u FROM {t}",
     lambda i: i.select("id", _CODES(V.diagnosis(c("u"))).alias("found")),
     "SELECT id, CASE WHEN u = '' THEN 'diagnosis_empty: the diagnosis is blank' WHEN length(u) > 300 THEN 'diagnosis_too_long: ' || length(u) || ' long, at most 300 allowed' ELSE '' END AS found FROM i",
     "documents",
@@ -165,18 +165,18 @@ add(
        lambda t: NOT contains(replace(replace(lower(src), ',', ''), ' ', ''), replace(replace(lower(t), ',', ''), ' ', ''))), '|') AS found FROM i""",
     "documents",
 )
-_CLAIM = lambda column, claim: f"regexp_matches(lower({column}), $$(^|[^\\w-]){claim}($|[^\\w-])$$)"
+_CLAIM = lambda column, claim: f"regexp_matches(lower({column}), $$(^|[^\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Nl}}\\p{{Pc}}-]){claim}($|[^\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Nl}}\\p{{Pc}}-])$$)"
 _QUOTED = {x: x.replace(".", "\\.").replace("#", "\\#").replace("-", "\\-") for x in V.CLAIMS}
 add(
     "v05_invented_claims",
-    "SELECT doc_id AS id, CASE doc_id % 5 WHEN 0 THEN 'The BEST award-winning pans' WHEN 1 THEN 'bestseller with free shipping' WHEN 2 THEN 'our #1 pan, guaranteed' WHEN 3 THEN 'world''s fastest, not-leading' ELSE 'pans' END AS u, CASE WHEN doc_id % 2 = 0 THEN 'best pans with free shipping' ELSE 'leading' END AS src FROM {t}",
+    "SELECT doc_id AS id, concat(text, CASE doc_id % 5 WHEN 0 THEN ' The BEST award-winning pans' WHEN 1 THEN ' bestseller with free shipping' WHEN 2 THEN ' our #1 pan, guaranteed' WHEN 3 THEN ' world''s fastest, not-leading' ELSE ' pans' END) AS u, concat(text, CASE WHEN doc_id % 2 = 0 THEN ' best pans with free shipping' ELSE ' leading' END) AS src FROM {t}",
     lambda i: i.select("id", F.array_join(V.invented_claims(c("u"), c("src")), "|").alias("found")),
     "SELECT id, concat_ws('|', " + ", ".join("CASE WHEN {} AND NOT {} THEN '{}' END".format(_CLAIM("u", q), _CLAIM("src", q), k.replace("'", "''")) for k, q in _QUOTED.items()) + ") AS found FROM i",
     "documents",
 )
 add(
     "v06_truncations",
-    "SELECT doc_id AS id, CASE doc_id % 7 WHEN 0 THEN 'ends with a dash -' WHEN 1 THEN 'an \"open quote' WHEN 2 THEN 'pans for the ' WHEN 3 THEN 'we underst' WHEN 4 THEN 'fine pans' WHEN 5 THEN '' ELSE 'so on...' END AS u, 'we understand pans' AS src FROM {t}",
+    "SELECT doc_id AS id, CASE WHEN doc_id % 7 = 5 THEN '' ELSE concat(text, CASE doc_id % 7 WHEN 0 THEN ' ends with a dash -' WHEN 1 THEN ' an \"open quote' WHEN 2 THEN ' pans for the ' WHEN 3 THEN ' we underst' WHEN 4 THEN ' fine pans' ELSE ' so on...' END) END AS u, concat(text, ' we understand pans') AS src FROM {t}",
     lambda i: i.select("id", V.truncation(c("u"), c("src")).alias("reason")),
     f"""SELECT id, CASE WHEN s = '' THEN NULL WHEN {' OR '.join(f"ends_with(s, '{e}')" for e in V.DANGLING_ENDINGS)} THEN 'stops at ''' || right(s, 1) || ''''
        WHEN len(regexp_extract_all(s, '"')) % 2 <> 0 OR len(regexp_extract_all(s, '\\(')) <> len(regexp_extract_all(s, '\\)')) THEN 'a quote or bracket stays open'
@@ -187,10 +187,11 @@ FROM (SELECT id, rtrim(u) AS s, regexp_extract_all(lower(u), '\\w+')[-1] AS w, r
 )
 add(
     "f20_blocked_addresses",
-    "SELECT doc_id AS id, concat(doc_id % 256, '.1.1.1') AS u FROM {t}",
+    "SELECT doc_id AS id, concat((doc_id * 7919) % 256, '.', (doc_id * 31) % 256, '.', doc_id % 256, '.', CASE WHEN doc_id % 5 = 0 THEN doc_id ELSE 1 END) AS u FROM {t}",
     lambda i: i.select("id", policy.network_kind_column(c("u")).alias("reason")),
-    """SELECT id, CASE WHEN a = 127 THEN 'loopback' WHEN a IN (0, 10) OR a >= 240 THEN 'private' WHEN a BETWEEN 224 AND 239 THEN 'reserved' END AS reason
-FROM (SELECT *, split_part(u, '.', 1)::INT AS a FROM i)""",
+    "SELECT id, CASE WHEN len(list_filter(p, lambda x: x > 255)) > 0 THEN 'malformed' "
+    + " ".join(f"WHEN n BETWEEN {first} AND {last} THEN " + (f"'{kind}'" if kind else "NULL") for first, last, kind in policy.ranges(4))
+    + " END AS reason FROM (SELECT id, p, p[1] * 16777216 + p[2] * 65536 + p[3] * 256 + p[4] AS n FROM (SELECT id, [x::BIGINT FOR x IN string_split(u, '.')] AS p FROM i))",
     "documents",
 )
 add(
