@@ -330,10 +330,6 @@ def test_warc_in_small_splits(spark):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
 
-def test_no_operator_reads_beyond_its_columns(docs):
-    assert json.loads(docs.select("doc_id").schema.json())["fields"][0]["type"] == "long"
-
-
 def test_toxicity_fitted_on_repeated_and_null_rows(spark):
     """A model fitted on rows that repeat ids, in any order of partitions, is the same, and scores equal texts alike."""
     r = random.Random(6)

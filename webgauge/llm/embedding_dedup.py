@@ -153,7 +153,7 @@ def balls(vectors: DataFrame, n: int, cosine: float) -> DataFrame:
         leaders = vectors.join(of.select("no"), "no", "left_anti").join(members, "no", "left").withColumn("members", F.coalesce("members", F.lit(1)))
         blocks = in_blocks(leaders, [BALL_RUN + round_]).select("no", "block")
         near = leaders.join(blocks, "no").select("block", "no", F.col("label").cast("long").alias("label"), "members", "vec").groupBy("block")
-        joined = written(near.applyInArrow(in_group(lead_table, cosine=cosine), "ball long, next long, next_vec array<double>"), "joined")
+        joined = written(near.applyInArrow(in_group(lead_table, cosine=cosine), f"ball long, next long, next_vec {dict(vectors.dtypes)['vec']}"), "joined")
         if joined.isEmpty():
             break
         # the leaders that were taken in are near enough; their members have to show it
@@ -239,7 +239,8 @@ def classes(rows: DataFrame) -> DataFrame:
     """no, first_id, size, label, vec: the different vectors of each label that can link (written)."""
     ok = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & valid(F.col("embedding"))
     groups = rows.where(ok).groupBy("label", F.col("embedding").alias("vec")).agg(F.min("vec_id").alias("first_id"), F.count("*").alias("size"))
-    return written(groups.select(F.monotonically_increasing_id().alias("no"), "first_id", "size", "label", F.col("vec").cast("array<double>").alias("vec"), F.col("vec").alias("embedding")), "classes")
+    narrow = "array<float>" if dict(rows.dtypes)["embedding"] == "array<float>" else "array<double>"  # floats travel as floats, and are doubles where they are compared
+    return written(groups.select(F.monotonically_increasing_id().alias("no"), "first_id", "size", "label", F.col("vec").cast(narrow).alias("vec"), F.col("vec").alias("embedding")), "classes")
 
 
 def valid(vec: Column) -> Column:
