@@ -40,7 +40,7 @@ def test_two_runs(spark, tmp_path, capsys):
     assert again.cached == 1 and again.cost_usd == 0
     capsys.readouterr()
     assert main([store.root, "runs"]) == 0 and "https://good.com/" in capsys.readouterr().out
-    assert main([store.root, "diff", "1", "2"]) == 0 and "pages removed (1):" in capsys.readouterr().out
+    assert main([store.root, "diff", "1", "2"]) == 0 and "pages gone (1):" in capsys.readouterr().out
     assert main([store.root, "report", "1"]) == 0 and "first of its site" in capsys.readouterr().out
     assert main([store.root, "pages", "2", "--severity", "critical"]) == 0 and u[1] in capsys.readouterr().out
     assert main([store.root, "summary", "2"]) == 0 and '"pages_audited":2' in capsys.readouterr().out
