@@ -5,12 +5,12 @@ copies is its source's target over its size. The whole part is certain. For the
 draws u from a hash of its id and ranks by the Pareto score (u / (1 - u)) / (p / (1 - p)); the lowest scores
 get one more copy until the words still missing are reached. Ranks are found without sorting a source in one
 task: scores fall into bins, the words of the bins are summed per source, and only the bin in which the sum
-crosses the target is ordered row by row.
+crosses the target is ordered row by row, by ranges over all tasks: it is large if many rows share an id.
 
 Defined results: null and empty texts have size 0 and are taken 0 words. The null source is a source of its
 own, ordered last. Sources with no words at all have target 0. Rows that repeat an id and text are documents
-of their own with equal scores, taken or left together up to the crossing point, where their order is arbitrary but
-their number is not. Columns besides doc_id, source and text are ignored; a null doc_id draws as the text 'null'.
+of their own with equal scores, taken or left together up to the crossing point, where of rows that share an id the shorter
+come first and the number of like ones is what counts. Columns besides doc_id, source and text are ignored; a null doc_id draws as the text 'null'.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from webgauge.llm.shared import BROADCAST_ROWS, written
+from webgauge.operators.scan import running
 
 WEIGHTS = (5, 2, 1)
 MAX_COPIES = 3
@@ -88,10 +89,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_COP
     clear = d.where(~F.coalesce(crossing, F.lit(False))).select(
         *columns, F.when(F.col("_score").isNotNull() & (F.col("_before") + F.col("_in_bin") <= F.col("_need")), 1).otherwise(0).alias("_more")
     )
-    edge = Window.partitionBy("source", "_bin").orderBy("_score", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    reached = F.col("_before") + F.coalesce(F.sum("size").over(edge), F.lit(0))
+    # rows that are alike are told apart by their place in the written table, so that a range of the order can end between them
+    edge = d.where(crossing).withColumn("_row_no", F.monotonically_increasing_id())
+    edge = running(edge, ["source"], ["_score", "doc_id", "size", "_row_no"], {"_upto": F.col("size")}, written)
+    reached = F.col("_before") + F.col("_upto") - F.col("size")
     # the document at the crossing is taken if that ends nearer to the target
-    ordered = d.where(crossing).withColumn("_reached", reached).select(
+    ordered = edge.withColumn("_reached", reached).select(
         *columns, F.when(F.col("_reached") + F.col("size") / 2.0 <= F.col("_need"), 1).otherwise(0).alias("_more")
     )
     out = clear.unionByName(ordered)
