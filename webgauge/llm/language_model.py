@@ -546,7 +546,9 @@ def score(docs: DataFrame, held_out, burn_in: int = BURN_IN, sweeps: int = SWEEP
     emptied(spark, *(p[(burn_in + sweeps) % 2] for p in places.values()))
     out = []
     for k in range(ROUNDS):
-        rows = d.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text").where(F.col("row") % ROUNDS == k)
+        # by content, so that a document is in one round only even if its input is worked out anew in another order
+        in_round = F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS)) == k
+        rows = d.where(in_round).select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text")
         asked = rows.mapInArrow(partial(ask_batches, hot=model.hot, buckets=buckets), _PACKED_SQL)
         met = at_bucket(asked.unionByName(step.where(F.col("kind") == CELLS)).unionByName(parents))
         answers = at_bucket(met.mapInArrow(partial(answer_batches, model=now, buckets=buckets), _PACKED_SQL))
