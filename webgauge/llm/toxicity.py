@@ -29,7 +29,7 @@ SAMPLE, BITS = 12_000, 20
 #: Bytes of the word beginnings, and the shares (one in so many words) that are features of their own.
 BEGINNINGS, SHARES = (4, 6), (256, 128, 64, 32, 16)
 ROUNDS, RATE, DECAY, LEAST_DOCS, LEAST_Z = 300, 0.15, 1e-4, 4, 5.0
-#: Probability of any toxicity from which on a document is called toxic.
+#: Probability of a grade or a higher one from which on a document is said to have it; grade 1 is toxic.
 CUT = 0.4
 INSIDE = np.zeros(256, bool)
 INSIDE[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
@@ -132,7 +132,7 @@ def score_batches(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.Recor
                     part.column(0),
                     pa.array(words, pa.int64()),
                     pa.array(above.sum(1)),
-                    pa.array((above >= 0.5).sum(1), pa.int32()),
+                    pa.array((above >= CUT).sum(1), pa.int32()),
                     pa.array(first),
                     pa.array(first >= CUT),
                 ],
