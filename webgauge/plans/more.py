@@ -38,6 +38,9 @@ def add(name: str, inputs: str, build: Callable[[DataFrame], DataFrame], sql: st
 
 _PATH = "regexp_extract(u, '^https?://[^/?#]+([^?#]*)', 1)"
 _HOST = "regexp_extract(u, '^https?://([^/?#:]+)', 1)"
+#: Parts of each page's address, of which headers and hosts are made.
+_LABEL = "regexp_extract(url, '^https?://([^./]+)', 1)"
+_STEPS_OF = "replace(regexp_extract(url, '^https?://[^/]+([^?#]*)', 1), '/', ' , ')"
 _TITLE = "regexp_extract(html, '<title>([^<]*)</title>', 1)"
 
 add(
@@ -73,19 +76,19 @@ add(
 )
 add(
     "x16_content_types",
-    "SELECT page_id AS id, CASE page_id % 5 WHEN 0 THEN 'Text/HTML; charset=UTF-8' WHEN 1 THEN ' application/xhtml+xml ' WHEN 2 THEN '; x' WHEN 3 THEN 'text/plain;charset=latin-1' END AS u FROM {t}",
+    f"SELECT page_id AS id, CASE page_id % 5 WHEN 0 THEN concat('Text/HTML; charset=', {_LABEL}, '-', page_id) WHEN 1 THEN ' application/xhtml+xml ' WHEN 2 THEN concat('; ', {_LABEL}) WHEN 3 THEN concat({_LABEL}, '/X-', page_id, ';charset=latin-', length(html)) END AS u FROM {{t}}",
     lambda i: i.select("id", text.content_type(c("u")).alias("content_type"), text.charset(c("u")).alias("charset"), (c("u").isNull() | F.coalesce(text.content_type(c("u")), F.lit("")).isin("text/html", "application/xhtml+xml")).alias("is_page")),
     "SELECT id, nullif(lower(trim(split_part(u, ';', 1))), '') AS content_type, coalesce(nullif(regexp_extract(u, '(?i)charset=([^;\\s]+)', 1), ''), 'utf-8') AS charset, u IS NULL OR lower(trim(split_part(u, ';', 1))) IN ('text/html', 'application/xhtml+xml') AS is_page FROM i",
 )
 add(
     "x18_retry_after",
-    "SELECT page_id AS id, CASE page_id % 4 WHEN 0 THEN '120' WHEN 1 THEN '1.5' WHEN 2 THEN 'Wed, 21 Oct 2015 07:28:00 GMT' END AS u FROM {t}",
+    "SELECT page_id AS id, CASE page_id % 4 WHEN 0 THEN CAST(page_id AS VARCHAR(20)) WHEN 1 THEN CAST(length(html) / CAST(8 AS DOUBLE) AS VARCHAR(40)) WHEN 2 THEN concat('Wed, 21 Oct 2015 07:28:', page_id % 60, ' GMT') WHEN 3 THEN url END AS u FROM {t}",
     lambda i: i.select("id", text.retry_after(c("u")).alias("seconds")),
     "SELECT id, try_cast(u AS DOUBLE) AS seconds FROM i",
 )
 add(
     "x19_robots_directives",
-    "SELECT page_id AS id, CASE page_id % 4 WHEN 0 THEN 'NoIndex, follow' WHEN 1 THEN ' none ,, nofollow' WHEN 2 THEN '' END AS u FROM {t}",
+    f"SELECT page_id AS id, CASE page_id % 4 WHEN 0 THEN concat({_STEPS_OF}, ',NoIndex, follow') WHEN 1 THEN concat(' none ,, nofollow', {_STEPS_OF}) WHEN 2 THEN {_STEPS_OF} END AS u FROM {{t}}",
     lambda i: i.select("id", F.array_join(text.directives(c("u")), "|").alias("directives"), F.arrays_overlap(text.directives(c("u")), F.array(F.lit("noindex"), F.lit("none"))).alias("noindex")),
     "SELECT id, array_to_string(d, '|') AS directives, list_has_any(d, ['noindex', 'none']) AS noindex FROM (SELECT id, list_filter(list_transform(string_split(coalesce(u, ''), ','), lambda z: lower(trim(z))), lambda z: z <> '') AS d FROM i)",
 )
@@ -118,7 +121,7 @@ MORE_SQL["x22_prompt_texts"] = (
 )
 add(
     "x33_crawl_delays",
-    "SELECT page_id AS id, CASE WHEN page_id % 4 <> 0 THEN (page_id % 7) / CAST(4 AS DOUBLE) END AS u FROM {t}",
+    "SELECT page_id AS id, CASE WHEN page_id % 4 <> 0 THEN length(html) / CAST(4096 AS DOUBLE) END AS u FROM {t}",
     lambda i: i.select("id", robots.effective_delay(0.5, c("u")).alias("delay")),
     "SELECT id, greatest(0.5::DOUBLE, coalesce(u, 0.0::DOUBLE)) AS delay FROM i",
 )
@@ -185,9 +188,11 @@ add(
 FROM (SELECT id, rtrim(u) AS s, regexp_extract_all(lower(u), '\\w+')[-1] AS w, regexp_extract_all(lower(src), '\\w+') AS k FROM i)""",
     "documents",
 )
+#: Four bytes of a number spread over all addresses.
+_OCTETS = [f"CAST(floor(((doc_id % 1000003) * 2654435761 % 4294967296) / {256**k}) AS BIGINT) % 256" for k in (3, 2, 1, 0)]
 add(
     "f20_blocked_addresses",
-    "SELECT doc_id AS id, concat((doc_id * 7919) % 256, '.', (doc_id * 31) % 256, '.', doc_id % 256, '.', CASE WHEN doc_id % 5 = 0 THEN doc_id ELSE 1 END) AS u FROM {t}",
+    f"SELECT doc_id AS id, CASE WHEN doc_id % 2 = 0 THEN concat((doc_id * 7919) % 256, '.', (doc_id * 31) % 256, '.', doc_id % 256, '.', CASE WHEN doc_id % 5 = 0 THEN doc_id ELSE 1 END) ELSE concat({', \'.\', '.join(_OCTETS)}) END AS u FROM {{t}}",
     lambda i: i.select("id", policy.network_kind_column(c("u")).alias("reason")),
     "SELECT id, CASE WHEN len(list_filter(p, lambda x: x > 255)) > 0 THEN 'malformed' "
     + " ".join(f"WHEN n BETWEEN {first} AND {last} THEN " + (f"'{kind}'" if kind else "NULL") for first, last, kind in policy.ranges(4))
@@ -196,7 +201,7 @@ add(
 )
 add(
     "f21_refused_hosts",
-    "SELECT page_id AS id, CASE page_id % 5 WHEN 0 THEN 'http://printer.local/x' WHEN 1 THEN 'http://intranet:8080/' WHEN 2 THEN 'nonsense' ELSE url END AS u FROM {t}",
+    f"SELECT page_id AS id, CASE page_id % 5 WHEN 0 THEN concat('http://', {_LABEL}, '.local/x') WHEN 1 THEN concat('http://', {_LABEL}, ':8080/') WHEN 2 THEN {_LABEL} ELSE url END AS u FROM {{t}}",
     lambda i: i.select("id", policy.refusal_column(c("u")).alias("reason"), policy.refusal_column(c("u"), ["Example.com"]).alias("reason_if_limited")),
     f"""SELECT id, r AS reason, coalesce(r, CASE WHEN regexp_extract(h, '([^.]+\\.[^.]+)$', 1) <> 'example.com' THEN 'other_site' END) AS reason_if_limited
 FROM (SELECT *, CASE WHEN h = '' THEN 'no_host' WHEN ends_with(h, '.local') THEN 'local_name' WHEN NOT contains(h, '.') THEN 'bare_name' END AS r FROM (SELECT *, {_HOST} AS h FROM i))""",

@@ -5,9 +5,8 @@ from __future__ import annotations
 from webgauge.operators.rules import RULES
 from webgauge.plans.snapshot import DERIVED, RUNS
 
-FACTS = r"""
-raw_pages AS (SELECT page_id, url, html FROM pages),
-""" + DERIVED + r""",
+RAW = "raw_pages AS (SELECT page_id, url, html FROM pages),"
+FACTS = RAW + DERIVED + r""",
 c0 AS (SELECT *, regexp_replace(html, '<[A-Za-z/!][^<>]*$', '') AS t,
               regexp_extract(final_url, '^(https?://[^/?#]+)', 1) AS origin FROM p WHERE html IS NOT NULL),
 c1 AS (
@@ -146,10 +145,10 @@ ORACLES = {
     "f07_pages_with_rule": over(ISSUES, "SELECT run_id, url, score FROM sc WHERE list_contains(rules, 'thin_content')"),
     "o06_second_page": over(ISSUES, f", {_VIEW} SELECT url, score FROM v WHERE run_id = 1 ORDER BY {_SORTS['score_asc']} LIMIT 20 OFFSET 20"),
     "s19_export_rows": over(ISSUES, f"{_SUGGEST}, {_VIEW} SELECT v.url, v.final_url, v.status::INT AS status, 0 AS depth, score, critical, warning, notice, coalesce(array_to_string(rules, ';'), '') AS issues, coalesce(sg.status, '') AS ai_status, CASE WHEN sg.seq IS NULL THEN '' ELSE '''=old title ' || sg.seq END AS original_title, CASE WHEN sg.seq IS NULL THEN '' ELSE 'Title ' || sg.seq END AS ai_title, '' AS original_meta, CASE WHEN sg.seq IS NULL THEN '' ELSE '''-meta ' || sg.seq END AS ai_meta, '' AS ai_reason FROM v LEFT JOIN sg ON sg.run_id = v.run_id AND sg.url = v.url"),
-    "o01_runs": over(RUNS, "SELECT run_id::BIGINT AS run_id, start_url, status, pages::BIGINT AS pages FROM runs"),
-    "j09_live_page_counts": over(f"{RUNS}, {FACTS.strip()}", "SELECT run_id::BIGINT AS run_id, status, CASE WHEN status = 'running' THEN (SELECT count(*) FROM p WHERE p.run_id + 5 = runs.run_id) ELSE pages END::BIGINT AS pages FROM runs"),
-    "f10_previous_runs": over(RUNS, "SELECT run_id::BIGINT AS run_id, (SELECT max(q.run_id) FROM runs q WHERE q.start_url = runs.start_url AND q.run_id < runs.run_id AND q.status <> 'failed')::BIGINT AS previous FROM runs"),
-    "f11_stale_runs": over(RUNS, "SELECT run_id::BIGINT AS run_id, status = 'running' AND started_at < TIMESTAMP '2024-03-06 10:00:00' - INTERVAL 1800 SECOND AS stale FROM runs"),
+    "o01_runs": over(RAW + RUNS, "SELECT run_id::BIGINT AS run_id, start_url, status, pages::BIGINT AS pages FROM runs"),
+    "j09_live_page_counts": over(f"{FACTS.rstrip()}, {RUNS}", "SELECT run_id::BIGINT AS run_id, status, CASE WHEN status = 'running' THEN (SELECT count(*) FROM p WHERE p.run_id + 5 = runs.run_id) ELSE pages END::BIGINT AS pages FROM runs"),
+    "f10_previous_runs": over(RAW + RUNS, "SELECT run_id::BIGINT AS run_id, max(CASE WHEN status <> 'failed' THEN run_id END) OVER (PARTITION BY start_url ORDER BY run_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)::BIGINT AS previous FROM runs"),
+    "f11_stale_runs": over(RAW + RUNS, "SELECT run_id::BIGINT AS run_id, status = 'running' AND started_at < TIMESTAMP '2024-02-20 10:00:00' - INTERVAL 1800 SECOND AS stale FROM runs"),
     "a23_failure_streaks": over(FACTS, ", z AS (SELECT run_id, seq, status, CASE WHEN status >= 400 THEN 0 ELSE status END AS st FROM p), g AS (SELECT run_id, seq, st, sum(CASE WHEN st <> 0 THEN 1 ELSE 0 END) OVER (PARTITION BY run_id ORDER BY seq) AS k FROM z) SELECT run_id::BIGINT AS run_id, min(seq)::BIGINT AS first_seq, count(*) AS failures FROM g WHERE st = 0 GROUP BY run_id, k"),
     "d01_snapshot": over(ISSUES, f"{_DIFF} SELECT url, score, array_to_string(list_sort(rules), ',') AS rules FROM x1"),
     "d02_pages_added": over(ISSUES, f"{_DIFF} SELECT url FROM x2 EXCEPT SELECT url FROM x1"),

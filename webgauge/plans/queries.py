@@ -96,7 +96,7 @@ def _(s):
 query("o01_runs")(lambda s: s.runs().select("run_id", "start_url", "status", "pages"))
 query("j09_live_page_counts")(lambda s: W.runs_view(s.runs(), s.pages().select((F.col("run_id") + 5).alias("run_id"))).select("run_id", "status", "pages"))
 query("f10_previous_runs")(lambda s: W.previous_runs(s.runs()))
-query("f11_stale_runs")(lambda s: s.runs().select("run_id", W.stale(F.lit("2024-03-06 10:00:00").cast("timestamp"), 1800.0).alias("stale")))
+query("f11_stale_runs")(lambda s: s.runs().select("run_id", W.stale(F.lit("2024-02-20 10:00:00").cast("timestamp"), 1800.0).alias("stale")))
 query("a23_failure_streaks")(lambda s: W.failure_streaks(s.pages().withColumn("status", F.when(F.col("status") >= 400, 0).otherwise(F.col("status")))))
 
 

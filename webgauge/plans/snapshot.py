@@ -58,8 +58,9 @@ x AS (
          404 AS status, 0 AS bytes, 1 AS elapsed_ms, NULL AS x_robots_tag, 0 AS hops, NULL AS html
   FROM w WHERE seq % 5 = 1),
 d AS (SELECT x.* FROM x JOIN (SELECT url AS u, min(seq) AS s FROM x GROUP BY url) k ON x.url = k.u AND x.seq = k.s),
+e1 AS (SELECT url, (seq * 11 + 5) % (SELECT max(page_id) + 1 FROM raw_pages) AS target FROM d WHERE seq % 3 <> 1),
 e0 AS (SELECT a.url AS from_url, c.url AS to_url FROM d a JOIN d c ON c.seq = (a.seq * 7 + 3) % 200 UNION
-       SELECT a.url AS from_url, c.url AS to_url FROM d a JOIN d c ON c.seq = (a.seq * 11 + 5) % 200),
+       SELECT a.url AS from_url, c.url AS to_url FROM e1 a JOIN d c ON c.seq = a.target),
 p AS (
   SELECT CAST(1 AS BIGINT) AS run_id, seq, url, final_url, status, bytes, elapsed_ms, x_robots_tag, hops, html FROM d WHERE seq % 11 <> 0 UNION ALL
   SELECT CAST(2 AS BIGINT) AS run_id, seq, url, final_url, status, bytes, elapsed_ms, x_robots_tag, hops,
@@ -70,16 +71,13 @@ e AS (SELECT DISTINCT a.run_id, from_url, to_url FROM e0 JOIN p a ON a.url = e0.
 s AS (SELECT run_id, url FROM p WHERE seq % 3 = 0)
 """
 
+#: A run for each raw page: its site, a state by its number, a start within a hundred days, as many pages as its html has characters.
 RUNS = """
 runs AS (
-  SELECT * FROM (VALUES
-    (1, 'https://a.example.com/', 'complete', TIMESTAMP '2024-03-01 10:00:00', 12),
-    (2, 'https://a.example.com/', 'partial', TIMESTAMP '2024-03-02 10:00:00', 15),
-    (3, 'https://b.example.com/', 'failed', TIMESTAMP '2024-03-03 10:00:00', 0),
-    (4, 'https://b.example.com/', 'complete', TIMESTAMP '2024-03-04 10:00:00', 7),
-    (5, 'https://a.example.com/', 'failed', TIMESTAMP '2024-03-05 10:00:00', 1),
-    (6, 'https://a.example.com/', 'running', TIMESTAMP '2024-03-06 09:00:00', 0),
-    (7, 'https://b.example.com/', 'running', TIMESTAMP '2024-03-06 09:50:00', 0)) AS t(run_id, start_url, status, started_at, pages))
+  SELECT page_id AS run_id, concat(regexp_extract(url, '^(https?://[^/?#]+)', 1), '/') AS start_url,
+         CASE page_id % 5 WHEN 0 THEN 'complete' WHEN 3 THEN 'failed' WHEN 4 THEN 'partial' ELSE 'running' END AS status,
+         CAST(DATE '2024-01-01' + CAST(page_id % 100 AS INT) AS TIMESTAMP) AS started_at, length(html) AS pages
+  FROM raw_pages)
 """
 
 
@@ -143,7 +141,8 @@ class Snapshot:
         return self.kept("audit", lambda: audited(self.facts(), self.pages().drop("html"), self.links(), self.sitemap()))
 
     def runs(self) -> DataFrame:
-        return self.spark.sql(f"WITH {RUNS} SELECT CAST(run_id AS BIGINT) AS run_id, start_url, status, started_at, CAST(pages AS BIGINT) AS pages FROM runs")
+        query = f"WITH {RUNS.replace('raw_pages', '{raw_pages}')} SELECT CAST(run_id AS BIGINT) AS run_id, start_url, status, started_at, CAST(pages AS BIGINT) AS pages FROM runs"
+        return self.spark.sql(query, raw_pages=self.raw)
 
     def suggestions(self, audit: DataFrame) -> DataFrame:
         """Made-up suggestions for weak pages: their status goes by the page's number."""
