@@ -53,3 +53,22 @@ def test_known_tokens(frame):
     rows = [(1, A), (2, B), (3, A)]
     told = {x.doc_id: x.n_known for x in language_model.score(frame(rows), F.col("doc_id") == 2).collect()}
     assert told == {1: 2, 2: 1, 3: 2}
+
+
+def test_second_hashes():
+    """Two windows that share a key are told apart by their checks, wherever they stand among equal keys."""
+    import numpy as np
+
+    keys, checks, ids = np.array([7, 7, 7, 9, 9], np.uint64), np.array([3, 1, 3, 5, 4], np.uint64), np.array([5, 6, 4, 2, 8])
+    index = substring_dedup.reduced(keys, checks, ids, ids)
+    assert [x.tolist() for x in index] == [[7, 7, 9, 9], [1, 3, 4, 5], [6, 4, 8, 2], [6, 5, 8, 2]]
+    asked = np.array([7, 7, 7, 7, 9, 9, 9, 8], np.uint64), np.array([0, 1, 2, 3, 4, 5, 6, 1], np.uint64)
+    at, hit = substring_dedup.places(index, *asked)
+    assert hit.tolist() == [False, True, False, True, True, True, False, False]
+    assert at[hit].tolist() == [0, 1, 2, 3]
+    texts = flat(pa.array(["a bb ccc a bb ccc ddddddddddd", "a bb", None]))
+    w = Words(*texts)
+    _, first = w.windows(2)
+    _, second = w.windows(2, checks=True)
+    assert len(set(zip(first.tolist(), second.tolist()))) == 4 and first[0] == first[3] == first[-1] and second[0] == second[3] == second[-1]
+    assert not set(first.tolist()) & set(second.tolist())

@@ -12,7 +12,7 @@ compared across documents, and those that start in an earlier document too merge
   3. windows meet in buckets; for each question the smallest id among the answers decides.
 
 Blocks and answers are reduced to the smallest and largest id before they are shuffled, so a hot passage costs each
-task one row, and questions stream past them. Windows are told apart by 64 bits and the bucket.
+task one row, and questions stream past them. Windows meet by 64 bits and are told apart by 64 further ones.
 
 Defined results: null and empty texts have no words; documents shorter than a window lose nothing; a null doc_id
 neither is earlier than anything nor loses anything; rows that share an id are not earlier than each other; repeated
@@ -38,8 +38,8 @@ WINDOW = 50
 #: Keys that a task holds before it deals them out; with its sorts about 60 bytes each.
 HELD = BUFFER // 4
 SMALLER, LARGER = 1, 2
-_KEYS = "bucket int, kind int, ids binary, counts binary, keys binary, least binary, most binary"
-_KEYS_ARROW = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), *((c, pa.binary()) for c in ("ids", "counts", "keys", "least", "most"))])
+_KEYS = "bucket int, kind int, ids binary, counts binary, keys binary, checks binary, least binary, most binary"
+_KEYS_ARROW = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), *((c, pa.binary()) for c in ("ids", "counts", "keys", "checks", "least", "most"))])
 _HOME = "bucket int, kind int, ids binary, counts binary, keys binary, flags binary, doc_id long, text string, tag long"
 _HOME_ARROW = pa.schema(
     [("bucket", pa.int32()), ("kind", pa.int32()), *((c, pa.binary()) for c in ("ids", "counts", "keys", "flags")), ("doc_id", pa.int64()), ("text", pa.string()), ("tag", pa.int64())]
@@ -49,24 +49,49 @@ _DONE = "n_words long, n_removed long, kept_sha256 string, kept string"
 DONE, OPEN, ANSWER, QUESTION = 0, 1, 2, 3
 
 
-def reduced(keys: np.ndarray, least: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys with their smallest and largest id."""
-    order = np.argsort(keys, kind="stable")
+def reduced(keys: np.ndarray, checks: np.ndarray | None, least: np.ndarray, most: np.ndarray) -> tuple[np.ndarray | None, ...]:
+    """Distinct keys, or pairs of key and check, in order, with their smallest and largest id."""
+    order = np.argsort(keys, kind="stable") if checks is None else np.lexsort((checks, keys))
     keys, least, most = keys[order], least[order], most[order]
-    at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    return (keys[at], np.minimum.reduceat(least, at), np.maximum.reduceat(most, at)) if len(at) else (keys, least, most)
-
-
-def deal(kind: int, keys: np.ndarray, owners: np.ndarray, buckets: int, narrow: bool, asked: bool) -> Iterator[dict]:
-    """Packed rows: questions (asked) with all their owners, else answers with the smallest and largest owner."""
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
+    if checks is not None:
+        checks = checks[order]
+        new[1:] |= checks[1:] != checks[:-1]
+    at = np.flatnonzero(new)
+    if not len(at):
+        return keys, checks, least, most
+    return keys[at], None if checks is None else checks[at], np.minimum.reduceat(least, at), np.maximum.reduceat(most, at)
+
+
+def places(index: tuple[np.ndarray | None, ...], keys: np.ndarray, checks: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """For each key (and check) a place in reduced ones that aren't empty, and whether it is there."""
+    last = len(index[0]) - 1
+    at = np.minimum(np.searchsorted(index[0], keys), last)
+    hit = index[0][at] == keys
+    if checks is None:
+        return at, hit
+    while True:  # a second turn only where keys of different windows are equal
+        on = np.flatnonzero(hit & (index[1][at] < checks))
+        if not len(on):
+            return at, hit & (index[1][at] == checks)
+        to = np.minimum(at[on] + 1, last)
+        hit[on] = (to > at[on]) & (index[0][to] == keys[on])
+        at[on] = to
+
+
+def deal(kind: int, keys: np.ndarray, checks: np.ndarray | None, owners: np.ndarray, buckets: int, asked: bool) -> Iterator[dict]:
+    """Packed rows: questions (asked) with all their owners, else answers with the smallest and largest owner.
+
+    Keys without checks only seek candidates: 32 bits and the bucket do.
+    """
     if asked:
-        columns = (keys, owners)
+        rest = (owners,)
     else:
-        columns = reduced(keys, owners, owners)
-        keys = columns[0]
+        keys, checks, *rest = reduced(keys, checks, owners, owners)
     bucket = ((keys >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
-    for b, k, *rest in by_bucket(bucket, *columns):
-        row = {"bucket": b, "kind": kind, "keys": k.astype(np.uint32).tobytes() if narrow else k.tobytes()}
+    for b, k, c, *rest in by_bucket(bucket, keys, keys if checks is None else checks, *rest):
+        row = {"bucket": b, "kind": kind} | ({"keys": k.astype(np.uint32).tobytes()} if checks is None else {"keys": k.tobytes(), "checks": c.tobytes()})
         if asked:
             row["ids"], row["counts"] = pack_ids(rest[0])
         else:
@@ -80,7 +105,7 @@ def anchor_batches(batches: Iterator[pa.RecordBatch], window: int, buckets: int)
 
     def flush() -> pa.RecordBatch:
         probes, owners, aligned = (np.concatenate(x) for x in zip(*held))
-        rows = [*deal(0, probes[aligned], owners[aligned], buckets, True, False), *deal(1, probes, owners, buckets, True, True)]
+        rows = [*deal(0, probes[aligned], None, owners[aligned], buckets, False), *deal(1, probes, None, owners, buckets, True)]
         held.clear()
         return batch_of(_KEYS_ARROW, rows)
 
@@ -124,19 +149,19 @@ def match_batches(batches: Iterator[pa.RecordBatch], buckets: int, narrow: bool)
                     yield flush()
                 now, answers, index = row["bucket"], [], None
             keys = np.frombuffer(row["keys"], kind)
+            checks = None if narrow else np.frombuffer(row["checks"], np.uint64)
             if row["kind"] == 0:
-                answers.append((keys, np.frombuffer(row["least"], np.int64), np.frombuffer(row["most"], np.int64)))
+                answers.append((keys, keys if narrow else checks, np.frombuffer(row["least"], np.int64), np.frombuffer(row["most"], np.int64)))
                 continue
+            if index is None and answers:
+                known, more, least, most = (np.concatenate(x) for x in zip(*answers))
+                index, answers = reduced(known, None if narrow else more, least, most), []
             if index is None:
-                index = reduced(*(np.concatenate(x) for x in zip(*answers))) if answers else (keys[:0], np.zeros(0, np.int64), np.zeros(0, np.int64))
-                answers = []
-            if not len(index[0]):
                 continue
             owners = unpack_ids(row["ids"], row["counts"])
-            at = np.searchsorted(index[0], keys)
-            at[at == len(index[0])] = 0
-            flags = ((index[1][at] < owners) * SMALLER + (index[2][at] > owners) * LARGER).astype(np.uint8)
-            hit = (index[0][at] == keys) & (flags > 0)
+            at, hit = places(index, keys, checks)
+            flags = ((index[2][at] < owners) * SMALLER + (index[3][at] > owners) * LARGER).astype(np.uint8)
+            hit &= flags > 0
             if not narrow:
                 hit &= flags & SMALLER > 0
             if hit.any():
@@ -182,10 +207,10 @@ def extend_batches(batches: Iterator[pa.RecordBatch], window: int, buckets: int,
     block, held, size = window // 2, [], 0
 
     def flush() -> pa.RecordBatch:
-        keys, owners, flags = (np.concatenate(x) for x in zip(*held))
+        keys, checks, owners, flags = (np.concatenate(x) for x in zip(*held))
         held.clear()
         less, more = flags & SMALLER > 0, flags & LARGER > 0
-        rows = [*deal(ANSWER, keys[more], owners[more], buckets, False, False), *deal(QUESTION, keys[less], owners[less], buckets, False, True)]
+        rows = [*deal(ANSWER, keys[more], checks[more], owners[more], buckets, False), *deal(QUESTION, keys[less], checks[less], owners[less], buckets, True)]
         return batch_of(schema, rows)
 
     for found, part in at_home(batches):
@@ -204,7 +229,8 @@ def extend_batches(batches: Iterator[pa.RecordBatch], window: int, buckets: int,
             around |= ((hits[full + window - block + 1] - hits[full]) > 0).astype(np.uint8) * np.uint8(flag)
         use = around > 0
         owner = w.texts()[full[use]]
-        held.append((full_keys[use], number[owner], around[use]))
+        if use.any():
+            held.append((full_keys[use], w.windows(window, checks=True)[1][use], number[owner], around[use]))
         size += int(use.sum())
         is_open = np.zeros(part.num_rows, bool)
         is_open[owner[around[use] & SMALLER > 0]] = True
@@ -254,7 +280,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, keep_text: bool = False) -> Dat
     step = written(at_bucket(met, buckets).mapInArrow(partial(extend_batches, window=window, buckets=buckets, keep_text=keep_text, schema=arrow), out), "windows")
     columns = ["doc_id", "tag", "n_words", "n_removed", "kept_sha256", "kept"]
     done = step.where(F.col("kind") == DONE).select(*columns)
-    windows = step.where(F.col("kind") >= ANSWER).select("bucket", (F.col("kind") - ANSWER).alias("kind"), "ids", "counts", "keys", "least", "most")
+    windows = step.where(F.col("kind") >= ANSWER).select("bucket", (F.col("kind") - ANSWER).alias("kind"), "ids", "counts", "keys", "checks", "least", "most")
     earlier = at_bucket(windows, buckets).mapInArrow(partial(match_batches, buckets=buckets, narrow=False), _HOME)
     still = step.where(F.col("kind") == OPEN).select("bucket", F.lit(1).alias("kind"), "doc_id", "text", "tag")
     last = earlier.drop("doc_id", "text", "tag").unionByName(still, allowMissingColumns=True)

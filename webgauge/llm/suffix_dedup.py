@@ -4,7 +4,7 @@ The suffixes of all documents are partitioned so that equal ``LENGTH``-byte stri
 of its minimizer, the smallest hash of the GRAM-byte strings in it. Neighbouring strings with one minimizer travel
 together as a stretch of text.
 
-  1. stretches meet as hashes, by minimizer: one that an earlier document has too is a repeat as a whole. What is left
+  1. stretches meet as hashes, by minimizer and 96 bits: one that an earlier document has too is a repeat as a whole. What is left
      are different stretches with one minimizer, which may share part of their strings;
   2. of those, one copy each sends its bytes; where a minimizer has more than HOT_STRETCHES of them (the text around a
      passage that many documents share), each string goes to a bucket by its own hash instead, once for each slice of texts;
@@ -39,8 +39,8 @@ LENGTH, GRAM, SHALLOW = 50, 20, 16
 #: HOT goes with SEND where the minimizer has more than HOT_STRETCHES different stretches.
 REPEAT, SEND, HOT = 1, 2, 4
 HOT_STRETCHES = 4096
-_MEET = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), *((c, pa.binary()) for c in ("ids", "counts", "keys", "flags", "minimizers"))])
-_MEET_SQL = "bucket int, kind int, ids binary, counts binary, keys binary, flags binary, minimizers binary"
+_MEET = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), *((c, pa.binary()) for c in ("ids", "counts", "keys", "flags", "minimizers", "checks"))])
+_MEET_SQL = "bucket int, kind int, ids binary, counts binary, keys binary, flags binary, minimizers binary, checks binary"
 _STEP = pa.schema(
     [
         ("bucket", pa.int32()),
@@ -60,10 +60,10 @@ DONE, OPEN, STRETCH = 0, 1, 2
 
 
 def stretches(text: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """Of a slice of texts: text number, first and last start of a string, minimizer and hash of each stretch."""
+    """Of a slice of texts: text number, first and last start of a string, minimizer, hash and further hash of each stretch."""
     none = np.zeros(0, np.int64)
     if len(text) < length:
-        return none, none, none, none.view(U64), none.view(U64)
+        return none, none, none, none.view(U64), none.view(U64), none.view(U64)
     sums = prefix(BYTE_VALUES[text])
     at = np.arange(len(text) - GRAM + 1)
     least = mix(spans(sums, at, at + GRAM))
@@ -77,15 +77,14 @@ def stretches(text: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.nd
     of = np.repeat(np.arange(len(sizes)), sizes)
     valid = np.flatnonzero(np.arange(len(text)) + length <= np.repeat(offsets[1:], sizes))
     if not len(valid):
-        return none, none, none, none.view(U64), none.view(U64)
+        return none, none, none, none.view(U64), none.view(U64), none.view(U64)
     value, owner = least[valid], of[valid]
     new = np.ones(len(valid), bool)
     new[1:] = (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(valid)) - 1
     begin, end = valid[first], valid[last]
-    whole = span_hashes(text, begin, end + length)
-    return owner[first], begin, end, value[first], whole
+    return owner[first], begin, end, value[first], *span_hashes(text, begin, end + length, True)
 
 
 def bucket_of(minimizers: np.ndarray, buckets: int) -> np.ndarray:
@@ -105,28 +104,28 @@ def meet_batches(batches: Iterator[pa.RecordBatch], length: int, buckets: int) -
     held, size = [], 0
 
     def flush() -> pa.RecordBatch:
-        owners, minimizers, keys = (np.concatenate(x) for x in zip(*held))
+        owners, minimizers, keys, checks = (np.concatenate(x) for x in zip(*held))
         held.clear()
-        order = np.lexsort((owners, keys))
-        owners, minimizers, keys = owners[order], minimizers[order], keys[order]
+        order = np.lexsort((owners, checks, keys))
+        owners, minimizers, keys, checks = owners[order], minimizers[order], keys[order], checks[order]
         new = np.ones(len(keys), bool)
-        new[1:] = keys[1:] != keys[:-1]
+        new[1:] = (keys[1:] != keys[:-1]) | (checks[1:] != checks[:-1])
         least = owners[new][np.cumsum(new) - 1] if len(keys) else owners
         again = owners > least
         rows = list(replies(owners[again], keys[again], np.full(int(again.sum()), REPEAT, np.uint8), buckets))
-        owners, minimizers, keys = owners[new], minimizers[new], keys[new]
-        for b, i, m, k in by_bucket(bucket_of(minimizers, buckets), owners, minimizers, keys):
+        owners, minimizers, keys, checks = owners[new], minimizers[new], keys[new], checks[new]
+        for b, i, m, k, c in by_bucket(bucket_of(minimizers, buckets), owners, minimizers, keys, checks):
             order = np.argsort(i, kind="stable")
             of, counts = pack_ids(i[order])
-            rows.append({"bucket": b, "kind": 1, "ids": of, "counts": counts, "keys": k[order].tobytes(), "minimizers": m[order].astype(np.uint32).tobytes()})
+            rows.append({"bucket": b, "kind": 1, "ids": of, "counts": counts, "keys": k[order].tobytes(), "minimizers": m[order].astype(np.uint32).tobytes(), "checks": c[order].astype(np.uint32).tobytes()})
         return batch_of(_MEET, rows)
 
     for batch in batches:
         for part in slices(batch, 1):
             number, known = ids(part.column(0))
-            of, _, _, minimizers, keys = stretches(*flat(part.column(1)), length)
+            of, _, _, minimizers, keys, checks = stretches(*flat(part.column(1)), length)
             use = known[of]
-            held.append((number[of[use]], minimizers[use], keys[use]))
+            held.append((number[of[use]], minimizers[use], keys[use], checks[use]))
             size += int(use.sum())
             if size >= BUFFER:
                 yield flush()
@@ -140,14 +139,14 @@ def reply_batches(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[p
     now, held = -1, []
 
     def flush() -> pa.RecordBatch:
-        owners, minimizers, keys = (np.concatenate(x) for x in zip(*held))
+        owners, minimizers, keys, checks = (np.concatenate(x) for x in zip(*held))
         held.clear()
-        order = np.lexsort((owners, keys, minimizers))
-        owners, minimizers, keys = owners[order], minimizers[order], keys[order]
+        order = np.lexsort((owners, checks, keys, minimizers))
+        owners, minimizers, keys, checks = owners[order], minimizers[order], keys[order], checks[order]
         group = np.ones(len(keys), bool)  # of a minimizer
         group[1:] = minimizers[1:] != minimizers[:-1]
         new = group.copy()  # of a stretch in it
-        new[1:] |= keys[1:] != keys[:-1]
+        new[1:] |= (keys[1:] != keys[:-1]) | (checks[1:] != checks[:-1])
         flags = np.where(owners > owners[new][np.cumsum(new) - 1], REPEAT, 0).astype(np.uint8)
         at = np.flatnonzero(group)
         number = np.cumsum(group) - 1
@@ -168,7 +167,7 @@ def reply_batches(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[p
             if row["bucket"] != now and held:
                 yield flush()
             now = row["bucket"]
-            held.append((unpack_ids(row["ids"], row["counts"]), np.frombuffer(row["minimizers"], np.uint32), np.frombuffer(row["keys"], np.uint64)))
+            held.append((unpack_ids(row["ids"], row["counts"]), np.frombuffer(row["minimizers"], np.uint32), np.frombuffer(row["keys"], np.uint64), np.frombuffer(row["checks"], np.uint32)))
         if through:
             yield batch_of(_MEET, through)
     if held:
@@ -236,7 +235,7 @@ def send_batches(batches: Iterator[pa.RecordBatch], length: int, buckets: int) -
     for found, part in at_home(batches, 7, add):
         text, offsets = flat(part.column(7))
         number, known = ids(part.column(6))
-        of, begin, end, minimizers, keys = stretches(text, offsets, length)
+        of, begin, end, minimizers, keys, _ = stretches(text, offsets, length)
         flags = found.look(number[of], keys) * known[of] if found and len(of) else np.zeros(len(of), np.uint8)
         repeat, send = flags & REPEAT > 0, (flags & SEND > 0) & (flags & REPEAT == 0)
         is_open = np.zeros(part.num_rows, bool)
@@ -431,7 +430,7 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         return df.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind")
 
     met = at_bucket(d.mapInArrow(partial(meet_batches, length=length, buckets=buckets), _MEET_SQL))
-    said = written(met.mapInArrow(partial(reply_batches, buckets=buckets), _MEET_SQL).drop("minimizers"), "replies")
+    said = written(met.mapInArrow(partial(reply_batches, buckets=buckets), _MEET_SQL).drop("minimizers", "checks"), "replies")
     texts = d.select(home_column(F.col("doc_id"), buckets).alias("bucket"), F.lit(1).alias("kind"), "doc_id", "text")
     at = at_bucket(said.unionByName(texts, allowMissingColumns=True).select("bucket", "kind", "ids", "counts", "keys", "flags", "doc_id", "text"))
     step = written(at.mapInArrow(partial(send_batches, length=length, buckets=buckets), _STEP_SQL), "stretches")

@@ -87,12 +87,15 @@ def spans(sums: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     return (sums[end] - sums[begin]) * down[begin]
 
 
-def span_hashes(text: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span [begin, end) of a text's bytes; a few bytes of work for each byte of the spans."""
+def span_hashes(text: np.ndarray, begin: np.ndarray, end: np.ndarray, wide: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+    """A 64-bit hash of each span [begin, end) of a text's bytes, and, if wide, a second one; a few bytes of work for each byte of the spans.
+
+    The second sums the mixed lanes once they are multiplied and folded, so that it doesn't follow from the first.
+    """
     size = end - begin
     lanes = np.maximum((size + 7) >> 3, 1)
     if not len(size):
-        return np.zeros(0, U64)
+        return np.zeros(0, U64), np.zeros(0, U64) if wide else None
     first = np.cumsum(lanes) - lanes
     place = np.arange(first[-1] + lanes[-1]) - np.repeat(first, lanes)
     padded = np.concatenate([text, np.zeros(8, np.uint8)])
@@ -102,7 +105,12 @@ def span_hashes(text: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndar
     left = (8 * (size - 8 * (lanes - 1))).astype(U64)  # bits of the last lane
     lane[last] &= np.where(left >= 64, ~U64(0), (U64(1) << (left & U64(63))) - U64(1))
     lane = mix(lane ^ mix(place.astype(U64) * U64(_MULT) + U64(_ROOT)))
-    return mix(np.add.reduceat(lane, first) + size.astype(U64) * U64(_MULT))
+    whole = mix(np.add.reduceat(lane, first) + size.astype(U64) * U64(_MULT))
+    if not wide:
+        return whole, None
+    lane *= U64(0xA24BAED4963EE407)
+    lane ^= lane >> U64(32)
+    return whole, mix(np.add.reduceat(lane, first) + size.astype(U64) * U64(_ROOT))
 
 
 def paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -131,20 +139,20 @@ class Words:
         self.begin, self.end = np.flatnonzero(starts), np.flatnonzero(ends) + 1
         self.first = np.searchsorted(self.begin, offsets)
         self.counts = np.diff(self.first)
-        self.hashes = span_hashes(text, self.begin, self.end)
+        self.hashes, _ = span_hashes(text, self.begin, self.end)
 
     def texts(self) -> np.ndarray:
         """For each word, the number of its text in the slice."""
         return np.repeat(np.arange(len(self.counts)), self.counts)
 
-    def windows(self, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of the words at which a window of ``length`` words of one text starts, and the hashes."""
+    def windows(self, length: int, checks: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the words at which a window of ``length`` words of one text starts, and the hashes; checks: second ones."""
         n = len(self.begin)
         if n < length:
             return np.zeros(0, np.int64), np.zeros(0, U64)
         at = np.flatnonzero((np.arange(n) + length) <= np.repeat(self.first[1:], self.counts))
         # windows of 1, 2, 4, ... words, joined from the left where length has that power of two
-        part, size, out, have = self.hashes, 1, None, 0
+        part, size, out, have = span_hashes(self.text, self.begin, self.end, True)[1] if checks else self.hashes, 1, None, 0
         while size <= length:
             if length & size:
                 out, have = (part if out is None else paired(out[: len(out) - size], part[have:])), have + size
