@@ -195,3 +195,27 @@ def test_short_way_of_references():
         raw = r.choice(["", "/"]) + "".join(r.choice("/abZ09._-~%@!$&'()*+,=;:?# \té漢") for _ in range(r.randint(0, 12)))
         base = r.choice(["https://A.com/x/y?z", "http://b.org:8080", "https://[::1]/a", None, "bad", "https://u@h.com:443/", "http://x.com:bad/"])
         assert Resolver(base)(raw) == link_pair(raw, base)
+
+
+def test_facts_of_batches_hold_one_slice():
+    """A batch has the facts of its documents one by one, and four times as many take no more Python objects at a time."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from webgauge.functions.html import SLICE_BYTES, facts_of_batch
+
+    rules = frozenset(["com"])
+    page = HTML + "<p>" + "word " * 800
+    peaks = []
+    for n in (500, 2000):
+        html, base = pa.array([page] * n), pa.array(["https://e.com/"] * n)
+        tracemalloc.start()
+        assert len(facts_of_batch(html, base, base, rules)) == n
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 1.5 * peaks[0]
+    mixed = [None, HTML, "", page + "x" * SLICE_BYTES, None, page]
+    got = facts_of_batch(pa.array(mixed), pa.array(["https://e.com/"] * 6), pa.array(["https://e.com/"] * 6), rules)
+    assert got.to_pylist() == [facts(h, "https://e.com/", rules, "https://e.com/") for h in mixed]
+    assert len(facts_of_batch(pa.array([], pa.string()), pa.array([], pa.string()), pa.array([], pa.string()), rules)) == 0
