@@ -400,3 +400,25 @@ def test_streaming(spark, tmp_path):
     q = ingest.first_sightings(stamped).writeStream.format("memory").queryName("first").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("first").count() == 3
+
+
+def test_claims_are_searched_plainly_first(spark):
+    """Long texts cost a few passes, not one of a pattern for each claim in each text; what is found stays the same."""
+    import time
+
+    filler = "plain words about pans and pots " * 4000
+    kinds = [("the BEST pans", ""), ("bestseller, not-leading", ""), ("our #1, guaranteed", "guaranteed"), (None, "best")]
+    rows = [(i, u and filler + u, filler + s) for i, (u, s) in enumerate(32 * kinds)]
+    t = spark.createDataFrame(rows, "id int, u string, s string").coalesce(1).cache()
+    t.count()
+
+    def took(column):
+        began = time.time()
+        found = [tuple(r) for r in t.select("id", column.alias("x")).collect()]
+        return time.time() - began, found
+
+    one = min(took(F.col("u").rlike(r"(?U)(?<![\w-])best(?![\w-])"))[0] for _ in range(2))
+    both = min((took(V.invented_claims(F.col("u"), F.col("s"))) for _ in range(2)), key=lambda x: x[0])
+    assert {i % 4: list(x) for i, x in both[1]} == {0: ["best"], 1: [], 2: ["#1"], 3: []}
+    assert both[0] < 15 * one
+    t.unpersist()
