@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from webgauge.llm import packing, suffix_dedup, tokens, warc
+from webgauge.llm import packing, suffix_dedup, textarrays, tokens, warc
 from webgauge.llm.textarrays import Words, covered, flat, slices
 
 TEXTS = st.lists(st.one_of(st.none(), st.text(alphabet="aB é漢\n\t ", max_size=30)), max_size=12)
@@ -105,3 +105,15 @@ def test_warc_record_parses_back(html, refers_to):
     size, fields = warc.parse(text[len(warc.MAGIC) :])
     assert size == len(text) and fields["valid"] and fields["page_id"] == 7 and fields["refers_to"] == refers_to
     assert fields["payload_bytes"] == len(html.encode()) and fields["payload_digest"] == warc.digest(html.encode())
+
+
+def test_short_ways_give_the_same():
+    """Words of one lane, marks of white space and lower case have short ways; hashes are those of the long way."""
+    rng = np.random.default_rng(3)
+    text = rng.integers(0, 256, 4000, dtype=np.uint8)
+    begin = rng.integers(0, 3950, 2000)
+    size = rng.integers(0, 40, 2000)
+    got = textarrays.span_hashes(text, begin, begin + size)[0]
+    assert (got == textarrays.span_hashes(text, begin, begin + size, True)[0]).all()
+    every = np.arange(256, dtype=np.uint8)
+    assert (textarrays.spaces(every) == textarrays.SPACE).all() and (textarrays.lowered(every) == textarrays.LOWER).all()

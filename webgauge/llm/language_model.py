@@ -137,8 +137,8 @@ class Cells:
         self.of = np.repeat(np.arange(len(self.contexts)), widened(row["sizes"]))
         self.index, self.counts = widened(row["index"]), widened(row["counts"])
 
-    def pairs(self) -> np.ndarray:
-        return pairs(self.contexts[self.of], self.words[self.index])
+    def pairs(self, at=slice(None)) -> np.ndarray:
+        return pairs(self.contexts[self.of[at]], self.words[self.index[at]])
 
     def tables(self, data: bytes) -> np.ndarray:
         out = self.counts.copy()
@@ -185,7 +185,8 @@ def frequent_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
     for batch in batches:
         for part in slices(batch, 0):
-            held.append(tokens(part, 0)[2])
+            w = Words(*flat(part.column(0)), lower=True)
+            held.append(np.concatenate([w.hashes, np.full(len(w.counts), _BEGIN)]))  # in any order, every word is a context, as is every beginning
             size += len(held[-1])
             if size >= BUFFER:
                 yield flush()
@@ -219,9 +220,9 @@ def count_batches(batches: Iterator[pa.RecordBatch], hot: np.ndarray, buckets: i
 def told(cells: Cells, tables: np.ndarray, model: Model, buckets: int, count: bool) -> Iterator[dict]:
     """What a bucket tells of its tables (and at first of its tokens): by word, and of each shared context."""
     of_word = np.bincount(cells.index, tables, len(cells.words)).astype(np.int64)
-    uses = np.bincount(cells.index, cells.counts, len(cells.words)).astype(np.int64)
-    for b, w, t, n in by_bucket(word_bucket(cells.words, buckets), cells.words, of_word, uses):
-        yield {"bucket": b, "kind": WORDS, "origin": cells.row["bucket"], "words": planes(w), "tables": [narrow(t)], "counts": narrow(n) if count else None}
+    uses = [np.bincount(cells.index, cells.counts, len(cells.words)).astype(np.int64)] if count else []
+    for b, w, t, *n in by_bucket(word_bucket(cells.words, buckets), cells.words, of_word, *uses):
+        yield {"bucket": b, "kind": WORDS, "origin": cells.row["bucket"], "words": planes(w), "tables": [narrow(t)], "counts": narrow(n[0]) if count else None}
     shared = np.flatnonzero(within(cells.contexts, model.hot)[0])
     if len(shared):
         sums = [np.bincount(cells.of, x, len(cells.contexts))[shared].astype(np.int64) for x in (tables, cells.counts)]
@@ -314,16 +315,19 @@ def sweep_batches(batches: Iterator[pa.RecordBatch], model, sweep: int, burn_in:
             parents = []
             if uses is not None:  # kept with the cells from now on
                 row["known"] = narrow(uses)
-            t, pair = cells.tables(row["tables"][-1]), cells.pairs()
+            t = cells.tables(row["tables"][-1])
             kept, of_kept = row["tables"][:-1], row["customers"]
             if sweep > burn_in:
                 kept, of_kept = row["tables"], [*of_kept, narrow(customers)]
-            in_all, several = m.customers[sweep - 1], cells.counts > 1
+            in_all, several = m.customers[sweep - 1], np.flatnonzero(cells.counts > 1)
+            pair = cells.pairs(several)  # a single customer is never seated anew
+            half = (pair >> U64(7)) & U64(1)
             full = cells.totals(t, m.hot, m.hot_tables[sweep - 1])
             for turn in (0, 1):
-                at = np.flatnonzero(several & ((pair >> U64(7)) & U64(1) == turn))
+                now = half == turn
+                at = several[now]
                 of, mine = cells.of[at], t[at]
-                t[at] = seat(cells.counts[at], full[of] - mine, customers[cells.index[at]] - mine, in_all - mine, m.words, pair[at], sweep)
+                t[at] = seat(cells.counts[at], full[of] - mine, customers[cells.index[at]] - mine, in_all - mine, m.words, pair[now], sweep)
                 full += np.bincount(of, t[at] - mine, len(full))
             row = row | {"tables": [*kept, cells.pack_tables(t)], "customers": of_kept}
             yield batch_of(_PACKED, [row])
@@ -387,9 +391,17 @@ class Index:
         self.keys = keys[order]
         self.scores = np.log10(total / len(every))[order]
         self.uses = uses[cells.index[order]]
+        # keys are hashes, so their first bits say nearly where they lie
+        self.shift = U64(64 - min(max(1, len(order).bit_length()), 26))
+        self.begin = np.searchsorted(self.keys, np.arange(1 << (64 - int(self.shift)), dtype=U64) << self.shift)
 
     def ask(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.searchsorted(self.keys, keys)
+        """Of keys that are all there."""
+        at = self.begin[keys >> self.shift]
+        late = np.flatnonzero(self.keys[at] != keys)
+        while len(late):
+            at[late] += 1
+            late = late[self.keys[at[late]] != keys[late]]
         return self.scores[at], self.uses[at]
 
 

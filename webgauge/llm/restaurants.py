@@ -61,9 +61,9 @@ def more_tables(c: np.ndarray, t: np.ndarray, d: float = DISCOUNT) -> np.ndarray
     return out
 
 
-def draws(keys: np.ndarray, step: np.ndarray, sweep: int) -> np.ndarray:
-    """Uniform numbers that depend on nothing but the dish, the step and the sweep: a task run again draws the same."""
-    h = mix(mix(keys + U64(mix_int(sweep + 1))) + step.astype(U64) * U64(0x9E3779B97F4A7C15))
+def draws(seeds: np.ndarray, step: np.ndarray) -> np.ndarray:
+    """Uniform numbers that depend on nothing but the dish and the sweep, of which the seeds are made, and the step: a task run again draws the same."""
+    h = mix(seeds + step.astype(U64) * U64(0x9E3779B97F4A7C15))
     return (h >> U64(11)).astype(np.float64) / 2.0**53
 
 
@@ -90,13 +90,13 @@ def seat(c: np.ndarray, rest: np.ndarray, at_parent: np.ndarray, all_parent: np.
             up = ratio(far, middle) > 1
             low, high = np.where(up, middle, low), np.where(up, high, middle)
         t[far] = np.maximum(1, low - 12 * np.sqrt(low) - 12).astype(np.int64)
-    walked, share = t.copy(), np.ones(len(c))
+    walked, share, seeds = t.copy(), np.ones(len(c)), mix(keys + U64(mix_int(sweep + 1)))
     while len(at):
         r = ratio(at, walked[at])
         grown = share[at] * r
         share[at] = grown / (1 + grown)
         walked[at] += 1
-        taken = draws(keys[at], walked[at], sweep) < share[at]
+        taken = draws(seeds[at], walked[at]) < share[at]
         t[at[taken]] = walked[at[taken]]
         at = at[(walked[at] < c[at]) & ((r >= 1) | (share[at] > 1e-10))]
     return t

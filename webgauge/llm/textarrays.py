@@ -29,6 +29,16 @@ SLICE_BYTES = 1 << 20
 _powers: dict[str, np.ndarray] = {"up": np.ones(1, U64), "down": np.ones(1, U64)}
 
 
+def spaces(text: np.ndarray) -> np.ndarray:
+    """SPACE[text], by comparisons."""
+    return (text == 0x20) | (text - np.uint8(0x09) < 5)
+
+
+def lowered(text: np.ndarray) -> np.ndarray:
+    """LOWER[text], by comparisons."""
+    return text | ((text - np.uint8(65) < 26).view(np.uint8) << np.uint8(5))
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers["up"]) < n:
         size = max(n, SLICE_BYTES + 1024)
@@ -41,15 +51,23 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective mixer of 64 bits."""
-    x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> U64(27))) * U64(0x94D049BB133111EB)
-    return x ^ (x >> U64(31))
+    y = x >> U64(30)
+    y ^= x
+    y *= U64(0xBF58476D1CE4E5B9)
+    y ^= y >> U64(27)
+    y *= U64(0x94D049BB133111EB)
+    y ^= y >> U64(31)
+    return y
 
 
 def mix_int(x: int) -> int:
     return int(mix(np.array([x & (2**64 - 1)], U64))[0])
 
 
+#: Bits of a lane that belong to a span's first 0 to 8 bytes.
+_KEPT_BITS = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
+
+
 def slices(batch: pa.RecordBatch, column: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with at most ``limit`` bytes of text, or one row if that is longer."""
     _, offsets = flat(batch.column(column))
@@ -87,15 +105,29 @@ def spans(sums: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     return (sums[end] - sums[begin]) * down[begin]
 
 
+def _short_hashes(text: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """What span_hashes() has for spans of at most eight bytes."""
+    padded = np.concatenate([text, np.zeros(8, np.uint8)])
+    lane = np.ndarray(len(text) + 1, "<u8", buffer=padded.data, strides=(1,))[begin]
+    lane &= _KEPT_BITS[size]
+    return mix(mix(lane ^ U64(mix_int(_ROOT))) + size.astype(U64) * U64(_MULT))
+
+
 def span_hashes(text: np.ndarray, begin: np.ndarray, end: np.ndarray, wide: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
     """A 64-bit hash of each span [begin, end) of a text's bytes, and, if wide, a second one; a few bytes of work for each byte of the spans.
 
     The second sums the mixed lanes once they are multiplied and folded, so that it doesn't follow from the first.
     """
     size = end - begin
-    lanes = np.maximum((size + 7) >> 3, 1)
     if not len(size):
         return np.zeros(0, U64), np.zeros(0, U64) if wide else None
+    if not wide and (few := size <= 8).any():  # most words are one lane, which needs no sums
+        whole = np.empty(len(size), U64)
+        whole[few] = _short_hashes(text, begin[few], size[few])
+        if not few.all():
+            whole[~few] = span_hashes(text, begin[~few], end[~few])[0]
+        return whole, None
+    lanes = np.maximum((size + 7) >> 3, 1)
     first = np.cumsum(lanes) - lanes
     place = np.arange(first[-1] + lanes[-1]) - np.repeat(first, lanes)
     padded = np.concatenate([text, np.zeros(8, np.uint8)])
@@ -126,9 +158,9 @@ class Words:
     """
 
     def __init__(self, text: np.ndarray, offsets: np.ndarray, lower: bool = False, inside: np.ndarray | None = None):
-        self.text = text = LOWER[text] if lower else text
+        self.text = text = lowered(text) if lower else text
         self.offsets = offsets
-        is_in = ~SPACE[text] if inside is None else inside[text]
+        is_in = ~spaces(text) if inside is None else inside[text]
         starts, ends = is_in.copy(), is_in.copy()
         if len(text):
             starts[1:] &= ~is_in[:-1]
