@@ -12,7 +12,8 @@ together as a stretch of text.
      key, to SHALLOW bytes; each remaining group with a long common prefix is ordered by a blind trie. Strings of
      full length that end up equal are repeats, and those of later documents are reported.
 
-Equal stretches are reduced to their smallest id in each task before they are shuffled; copies send no bytes.
+Equal stretches are reduced to their smallest id in each task before they are shuffled; copies send no bytes. There is a bucket
+for every BUCKET_BYTES of text, so that what a task holds doesn't grow with the input, and a task takes several, one after another.
 
 Defined results: null and empty texts have no bytes; texts under LENGTH bytes lose nothing; a null doc_id neither is
 earlier than anything nor loses anything; rows that share an id aren't earlier than each other; repeated rows get
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webgauge.llm.packing import BUFFER, Found, batch_of, by_bucket, home, home_column, pack_ids, unpack_ids
+from webgauge.llm.packing import Found, batch_of, by_bucket, home, home_column, pack_ids, unpack_ids
 from webgauge.llm.shared import partitions, written
 from webgauge.llm.textarrays import BYTE_VALUES, SLICE_BYTES, U64, flat, ids, mix, prefix, slices, span_hashes, spans
 
@@ -39,6 +40,8 @@ LENGTH, GRAM, SHALLOW = 50, 20, 16
 #: HOT goes with SEND where the minimizer has more than HOT_STRETCHES different stretches.
 REPEAT, SEND, HOT = 1, 2, 4
 HOT_STRETCHES = 4096
+#: Bytes of text to a bucket, which is held, and to a task, which isn't; stretches, bytes of text and replies that are dealt out together.
+BUCKET_BYTES, TASK_BYTES, STRETCHES, SEND_BYTES, REPLIES = 1 << 22, 1 << 25, 1 << 20, 1 << 24, 1 << 20
 _MEET = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), *((c, pa.binary()) for c in ("ids", "counts", "keys", "flags", "minimizers", "checks"))])
 _MEET_SQL = "bucket int, kind int, ids binary, counts binary, keys binary, flags binary, minimizers binary, checks binary"
 _STEP = pa.schema(
@@ -92,6 +95,12 @@ def bucket_of(minimizers: np.ndarray, buckets: int) -> np.ndarray:
     return (mix(minimizers) % U64(buckets)).astype(np.int64)
 
 
+def rows_of(batch: pa.RecordBatch) -> Iterator[dict]:
+    """The rows of a batch, few of them unpacked at a time."""
+    for at in range(0, batch.num_rows, 64):
+        yield from batch.slice(at, 64).to_pylist()
+
+
 def replies(owners: np.ndarray, keys: np.ndarray, flags: np.ndarray, buckets: int) -> Iterator[dict]:
     for h, i, k, f in by_bucket(home(owners, buckets), owners, keys, flags):
         order = np.argsort(i, kind="stable")
@@ -127,7 +136,7 @@ def meet_batches(batches: Iterator[pa.RecordBatch], length: int, buckets: int) -
             use = known[of]
             held.append((number[of[use]], minimizers[use], keys[use], checks[use]))
             size += int(use.sum())
-            if size >= BUFFER:
+            if size >= STRETCHES:
                 yield flush()
                 size = 0
     if size:
@@ -136,9 +145,9 @@ def meet_batches(batches: Iterator[pa.RecordBatch], length: int, buckets: int) -
 
 def reply_batches(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     """Packed stretches in order of bucket to replies for the documents' homes."""
-    now, held = -1, []
+    now, held, said, size = -1, [], [], 0
 
-    def flush() -> pa.RecordBatch:
+    def flush() -> int:
         owners, minimizers, keys, checks = (np.concatenate(x) for x in zip(*held))
         held.clear()
         order = np.lexsort((owners, checks, keys, minimizers))
@@ -156,22 +165,33 @@ def reply_batches(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[p
         flags[new & several[number]] |= SEND
         flags[new & (several & (different > HOT_STRETCHES))[number]] |= HOT
         use = flags > 0
-        return batch_of(_MEET, list(replies(owners[use], keys[use], flags[use], buckets)))
+        said.append((owners[use], keys[use], flags[use]))
+        return int(use.sum())
+
+    def deal() -> pa.RecordBatch:
+        rows = list(replies(*(np.concatenate(x) for x in zip(*said)), buckets))
+        said.clear()
+        return batch_of(_MEET, rows)
 
     for batch in batches:
         through = []
-        for row in batch.to_pylist():
+        for row in rows_of(batch):
             if row["kind"] == 0:
                 through.append(row)
                 continue
             if row["bucket"] != now and held:
-                yield flush()
+                size += flush()
+                if size >= REPLIES:
+                    yield deal()
+                    size = 0
             now = row["bucket"]
             held.append((unpack_ids(row["ids"], row["counts"]), np.frombuffer(row["minimizers"], np.uint32), np.frombuffer(row["keys"], np.uint64), np.frombuffer(row["checks"], np.uint32)))
         if through:
             yield batch_of(_MEET, through)
     if held:
-        yield flush()
+        flush()
+    if said:
+        yield deal()
 
 
 def cut(text: str | None, windows: np.ndarray, length: int) -> dict:
@@ -225,6 +245,7 @@ def strings_alone(text: np.ndarray, owners: np.ndarray, begin: np.ndarray, end:
 
 def send_batches(batches: Iterator[pa.RecordBatch], length: int, buckets: int) -> Iterator[pa.RecordBatch]:
     """(bucket, kind, ids, counts, keys, flags, doc_id, text) to finished and open documents and stretches' bytes."""
+    held, size = [], 0
 
     def add(found: Found | None, rows: pa.RecordBatch) -> Found:
         found = found or Found()
@@ -232,6 +253,20 @@ def send_batches(batches: Iterator[pa.RecordBatch], length: int, buckets: int) -
             found.add(unpack_ids(r["ids"], r["counts"]), np.frombuffer(r["keys"], np.uint64), np.frombuffer(r["flags"], np.uint8))
         return found
 
+    def deal() -> pa.RecordBatch:
+        texts, *columns = zip(*held)
+        held.clear()
+        text = np.concatenate(texts)
+        ends = np.cumsum([len(x) for x in texts])
+        owners, to, starts, at, lengths = (np.concatenate(x) for x in columns)
+        at = at + np.repeat(ends - [len(x) for x in texts], [len(x) for x in columns[0]])
+        rows = []
+        for k, i, x, a, n in by_bucket(bucket_of(to, buckets), owners, starts, at, lengths):
+            ids_, counts = pack_ids(i)
+            data = b"".join(text[p:q].tobytes() for p, q in zip(a, a + n))
+            rows.append({"bucket": k, "kind": STRETCH, "ids": ids_, "counts": counts, "starts": x.tobytes(), "lengths": n.tobytes(), "bytes": data})
+        return batch_of(_STEP, rows)
+
     for found, part in at_home(batches, 7, add):
         text, offsets = flat(part.column(7))
         number, known = ids(part.column(6))
@@ -259,20 +294,15 @@ def send_batches(batches: Iterator[pa.RecordBatch], length: int, buckets: int) -
         send[hot] = False
         o, b = (np.concatenate([x[send], y[~again]]) for x, y in ((of, of[hot][stretch]), (begin, alone)))
         e, to = (np.concatenate([x[send], y[~again]]) for x, y in ((end, alone), (minimizers, hashes)))
-        for k, i, doc, x, y in by_bucket(bucket_of(to, buckets), number[o], o, b, e):
-            ids_, counts = pack_ids(i)
-            rows.append(
-                {
-                    "bucket": k,
-                    "kind": STRETCH,
-                    "ids": ids_,
-                    "counts": counts,
-                    "starts": (x - offsets[doc]).tobytes(),
-                    "lengths": (y - x + length).tobytes(),
-                    "bytes": b"".join(text[p : q + length].tobytes() for p, q in zip(x, y)),
-                }
-            )
         yield batch_of(_STEP, rows)
+        if len(o):
+            held.append((text, number[o], to, b - offsets[o], b, e - b + length))
+            size += len(text)
+            if size >= SEND_BYTES:
+                yield deal()
+                size = 0
+    if held:
+        yield deal()
 
 
 class BlindTrie:
@@ -366,9 +396,9 @@ def deep_shallow(data: np.ndarray, starts: np.ndarray, length: int, shallow: int
 
 def sort_batches(batches: Iterator[pa.RecordBatch], length: int, buckets: int) -> Iterator[pa.RecordBatch]:
     """Stretches in order of bucket to (document, start) of the strings that an earlier document has."""
-    now, held = -1, []
+    now, held, said, size = -1, [], [], 0
 
-    def flush() -> pa.RecordBatch:
+    def flush() -> int:
         owners = np.concatenate([unpack_ids(r["ids"], r["counts"]) for r in held])
         first = np.concatenate([np.frombuffer(r["starts"], np.int64) for r in held])
         sizes = np.concatenate([np.frombuffer(r["lengths"], np.int64) for r in held])
@@ -382,21 +412,32 @@ def sort_batches(batches: Iterator[pa.RecordBatch], length: int, buckets: int) -
         owner = owners[of[order]]
         least = np.minimum.reduceat(owner, at)[np.cumsum(np.isin(np.arange(len(group)), at, assume_unique=True)) - 1]
         hit = order[owner > least]
+        said.append((owners[of[hit]], first[of[hit]] + inside[hit]))
+        return len(hit)
+
+    def deal() -> pa.RecordBatch:
+        owners, starts = (np.concatenate(x) for x in zip(*said))
+        said.clear()
         rows = []
-        for h, i, s in by_bucket(home(owners[of[hit]], buckets), owners[of[hit]], (first[of] + inside)[hit]):
+        for h, i, s in by_bucket(home(owners, buckets), owners, starts):
             order = np.argsort(i, kind="stable")
             ids_, counts = pack_ids(i[order])
             rows.append({"bucket": h, "kind": 0, "ids": ids_, "counts": counts, "starts": s[order].tobytes()})
         return batch_of(_STEP, rows)
 
     for batch in batches:
-        for row in batch.to_pylist():
+        for row in rows_of(batch):
             if row["bucket"] != now and held:
-                yield flush()
+                size += flush()
+                if size >= REPLIES:
+                    yield deal()
+                    size = 0
             now = row["bucket"]
             held.append(row)
     if held:
-        yield flush()
+        flush()
+    if said:
+        yield deal()
 
 
 def cut_batches(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -423,11 +464,13 @@ def cut_batches(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.R
 
 def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
-    spark, buckets = docs.sparkSession, partitions(docs.sparkSession)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    every = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    tasks = max(partitions(docs.sparkSession), -(-every // TASK_BYTES))
+    buckets = max(tasks, -(-every // BUCKET_BYTES))
 
     def at_bucket(df: DataFrame) -> DataFrame:
-        return df.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind")
+        return df.repartition(tasks, "bucket").sortWithinPartitions("bucket", "kind")
 
     met = at_bucket(d.mapInArrow(partial(meet_batches, length=length, buckets=buckets), _MEET_SQL))
     said = written(met.mapInArrow(partial(reply_batches, buckets=buckets), _MEET_SQL).drop("minimizers", "checks"), "replies")
